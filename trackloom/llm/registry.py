@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, htmltext, langid, quality, sharding, simhash
+from . import ann, bpe, decontaminate, htmltext, langid, linededup, quality, sharding, simhash
 from .common import fold
 
 #: Shards of op5.
@@ -53,6 +53,10 @@ def op6_anisotropic_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_read(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, k=20)
 
 
+def op7_native_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.removals(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     vocab = vocabulary()
@@ -76,9 +80,37 @@ QUERIES = {
         op4_language_id,
         op5_lpt_sharding,
         op6_anisotropic_ann,
+        op7_native_line_dedup,
         op9_byte_bpe,
         op10_nbsvm_quality,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Lines with words, their sets' earliest lines, and the near-duplicates among those by a plain prefix join.
+LINE_DEDUP_SQL = r"""
+WITH parts AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL),
+each AS (SELECT doc_id AS d, unnest(range(len(p))) AS l, unnest(p) AS line FROM parts),
+worded AS (
+  SELECT d, l, list_sort(list_distinct(list_filter(regexp_split_to_array(line, '[ \t\x0b\f\r\n]+'), lambda x: x <> ''))) AS w
+  FROM each WHERE regexp_matches(line, '[^ \t\x0b\f\r\n]')),
+ranked AS (SELECT d, l, w, len(w) AS n, row_number() OVER (PARTITION BY w ORDER BY d, l) AS r FROM worded),
+sets AS (SELECT row_number() OVER (ORDER BY d, l) AS id, d, l, w, n FROM ranked WHERE r = 1),
+tokens AS (SELECT id, n, unnest(w) AS t FROM sets),
+df AS (SELECT t, count(*) AS c FROM tokens GROUP BY t),
+prefix AS (
+  SELECT id, n, t FROM (SELECT id, n, tokens.t, row_number() OVER (PARTITION BY id ORDER BY c, tokens.t) AS i FROM tokens JOIN df USING (t))
+  WHERE i <= n - CAST(ceil(n * 4 / 5.0) AS BIGINT) + 1),
+pairs AS (
+  SELECT DISTINCT x.id AS x, y.id AS y FROM prefix x JOIN prefix y ON x.t = y.t AND y.id < x.id
+  WHERE 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)),
+near AS (
+  SELECT DISTINCT a.d, a.l FROM pairs JOIN sets a ON a.id = x JOIN sets b ON b.id = y
+  WHERE 9 * len(list_intersect(a.w, b.w)) >= 4 * (a.n + b.n)),
+gone AS (SELECT d, l FROM ranked WHERE r > 1 UNION SELECT d, l FROM near),
+lists AS (SELECT d, count(*) AS n, string_agg(CAST(l AS VARCHAR), ',' ORDER BY l) AS removed FROM gone GROUP BY d)
+SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END::BIGINT AS n_lines,
+  coalesce(n, 0)::BIGINT AS n_removed, coalesce(removed, '') AS removed_lines
+FROM documents LEFT JOIN lists ON doc_id = d
+"""
+
+ORACLE_SQL: dict[str, str] = {"op7_native_line_dedup": LINE_DEDUP_SQL}
