@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, htmltext, langid, linededup, quality, sharding, simhash
+from . import ann, bpe, decontaminate, htmltext, langid, linededup, quality, sharding, simhash, substring
 from .common import fold
 
 #: Shards of op5.
@@ -57,6 +57,10 @@ def op7_native_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.removals(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_phrase_automata_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     vocab = vocabulary()
@@ -81,6 +85,7 @@ QUERIES = {
         op5_lpt_sharding,
         op6_anisotropic_ann,
         op7_native_line_dedup,
+        op8_phrase_automata_dedup,
         op9_byte_bpe,
         op10_nbsvm_quality,
     )
