@@ -40,11 +40,18 @@ class Scratch:
     def write(self, df: DataFrame) -> DataFrame:
         """Writes ``df`` and reads it back: cuts the lineage, and a lost executor costs no recomputation."""
         path, self._n = f"{self.base}/{self._n}", self._n + 1
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
+    def bucketed(self, df: DataFrame, *key: str) -> DataFrame:
+        """Writes ``df`` as a table bucketed and sorted by ``key``: later joins on it shuffle only their other side."""
+        path, self._n = f"{self.base}/{self._n}", self._n + 1
+        n, name = int(self.spark.conf.get("spark.sql.shuffle.partitions")), f"trackloom_{uuid.uuid4().hex}"
+        df.repartition(n, *key).write.bucketBy(n, *key).sortBy(*key).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+        return self.spark.table(name)
+
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
             remove_path(self.spark, df._scratch_path)
@@ -55,9 +62,16 @@ def remove_path(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
-def clear(spark: SparkSession) -> None:
-    """Removes every intermediate of this application."""
-    remove_path(spark, shared_dir(spark))
+def clear(spark: SparkSession, tags: tuple[str, ...] = ()) -> None:
+    """Removes every intermediate of this application, or those of some operators; frames that still read them fail from then on."""
+    for tag in tags or ("",):
+        for status in _glob(spark, f"{shared_dir(spark)}/{tag}*"):
+            remove_path(spark, status.getPath().toString())
+
+
+def _glob(spark: SparkSession, pattern: str):
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(jpath) or []
 
 
 def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:

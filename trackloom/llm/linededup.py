@@ -26,7 +26,7 @@ from .common import Scratch
 #: Hashed words are counted in so many classes.
 CLASSES = 1 << 16
 #: Prefix entries of one word that are paired up directly.
-CROWD = 64
+CROWD = 256
 _LAST = (1 << 63) - 1
 
 
@@ -40,7 +40,9 @@ def _split(text: Column) -> Column:
 
 def _words(line: Column) -> Column:
     """Distinct words of a line."""
-    return F.array_distinct(F.filter(F.split(line, "[ \t\x0b\f\r\n]+"), lambda w: w != ""))
+    odd = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\x0b")) | F.contains(line, F.lit("\f"))
+    plain = F.when(odd, F.translate(line, "\t\r\x0b\f", "    ")).otherwise(line)
+    return F.array_distinct(F.array_remove(F.split(plain, " "), ""))
 
 
 def _at_least(n: Column) -> Column:
@@ -61,37 +63,44 @@ def _ranks(lines: DataFrame) -> Column:
     return F.split(F.lit(",".join(map(str, rank))), ",").cast("array<int>")
 
 
-def lines_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """d, l, line, words for every line that has words."""
-    each = docs.select(_id(doc_id).alias("d"), F.posexplode(_split(F.col(text))).alias("l", "line"))
-    return each.withColumn("words", _words(F.col("line"))).filter(F.size("words") > 0)
+def _only(base: DataFrame, numbers: str) -> DataFrame:
+    """d, l, line of the line numbers in the array column ``numbers``."""
+    each = base.filter(F.size(numbers) > 0).select("d", numbers, F.posexplode(_split(F.col("text"))).alias("l", "line"))
+    return each.filter(F.array_contains(numbers, F.col("l"))).select("d", "l", "line")
 
 
-def kept_lines(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """d, l: the lines with words that stay."""
-    lines = lines_of(docs, doc_id, text)
-    mixed = lambda seed: F.aggregate("words", F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(F.xxhash64(w, F.lit(seed))))
-    keyed = lines.select(mixed(1).alias("h1"), mixed(2).alias("h2"), F.struct("d", "l", "line").alias("at"))
-    sets = scratch.write(keyed.groupBy("h1", "h2").agg(F.min("at").alias("at")).select("at.*"))
-    long = sets.withColumn("words", _words(F.col("line"))).withColumn("n", F.size("words")).filter("n > 3")
-    removed = near_removed(long, _ranks(long), scratch)
+def kept_lines(base: DataFrame, scratch: Scratch) -> DataFrame:
+    """d, l: the lines with words that stay. base: d and text, bucketed by d."""
+    words = F.sort_array(_words(F.col("line")))
+    lines = base.select("d", F.posexplode(_split(F.col("text"))).alias("l", "line")).select("d", "l", words.alias("words")).filter(F.size("words") > 0)
+    keyed = lines.select(F.xxhash64("words").alias("h1"), F.xxhash64("words", F.lit(1)).alias("h2"), F.size("words").alias("n"), F.struct("d", "l").alias("at"))
+    sets = scratch.write(keyed.groupBy("h1", "h2", "n").agg(F.min("at").alias("at")).select("at.*", "n"))
+    long = sets.filter("n > 3").groupBy("d").agg(F.collect_list("l").alias("of"))
+    removed = near_removed(base, base.join(long, "d"), scratch)
     return sets.select("d", "l").join(removed, ["d", "l"], "left_anti")
 
 
-def near_removed(sets: DataFrame, ranks: Column, scratch: Scratch) -> DataFrame:
-    """d, l of the sets that have an earlier similar one."""
+def near_removed(base: DataFrame, chosen: DataFrame, scratch: Scratch) -> DataFrame:
+    """d, l of the chosen lines (line numbers: column ``of``) that have an earlier similar one."""
+    sets = _only(chosen, "of").select("d", "l", _words(F.col("line")).alias("words"))
+    ranks = _ranks(sets)
+    # Keys of the words: rank above, hash below; sorted, the rarest come first.
     order = lambda w: F.shiftleft(F.element_at(ranks, _class(w) + 1).cast("long"), 44).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 20))
-    bits = F.aggregate("words", F.lit(0).cast("long"), lambda acc, w: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(F.xxhash64(w), 40).bitwiseAND(F.lit(63)).cast("int"))))
-    prefix = F.slice(F.array_sort(F.transform("words", order)), F.lit(1), F.col("n") - _at_least(F.col("n")) + 1)
-    entries = sets.select("d", "l", F.col("n").cast("short").alias("n"), bits.alias("bits"), F.posexplode(prefix).alias("i", "word"))
-    entries = entries.withColumn("i", F.col("i").cast("short")).repartition("word")
+    keyed = sets.select("d", "l", F.size("words").alias("n"), F.sort_array(F.transform("words", order)).alias("keys"))
+    one = F.lit(1).cast("long")
+    bits = F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseOR(F.call_function("shiftleft", one, k.bitwiseAND(F.lit(63)).cast("int"))))
+    prefix = F.slice("keys", F.lit(1), F.col("n") - _at_least(F.col("n")) + 1)
+    entries = keyed.select("d", "l", F.col("n"), bits.alias("bits"), F.posexplode(prefix).alias("i", "key"))
+    # Forty bits of a word's hash name it here: a clash costs a comparison, nothing else.
+    entries = entries.withColumn("word", F.col("key").bitwiseAND(F.lit((1 << 40) - 1))).drop("key")
+    entries = entries.filter(F.col("word").isNotNull()).repartition("word")
     first = Window.partitionBy("word")
     entries = entries.withColumn("crowd", F.count(F.lit(1)).over(first) > CROWD)
 
     def possible(x: str, y: str) -> Column:
         """Filters on a pair of entries of one word: order, length, position, bitmap."""
         c = lambda side, name: F.col(f"{side}.{name}")
-        n, m = c(x, "n").cast("int"), c(y, "n").cast("int")
+        n, m = c(x, "n"), c(y, "n")
         need = F.ceil((n + m) * 4 / 9).cast("int")  # words that both must have
         earlier = (c(y, "d") < c(x, "d")) | ((c(y, "d") == c(x, "d")) & (c(y, "l") < c(x, "l")))
         left = F.least(n - c(x, "i"), m - c(y, "i"))
@@ -99,23 +108,30 @@ def near_removed(sets: DataFrame, ranks: Column, scratch: Scratch) -> DataFrame:
 
     few = entries.filter(~F.col("crowd"))
     direct = few.alias("x").join(few.alias("y"), (F.col("x.word") == F.col("y.word")) & possible("x", "y"))
-    none = {k: F.lit(None).cast(t) for k, t in (("word", "long"), ("n", "short"), ("i", "short"), ("bits", "long"))}
-    pairs = direct.select(F.col("x.d").alias("d"), F.col("x.l").alias("l"), F.col("y.d").alias("e"), F.col("y.l").alias("k"), *[v.alias(k) for k, v in none.items()])
+    pairs = direct.select(F.col("x.d").alias("d"), F.col("x.l").alias("l"), F.col("y.d").alias("e"), F.col("y.l").alias("k"), *[F.lit(None).cast(t).alias(c) for c, t in (("word", "long"), ("n", "int"), ("i", "int"), ("bits", "long"))])
     lead = F.min(F.struct("d", "l", "n", "i", "bits")).over(Window.partitionBy("word", "n"))
-    crowded = entries.filter("crowd").withColumn("y", lead).select("d", "l", F.col("y.d").alias("e"), F.col("y.l").alias("k"), "word", "n", "i", "bits")
+    members = entries.filter("crowd").select(F.struct("d", "l", "n", "i", "bits").alias("x"), lead.alias("y"), "word")
+    worth = possible("x", "y")
+    crowded = members.select("x.d", "x.l", F.when(worth, F.col("y.d")).alias("e"), F.when(worth, F.col("y.l")).alias("k"), "word", "x.n", "x.i", "x.bits")
     found = scratch.write(pairs.union(crowded))
 
     crowds = found.filter("word is not null").select("d", "l", "word", "n", "i", "bits")
-    proposed = found.filter("d <> e or l <> k").select("d", "l", "e", "k").distinct()
-    ids = found.select("d", "l").union(found.select(F.col("e").alias("d"), F.col("k").alias("l"))).distinct()
-    texts = scratch.write(sets.select("d", "l", "words").join(ids, ["d", "l"], "left_semi"))
+    proposed = found.filter("e is not null").select("d", "l", "e", "k").distinct()
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        other = texts.select(F.col("d").alias("e"), F.col("l").alias("k"), F.col("words").alias("others"))
-        both = F.size(F.array_intersect("words", "others"))
-        return pairs.join(texts, ["d", "l"]).join(other, ["e", "k"]).filter(9 * both >= 4 * (F.size("words") + F.size("others"))).select("d", "l").distinct()
+    sides = lambda pairs: pairs.select("d", "l").union(pairs.select(F.col("e").alias("d"), F.col("k").alias("l")))
+    ids = sides(proposed).union(crowds.select("d", "l")).distinct().groupBy("d").agg(F.collect_list("l").alias("of"))
+    texts = scratch.bucketed(_only(base.join(ids, "d"), "of"), "d", "l")
 
-    matched = scratch.write(verified(proposed))
+    def verified(pairs: DataFrame) -> DataFrame:
+        other = texts.select(F.col("d").alias("e"), F.col("l").alias("k"), F.col("line").alias("other"))
+        both = pairs.join(texts, ["d", "l"]).join(other, ["e", "k"]).select("d", "l", _words(F.col("line")).alias("x"), _words(F.col("other")).alias("y"))
+        return both.filter(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("d", "l").distinct()
+
+    # Most lines that match any do so at their earliest candidate; the other candidates of a line count only if it doesn't.
+    earliest = proposed.groupBy("d", "l").agg(F.min(F.struct("e", "k")).alias("y")).select("d", "l", "y.e", "y.k")
+    matched = scratch.write(verified(earliest))
+    second = proposed.join(matched, ["d", "l"], "left_anti").join(earliest, ["d", "l", "e", "k"], "left_anti")
+    matched = scratch.write(matched.union(verified(second)))
     open_ = crowds.join(matched, ["d", "l"], "left_anti")
     rest = open_.alias("x").join(crowds.alias("y"), (F.col("x.word") == F.col("y.word")) & possible("x", "y"))
     late = verified(rest.select(F.col("x.d").alias("d"), F.col("x.l").alias("l"), F.col("y.d").alias("e"), F.col("y.l").alias("k")).distinct())
@@ -124,18 +140,23 @@ def near_removed(sets: DataFrame, ranks: Column, scratch: Scratch) -> DataFrame:
 
 def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_lines, n_removed, removed_lines (their numbers from 0, comma-separated) for every row."""
-    kept = kept_lines(docs, Scratch(docs.sparkSession, "lines"), doc_id, text).groupBy("d").agg(F.collect_list("l").alias("kept"))
-    own = docs.select(F.col(doc_id).alias("doc_id"), _id(doc_id).alias("d"), F.size(_split(F.coalesce(F.col(text), F.lit("")))).alias("n"), F.col(text).isNull().alias("no_text"),
-                      F.array_compact(F.transform(_split(F.col(text)), lambda line, i: F.when(F.regexp_like(line, F.lit("[^ \t\x0b\f\r\n]")), i))).alias("worded"))
-    gone = F.array_sort(F.array_except(F.coalesce("worded", F.array().cast("array<int>")), F.coalesce("kept", F.array().cast("array<int>"))))
-    both = own.join(kept, "d", "left").withColumn("gone", gone)
-    return both.select("doc_id", F.when(F.col("no_text"), 0).otherwise(F.col("n")).cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"), F.array_join(F.col("gone").cast("array<string>"), ",").alias("removed_lines"))
+    scratch = Scratch(docs.sparkSession, "lines")
+    base = scratch.bucketed(docs.select(F.col(doc_id).alias("doc_id"), _id(doc_id).alias("d"), F.col(text).alias("text")), "d")
+    kept = kept_lines(base.select("d", "text"), scratch).groupBy("d").agg(F.collect_list("l").alias("kept"))
+    lines, none = _split(F.col("text")), F.array().cast("array<int>")
+    worded = F.array_compact(F.transform(lines, lambda line, i: F.when(F.regexp_like(line, F.lit("[^ \t\x0b\f\r\n]")), i)))
+    own = base.select("doc_id", "d", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).alias("n"), F.coalesce(worded, none).alias("worded"))
+    both = own.join(kept, "d", "left").withColumn("gone", F.sort_array(F.array_except("worded", F.coalesce("kept", none))))
+    return both.select("doc_id", F.col("n").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"), F.array_join(F.col("gone").cast("array<string>"), ",").alias("removed_lines"))
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the removed lines cut out of ``text``."""
-    kept = kept_lines(docs, Scratch(docs.sparkSession, "lines"), doc_id, text).groupBy("d").agg(F.collect_list("l").alias("kept"))
-    kept = kept.select(F.col("d").alias("__d"), F.col("kept").alias("__kept"))
-    stays = lambda line, i: ~F.regexp_like(line, F.lit("[^ \t\x0b\f\r\n]")) | F.coalesce(F.array_contains("__kept", i), F.lit(False))
-    out = docs.join(kept, _id(doc_id) == F.col("__d"), "left").withColumn(text, F.array_join(F.filter(_split(F.col(text)), stays), "\n"))
-    return out.drop("__d", "__kept")
+    scratch = Scratch(docs.sparkSession, "lines")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    base = scratch.bucketed(docs.select(_id(doc_id).alias("d"), *[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)]), "d")
+    own = names[docs.columns.index(text)]
+    kept = kept_lines(base.select("d", F.col(own).alias("text")), scratch).groupBy("d").agg(F.collect_list("l").alias("kept"))
+    stays = lambda line, i: ~F.regexp_like(line, F.lit("[^ \t\x0b\f\r\n]")) | F.coalesce(F.array_contains("kept", i), F.lit(False))
+    out = base.join(kept, "d", "left").withColumn(own, F.array_join(F.filter(_split(F.col(own)), stays), "\n"))
+    return out.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
