@@ -35,43 +35,47 @@ WINDOW, GRAM = 20, 6
 SHARD = 20_000
 _LAST = (1 << 63) - 1
 _BASES = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], np.uint64)
-_KNOWN = 200_000
+_KNOWN = 300_000
 
 
-class Hasher:
-    """Hashes of the words of a text; remembers the words it has seen."""
+#: Hashes of words that this worker has met lately.
+_known: dict[bytes, bytes] = {}
 
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
 
-    def words(self, parts: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > _KNOWN:
-            known.clear()
-        out = []
-        for w in parts:
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh64_intdigest(w, 1)
-            out.append(h)
-        return np.array(out, np.uint64)
+def word_hashes(parts: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    if len(_known) > _KNOWN:
+        _known.clear()
+    get, digest = _known.get, xxhash.xxh64_digest
+
+    def miss(w: bytes) -> bytes:
+        _known[w] = h = digest(w, 1)
+        return h
+
+    return np.frombuffer(b"".join([get(w) or miss(w) for w in parts]), ">u8").astype(np.uint64)
+
+
+_POWERS: dict[int, np.ndarray] = {}
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+    """base**0 .. base**(n - 1), mod 2**64."""
+    known = _POWERS.get(int(base))
+    if known is None or len(known) < n:
+        known = np.full(max(n, 1 << 18), base, np.uint64)
+        known[0] = 1
+        known = _POWERS[int(base)] = np.multiply.accumulate(known)
+    return known[:n]
 
 
-def _inverse(base: np.uint64) -> np.uint64:
-    return np.uint64(pow(int(base), -1, 1 << 64))
+_INVERSE = {int(b): np.uint64(pow(int(b), -1, 1 << 64)) for b in _BASES}
 
 
 def rolled(h: np.ndarray, n: int, base: np.uint64) -> np.ndarray:
     """Polynomial hash, mod 2**64, of every run of n hashes."""
     m = len(h)
-    down = _powers(_inverse(base), m)
-    total = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(h * down)])
+    total = np.zeros(m + 1, np.uint64)
+    np.add.accumulate(h * _powers(_INVERSE[int(base)], m), out=total[1:])
     return (total[n:] - total[:-n]) * _powers(base, m)[: m - n + 1]
 
 
@@ -80,12 +84,25 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+#: Low bits of a gram's key that hold its place; the hash bits above decide, the leftmost of equals wins.
+_PLACE = np.uint64((1 << 24) - 1)
+
+
 def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each phrase of the hashed words, where its anchor starts and the anchor's hash."""
+    if len(h) > 1 << 23:  # places would overflow: by overlapping halves
+        half = len(h) // 2
+        (a, x), (b, y) = anchors(h[: half + WINDOW - 1]), anchors(h[half:])
+        return np.concatenate([a, b + half]), np.concatenate([x, y])
     grams = _mix(rolled(h, GRAM, _BASES[0]))
-    span = WINDOW - GRAM + 1
-    at = np.arange(len(h) - WINDOW + 1)
-    at = at + np.lib.stride_tricks.sliding_window_view(grams, span).argmin(1)
+    low = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
+    span, step = WINDOW - GRAM + 1, 1
+    while 2 * step <= span:  # minima over 2, 4, 8, ... grams
+        low = np.minimum(low[:-step], low[step:])
+        step *= 2
+    if span > step:
+        low = np.minimum(low[: len(low) - span + step], low[span - step :])
+    at = (low & _PLACE).astype(np.int64)
     return at, grams[at]
 
 
@@ -138,36 +155,37 @@ def _cover(starts: np.ndarray) -> np.ndarray:
 
 def _grams(docs: DataFrame) -> DataFrame:
     """d, t, h: the distinct anchors of each document with 32 bits of its text's hash; an anchor that it repeats also with other bits."""
-    hasher = []
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hasher[:] = hasher or [Hasher()]
-        d, t, h = [], [], []
-        for doc, bits, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            parts = text.split()
-            if len(parts) < WINDOW:
-                continue
-            at, own = anchors(hasher[0].words(parts))
-            own, times = np.unique(own[np.unique(at, return_index=True)[1]], return_counts=True)
-            more = own[times > 1]
-            h += [own, more]
-            d.append(np.full(len(own) + len(more), doc, np.int64))
-            t += [np.full(len(own), bits, np.int32), np.full(len(more), bits ^ 1, np.int32)]
-        if not d:
-            return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.int64())], names=["d", "t", "h"])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(d)), pa.array(np.concatenate(t)), pa.array(np.concatenate(h).view(np.int64))], names=["d", "t", "h"])
+        split = [text.split() for text in batch.column(2).to_pylist()]
+        sizes = np.array([len(p) for p in split])
+        of = np.repeat(np.arange(len(split)), sizes)  # document of each word
+        if len(of) >= WINDOW:
+            at, own = anchors(word_hashes([w for p in split for w in p]))
+            inside = of[: len(at)] == of[WINDOW - 1 :]
+            at, first = np.unique(at[inside], return_index=True)
+            own, of = own[inside][first], of[at]
+        else:
+            own, of = np.zeros(0, np.uint64), of[:0]
+        order = np.lexsort((own, of))
+        own, of = own[order], of[order]
+        new = np.ones(len(own), bool)
+        new[1:] = (own[1:] != own[:-1]) | (of[1:] != of[:-1])
+        again = np.zeros(len(own), bool)
+        again[1:] = ~new[1:] & new[:-1]  # the second time only
+        d, t = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        h = np.concatenate([own[new], own[again]])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([d[of[new]], d[of[again]]])), pa.array(np.concatenate([t[of[new]], t[of[again]] ^ 1])), pa.array(h.view(np.int64))], names=["d", "t", "h"])
 
     return map_slices(docs.select("d", "t", "text"), fn, "d long, t int, h long")
 
 
 def _phrases(joined: DataFrame) -> DataFrame:
     """Of documents with their recurring anchors: settled rows (digest set), texts (text set) and candidate phrases (w set)."""
-    hasher = []
     schema = "d long, doc_id {0}, n_words long, n_removed long, kept string, text binary, w long, v int, pos int, again boolean"
     kind = joined.schema["doc_id"].dataType.simpleString()
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hasher[:] = hasher or [Hasher()]
         rows, found = [], []
         for i, (doc, text, grams, copy) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("d", "text", "grams", "copy")], strict=True)):
             parts = text.split()
@@ -177,9 +195,10 @@ def _phrases(joined: DataFrame) -> DataFrame:
             elif copy:
                 rows.append((i, n, *cut(parts, np.ones(n, bool)), None))
             else:
-                h = hasher[0].words(parts)
+                h = word_hashes(parts)
                 _, own = anchors(h)
-                at = np.flatnonzero(np.isin(own, np.array(grams, np.int64).view(np.uint64)))
+                known = np.sort(np.array(grams, np.int64).view(np.uint64))
+                at = np.flatnonzero(known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own)
                 w = rolled(h, WINDOW, _BASES[0])[at]
                 order = np.argsort(w, kind="stable")
                 w, at = w[order], at[order]
