@@ -25,17 +25,17 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, map_slices, utf8
 
 WINDOW, GRAM = 20, 6
 #: Phrases per automaton.
-SHARD = 20_000
+SHARD = 10_000
 _LAST = (1 << 63) - 1
 _BASES = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], np.uint64)
-_KNOWN = 300_000
+_KNOWN = 150_000
 
 
 #: Hashes of words that this worker has met lately.
@@ -249,9 +249,10 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     raw = utf8(text)
     source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("d"), raw.alias("text"))
     hashed = source.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64("text", F.lit(1))}).withColumn("t", F.col("h2").bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
-    grams = _grams(hashed)
-    recurring = grams.groupBy("h").agg(F.min("t").alias("low"), F.max("t").alias("high")).filter("low <> high").select("h")
-    held = grams.select("d", "h").join(recurring, "h")
+    # One shuffle serves count and join. A gram has one row a document (two if it repeats it), so none holds a large share of
+    # the rows, and a window spills.
+    by = Window.partitionBy("h")
+    held = _grams(hashed).withColumns({"low": F.min("t").over(by), "high": F.max("t").over(by)}).filter("low <> high").select("d", "h")
     texts = hashed.groupBy("h1", "h2").agg(F.min("d").alias("first"))
     copies = hashed.select("h1", "h2", "d").join(texts, ["h1", "h2"]).filter("d > first").select("d", F.lit(None).cast("long").alias("h"), F.lit(True).alias("copy"))
     known = held.select("d", "h", F.lit(False).alias("copy")).union(copies).groupBy("d").agg(F.collect_set("h").alias("grams"), F.max("copy").alias("copy"))
