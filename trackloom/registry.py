@@ -13,7 +13,7 @@ ORACLE_SQL: dict[str, str] = {}
 COVERS: dict[str, str] = {}
 
 
-MODULES = ["accuracy"]
+MODULES = ["accuracy", "filters", "joins"]
 
 
 def query(covers: str, sql: str | None = None):

@@ -45,7 +45,7 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The same views for the oracles.
-EV = "ev AS (SELECT *, epoch_ms(ts) AS ms, CAST(floor(epoch(ts) / 3600) AS BIGINT) - 473351 AS frame FROM events)"
+EV = "ev AS (SELECT *, epoch_us(ts) // 1000 AS ms, CAST(floor(epoch(ts) / 3600) AS BIGINT) - 473351 AS frame FROM events)"
 GT = EV + """,
 gt AS (SELECT user_id % 8 AS seq, frame, user_id AS id, count(*) AS n, CAST((user_id // 8) * 50 AS DOUBLE) AS x, 0.0::DOUBLE AS y, 40.0::DOUBLE AS w, 30.0::DOUBLE AS h
   FROM ev GROUP BY ALL)"""
