@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 #: Rows that a Python worker turns into objects at once; bounds its memory whatever the Arrow batch size is.
 SLICE_ROWS = 256
 
+#: Spark setting under which an execution's shuffle files go when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _local_dirs: dict[str, str] = {}
 
 
@@ -27,6 +31,17 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/trackloom-{app}"
 
 
+@contextlib.contextmanager
+def dropping_shuffles(spark: SparkSession):
+    """Shuffle files of what runs inside go as soon as it is written, not when the driver's JVM happens to collect its garbage."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 class Scratch:
     """Parquet intermediates of one operator call; superseded ones can be dropped early.
 
@@ -40,7 +55,8 @@ class Scratch:
     def write(self, df: DataFrame) -> DataFrame:
         """Writes ``df`` and reads it back: cuts the lineage, and a lost executor costs no recomputation."""
         path, self._n = f"{self.base}/{self._n}", self._n + 1
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        with dropping_shuffles(self.spark):
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -49,7 +65,8 @@ class Scratch:
         """Writes ``df`` as a table bucketed and sorted by ``key``: later joins on it shuffle only their other side."""
         path, self._n = f"{self.base}/{self._n}", self._n + 1
         n, name = int(self.spark.conf.get("spark.sql.shuffle.partitions")), f"trackloom_{uuid.uuid4().hex}"
-        df.repartition(n, *key).write.bucketBy(n, *key).sortBy(*key).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+        with dropping_shuffles(self.spark):
+            df.repartition(n, *key).write.bucketBy(n, *key).sortBy(*key).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
         return self.spark.table(name)
 
     def drop(self, *frames: DataFrame) -> None:
