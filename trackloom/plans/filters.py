@@ -175,14 +175,14 @@ def blockout_debounce(spark, sf_dir):
     return O.spaced(V.events(spark, sf_dir), ["user_id"], "ms", 12 * 3600 * 1000)
 
 
-_FIND = """f AS (SELECT o_orderkey AS run_id, o_orderpriority AS detector, o_orderstatus AS tracker, o_custkey % 7 AS benchmark, CASE o_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN '-' WHEN 2 THEN '7.5' ELSE '10' END AS fps, o_orderdate AS at, o_totalprice AS score FROM orders)"""
+_FIND = """f AS (SELECT o_orderkey AS run_id, o_orderpriority AS detector, o_orderstatus AS tracker, o_custkey % 7 AS benchmark, CASE o_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN '-' WHEN 2 THEN '7.5' ELSE '10' END AS fps, o_orderdate AS run_at, o_totalprice AS score FROM orders)"""
 
 
 def findings(spark, sf_dir):
     o = V.table(spark, sf_dir, "orders")
     k = F.col("o_custkey") % 4
     fps = F.when(k == 0, "").when(k == 1, "-").when(k == 2, "7.5").otherwise("10")
-    return o.select(F.col("o_orderkey").alias("run_id"), F.col("o_orderpriority").alias("detector"), F.col("o_orderstatus").alias("tracker"), (F.col("o_custkey") % 7).alias("benchmark"), fps.alias("fps"), F.col("o_orderdate").alias("at"), F.col("o_totalprice").alias("score"))
+    return o.select(F.col("o_orderkey").alias("run_id"), F.col("o_orderpriority").alias("detector"), F.col("o_orderstatus").alias("tracker"), (F.col("o_custkey") % 7).alias("benchmark"), fps.alias("fps"), F.col("o_orderdate").alias("run_at"), F.col("o_totalprice").alias("score"))
 
 
 @query("FLT28 FLT29", f"WITH {_FIND} SELECT run_id, try_cast(fps AS DOUBLE) AS fps FROM f WHERE detector = '1-URGENT' AND contains(CAST(run_id AS VARCHAR), '7') AND abs(try_cast(fps AS DOUBLE) - 7.5) <= 1e-6")

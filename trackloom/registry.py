@@ -13,7 +13,7 @@ ORACLE_SQL: dict[str, str] = {}
 COVERS: dict[str, str] = {}
 
 
-MODULES = ["accuracy", "filters", "joins"]
+MODULES = ["accuracy", "filters", "joins", "aggregates", "windows"]
 
 
 def query(covers: str, sql: str | None = None):
