@@ -13,7 +13,7 @@ ORACLE_SQL: dict[str, str] = {}
 COVERS: dict[str, str] = {}
 
 
-MODULES = ["accuracy", "filters", "joins", "aggregates", "windows", "scalars", "events"]
+MODULES = ["accuracy", "filters", "joins", "aggregates", "windows", "scalars", "events", "retrieval", "tracking"]
 
 
 def query(covers: str, sql: str | None = None):
