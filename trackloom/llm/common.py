@@ -67,7 +67,15 @@ class Scratch:
         n, name = int(self.spark.conf.get("spark.sql.shuffle.partitions")), f"trackloom_{uuid.uuid4().hex}"
         with dropping_shuffles(self.spark):
             df.repartition(n, *key).write.bucketBy(n, *key).sortBy(*key).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
-        return self.spark.table(name)
+        out = self.spark.table(name)
+        out._scratch_path, out._scratch_table = path, name
+        return out
+
+    def discard(self, *tables: DataFrame) -> None:
+        """Removes bucketed tables that nothing reads any more."""
+        for df in tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {df._scratch_table}")
+            remove_path(self.spark, df._scratch_path)
 
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:

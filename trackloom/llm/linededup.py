@@ -7,9 +7,9 @@ counts of hashed words over all lines, then hash); two similar lines share a wor
 with filters on order, length, position and a bitmap of the set (differing bits can't outnumber differing words).
 Candidates are verified on the words themselves.
 
-A word that more than ``CROWD`` prefixes share doesn't pair them all up: there, a line is first compared with the earliest
-line of its length, and only lines that this leaves unmatched are joined with the whole crowd. Copies of a line that
-differ here and there thus cost one comparison each, and no partner is dropped.
+Copies of a line that differ here and there share their prefixes, and pairing them all up would cost the square of their
+number. So each line is first compared with the earliest line of each of its prefix words that is as long; only lines that
+this leaves unmatched are then joined with all others. No partner is dropped, and a line that has a match needs no other.
 
 Edge cases: lines without words stay, as do null texts (no lines) and empty ones; up to three words, only equal sets are
 similar; a null id sorts last; rows that share an id are read as one document (a line number that stays in one stays in
@@ -25,8 +25,6 @@ from .common import Scratch
 
 #: Hashed words are counted in so many classes.
 CLASSES = 1 << 16
-#: Prefix entries of one word that are paired up directly.
-CROWD = 256
 _LAST = (1 << 63) - 1
 
 
@@ -63,10 +61,10 @@ def _ranks(lines: DataFrame) -> Column:
     return F.split(F.lit(",".join(map(str, rank))), ",").cast("array<int>")
 
 
-def _only(base: DataFrame, numbers: str) -> DataFrame:
-    """d, l, line of the line numbers in the array column ``numbers``."""
-    each = base.filter(F.size(numbers) > 0).select("d", numbers, F.posexplode(_split(F.col("text"))).alias("l", "line"))
-    return each.filter(F.array_contains(numbers, F.col("l"))).select("d", "l", "line")
+def _only(base: DataFrame, numbers: str, *more: str) -> DataFrame:
+    """d, l, line (and more columns) of the line numbers in the array column ``numbers``."""
+    each = base.filter(F.size(numbers) > 0).select("d", numbers, *more, F.posexplode(_split(F.col("text"))).alias("l", "line"))
+    return each.filter(F.array_contains(numbers, F.col("l"))).select("d", "l", "line", *more)
 
 
 def kept_lines(base: DataFrame, scratch: Scratch) -> DataFrame:
@@ -80,62 +78,66 @@ def kept_lines(base: DataFrame, scratch: Scratch) -> DataFrame:
     return sets.select("d", "l").join(removed, ["d", "l"], "left_anti")
 
 
-def near_removed(base: DataFrame, chosen: DataFrame, scratch: Scratch) -> DataFrame:
-    """d, l of the chosen lines (line numbers: column ``of``) that have an earlier similar one."""
-    sets = _only(chosen, "of").select("d", "l", _words(F.col("line")).alias("words"))
-    ranks = _ranks(sets)
+def _entries(lines: DataFrame, ranks: Column) -> DataFrame:
+    """d, l, open, n, bits, i, word: the prefix words of the lines (d, l, open, words), dealt out by word."""
     # Keys of the words: rank above, hash below; sorted, the rarest come first.
     order = lambda w: F.shiftleft(F.element_at(ranks, _class(w) + 1).cast("long"), 44).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 20))
-    keyed = sets.select("d", "l", F.size("words").alias("n"), F.sort_array(F.transform("words", order)).alias("keys"))
+    keyed = lines.select("d", "l", "open", F.size("words").alias("n"), F.sort_array(F.transform("words", order)).alias("keys"))
     one = F.lit(1).cast("long")
     bits = F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseOR(F.call_function("shiftleft", one, k.bitwiseAND(F.lit(63)).cast("int"))))
     prefix = F.slice("keys", F.lit(1), F.col("n") - _at_least(F.col("n")) + 1)
-    entries = keyed.select("d", "l", F.col("n"), bits.alias("bits"), F.posexplode(prefix).alias("i", "key"))
+    entries = keyed.select("d", "l", "open", "n", bits.alias("bits"), F.posexplode(prefix).alias("i", "key"))
     # Forty bits of a word's hash name it here: a clash costs a comparison, nothing else.
-    entries = entries.withColumn("word", F.col("key").bitwiseAND(F.lit((1 << 40) - 1))).drop("key")
-    entries = entries.filter(F.col("word").isNotNull()).repartition("word")
-    first = Window.partitionBy("word")
-    entries = entries.withColumn("crowd", F.count(F.lit(1)).over(first) > CROWD)
-
-    def possible(x: str, y: str) -> Column:
-        """Filters on a pair of entries of one word: order, length, position, bitmap."""
-        c = lambda side, name: F.col(f"{side}.{name}")
-        n, m = c(x, "n"), c(y, "n")
-        need = F.ceil((n + m) * 4 / 9).cast("int")  # words that both must have
-        earlier = (c(y, "d") < c(x, "d")) | ((c(y, "d") == c(x, "d")) & (c(y, "l") < c(x, "l")))
-        left = F.least(n - c(x, "i"), m - c(y, "i"))
-        return earlier & (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (left >= need) & (F.bit_count(c(x, "bits").bitwiseXOR(c(y, "bits"))) <= n + m - 2 * need)
-
-    few = entries.filter(~F.col("crowd"))
-    direct = few.alias("x").join(few.alias("y"), (F.col("x.word") == F.col("y.word")) & possible("x", "y"))
-    pairs = direct.select(F.col("x.d").alias("d"), F.col("x.l").alias("l"), F.col("y.d").alias("e"), F.col("y.l").alias("k"), *[F.lit(None).cast(t).alias(c) for c, t in (("word", "long"), ("n", "int"), ("i", "int"), ("bits", "long"))])
-    lead = F.min(F.struct("d", "l", "n", "i", "bits")).over(Window.partitionBy("word", "n"))
-    members = entries.filter("crowd").select(F.struct("d", "l", "n", "i", "bits").alias("x"), lead.alias("y"), "word")
-    worth = possible("x", "y")
-    crowded = members.select("x.d", "x.l", F.when(worth, F.col("y.d")).alias("e"), F.when(worth, F.col("y.l")).alias("k"), "word", "x.n", "x.i", "x.bits")
-    found = scratch.write(pairs.union(crowded))
+    return entries.withColumn("word", F.col("key").bitwiseAND(F.lit((1 << 40) - 1))).drop("key")
+
+
+def _possible(x: str, y: str) -> Column:
+    """Filters on a pair of entries of one word: order, length, position, bitmap."""
+    c = lambda side, name: F.col(f"{side}.{name}")
+    n, m = c(x, "n"), c(y, "n")
+    need = F.ceil((n + m) * 4 / 9).cast("int")  # words that both must have
+    earlier = (c(y, "d") < c(x, "d")) | ((c(y, "d") == c(x, "d")) & (c(y, "l") < c(x, "l")))
+    left = F.least(n - c(x, "i"), m - c(y, "i"))
+    return earlier & (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (left >= need) & (F.bit_count(c(x, "bits").bitwiseXOR(c(y, "bits"))) <= n + m - 2 * need)
 
-    crowds = found.filter("word is not null").select("d", "l", "word", "n", "i", "bits")
-    proposed = found.filter("e is not null").select("d", "l", "e", "k").distinct()
 
-    sides = lambda pairs: pairs.select("d", "l").union(pairs.select(F.col("e").alias("d"), F.col("k").alias("l")))
-    ids = sides(proposed).union(crowds.select("d", "l")).distinct().groupBy("d").agg(F.collect_list("l").alias("of"))
+def _verified(pairs: DataFrame, base: DataFrame, scratch: Scratch) -> DataFrame:
+    """d, l of the pairs (d, l, e, k) of lines that are similar, by their words."""
+    pairs = scratch.write(pairs)
+    ids = pairs.select("d", "l").union(pairs.select(F.col("e").alias("d"), F.col("k").alias("l"))).distinct().groupBy("d").agg(F.collect_list("l").alias("of"))
     texts = scratch.bucketed(_only(base.join(ids, "d"), "of"), "d", "l")
+    other = texts.select(F.col("d").alias("e"), F.col("l").alias("k"), F.col("line").alias("other"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        other = texts.select(F.col("d").alias("e"), F.col("l").alias("k"), F.col("line").alias("other"))
+    def similar(pairs: DataFrame) -> DataFrame:
         both = pairs.join(texts, ["d", "l"]).join(other, ["e", "k"]).select("d", "l", _words(F.col("line")).alias("x"), _words(F.col("other")).alias("y"))
         return both.filter(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("d", "l").distinct()
 
-    # Most lines that match any do so at their earliest candidate; the other candidates of a line count only if it doesn't.
-    earliest = proposed.groupBy("d", "l").agg(F.min(F.struct("e", "k")).alias("y")).select("d", "l", "y.e", "y.k")
-    matched = scratch.write(verified(earliest))
-    second = proposed.join(matched, ["d", "l"], "left_anti").join(earliest, ["d", "l", "e", "k"], "left_anti")
-    matched = scratch.write(matched.union(verified(second)))
-    open_ = crowds.join(matched, ["d", "l"], "left_anti")
-    rest = open_.alias("x").join(crowds.alias("y"), (F.col("x.word") == F.col("y.word")) & possible("x", "y"))
-    late = verified(rest.select(F.col("x.d").alias("d"), F.col("x.l").alias("l"), F.col("y.d").alias("e"), F.col("y.l").alias("k")).distinct())
-    return matched.union(late).distinct()
+    # Most lines that match any do so at their earliest candidate; the others count only for lines that don't.
+    earliest = pairs.groupBy("d", "l").agg(F.min(F.struct("e", "k")).alias("y")).select("d", "l", "y.e", "y.k")
+    matched = scratch.write(similar(earliest))
+    second = pairs.join(matched, ["d", "l"], "left_anti").join(earliest, ["d", "l", "e", "k"], "left_anti")
+    out = scratch.write(matched.union(similar(second)))
+    scratch.discard(texts)
+    return out
+
+
+def near_removed(base: DataFrame, chosen: DataFrame, scratch: Scratch) -> DataFrame:
+    """d, l of the chosen lines (line numbers: column ``of``) that have an earlier similar one."""
+    lines = _only(chosen, "of").select("d", "l", F.lit(True).alias("open"), _words(F.col("line")).alias("words"))
+    ranks = _ranks(lines)
+    entries = _entries(lines, ranks)
+    lead = F.min(F.struct("d", "l", "n", "i", "bits")).over(Window.partitionBy("word", "n"))
+    led = entries.select(F.struct("d", "l", "n", "i", "bits").alias("x"), lead.alias("y"))
+    led = led.filter(_possible("x", "y")).select("x.d", "x.l", F.col("y.d").alias("e"), F.col("y.l").alias("k")).distinct()
+    matched = _verified(led, base, scratch)
+
+    done = matched.groupBy("d").agg(F.collect_list("l").alias("done"))
+    still = _only(chosen.join(done, "d", "left"), "of", "done")
+    still = still.select("d", "l", (~F.coalesce(F.array_contains("done", F.col("l")), F.lit(False))).alias("open"), _words(F.col("line")).alias("words"))
+    entries = _entries(still, ranks)
+    rest = entries.filter("open").alias("x").join(entries.alias("y"), (F.col("x.word") == F.col("y.word")) & _possible("x", "y"))
+    late = rest.select(F.col("x.d").alias("d"), F.col("x.l").alias("l"), F.col("y.d").alias("e"), F.col("y.l").alias("k")).distinct()
+    return matched.union(_verified(late, base, scratch))
 
 
 def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
