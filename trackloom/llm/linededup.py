@@ -135,7 +135,9 @@ def near_removed(base: DataFrame, chosen: DataFrame, scratch: Scratch) -> DataFr
     still = _only(chosen.join(done, "d", "left"), "of", "done")
     still = still.select("d", "l", (~F.coalesce(F.array_contains("done", F.col("l")), F.lit(False))).alias("open"), _words(F.col("line")).alias("words"))
     entries = _entries(still, ranks)
-    rest = entries.filter("open").alias("x").join(entries.alias("y"), (F.col("x.word") == F.col("y.word")) & _possible("x", "y"))
+    # Both sides read the same entries, so they share a shuffle; a filter of one side alone would be pushed below it.
+    open_ = F.when(F.col("x.open"), F.col("y.n")).isNotNull()
+    rest = entries.alias("x").join(entries.alias("y"), (F.col("x.word") == F.col("y.word")) & open_ & _possible("x", "y"))
     late = rest.select(F.col("x.d").alias("d"), F.col("x.l").alias("l"), F.col("y.d").alias("e"), F.col("y.l").alias("k")).distinct()
     return matched.union(_verified(late, base, scratch))
 
