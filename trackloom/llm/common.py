@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: Rows that a Python worker turns into objects at once; bounds its memory whatever the Arrow batch size is.
 SLICE_ROWS = 256
 
+#: Rows of an Arrow batch, at most; texts can be long, and the default of 10,000 rows is for narrow ones.
+BATCH_ROWS = 1024
+
 #: Spark setting under which an execution's shuffle files go when it ends.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -109,6 +112,9 @@ def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | No
                 if out is not None and out.num_rows:
                     yield out
 
+    spark = df.sparkSession
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))  # idle workers keep what a batch took
     return df.mapInArrow(run, schema)
 
 
