@@ -56,9 +56,8 @@ def _stream(spark, tmp_path, df, schema, name):
 
 
 def _run(stream, name, mode="append"):
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).start()
-    q.processAllAvailable()
-    q.stop()
+    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    assert q.awaitTermination(60)
 
 
 def test_debounce_stream_equals_batch(spark, tmp_path):
