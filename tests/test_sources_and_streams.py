@@ -61,17 +61,18 @@ def _run(stream, name, mode="append"):
 
 
 def test_debounce_stream_equals_batch(spark, tmp_path):
-    e = spark.createDataFrame([(k, t) for k in (1, 2) for t in (0, 400, 1000, 1900, 2000, 3100)], "user_id long, ms long")
-    _run(R.debounced(_stream(spark, tmp_path, e, e.schema, "a"), "user_id", 1000, 60_000), "deb")
+    e = spark.createDataFrame([(k, 10**12 + t) for k in (1, 2) for t in (0, 400, 1000, 1900, 2000, 3100)], "user_id long, ms long").withColumn("ts", F.timestamp_millis("ms"))
+    t = e.drop("ms")
+    _run(R.debounced(_stream(spark, tmp_path, t, t.schema, "a"), "user_id", 1000, "1 minute", 60_000), "deb")
     got = sorted(tuple(r) for r in spark.table("deb").collect())
     want = sorted((r.user_id, r.ms) for r in O.spaced(e, ["user_id"], "ms", 1000).collect())
-    assert got == want == [(k, t) for k in (1, 2) for t in (0, 1000, 2000, 3100)]
+    assert got == want == [(k, 10**12 + t) for k in (1, 2) for t in (0, 1000, 2000, 3100)]
 
 
 def test_door_stream(spark, tmp_path):
-    e = spark.createDataFrame([(1, 1, 90.0), (1, 2, 50.0), (1, 3, 10.0), (1, 4, 95.0)], "door long, ms long, value double")
-    _run(R.door_states(_stream(spark, tmp_path, e, e.schema, "d"), "door", 60_000), "doors")
-    assert sorted((r.ms, r.change) for r in spark.table("doors").collect()) == [(3, "open>closed"), (4, "closed>open")]
+    e = spark.createDataFrame([(1, 10**12 + t, v) for t, v in ((1, 90.0), (2, 50.0), (3, 10.0), (4, 95.0))], "door long, ms long, value double").select("door", F.timestamp_millis("ms").alias("ts"), "value")
+    _run(R.door_states(_stream(spark, tmp_path, e, e.schema, "d"), "door", "1 minute", 60_000), "doors")
+    assert sorted((r.ms - 10**12, r.change) for r in spark.table("doors").collect()) == [(3, "open>closed"), (4, "closed>open")]
 
 
 def test_windows_sessions_and_joins_stream(spark, tmp_path):

@@ -36,45 +36,49 @@ def trigger_presence(triggers: DataFrame, presence: DataFrame, key: str, before:
     return t.join(p, near, "leftOuter").select(F.col(f"t.{key}").alias(key), F.col("t.ts").alias("ts"), F.col("p.ts").alias("presence"))
 
 
-def debounced(events: DataFrame, key: str, gap_ms: int, expire_ms: int) -> DataFrame:
-    """Events (key, ms) that are ``gap_ms`` after the last that was let through; state is the time of that one, and expires."""
+def _stateful(events: DataFrame, key: str, late: str, expire_ms: int, fold, out: str, state: str) -> DataFrame:
+    """``fold(key, rows sorted by ms, state) -> (output rows, new state)`` per key; a key's state goes ``expire_ms`` of event time after its last row."""
+    columns = [c.strip().split()[0] for c in out.split(",")]
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+    def step(k: tuple, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        if group.hasTimedOut:
+            group.remove()
             return
-        last = state.get[0] if state.exists else None
-        times = pd.concat(list(batches))["ms"].sort_values().tolist()
+        rows = pd.concat(list(batches)).sort_values("ms")
+        found, now = fold(k[0], rows, group.get[0] if group.exists else None)
+        if now is not None:
+            group.update((now,))
+            group.setTimeoutTimestamp(int(max(rows["ms"].max(), group.getCurrentWatermarkMs())) + expire_ms)
+        yield pd.DataFrame(found, columns=columns).astype({"ms": "int64"})
+
+    timed = events.withColumn("ms", F.unix_millis("ts")).withWatermark("ts", late)
+    return timed.groupBy(key).applyInPandasWithState(step, out, state, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def debounced(events: DataFrame, key: str, gap_ms: int, late: str, expire_ms: int) -> DataFrame:
+    """Events (key, ts) that are ``gap_ms`` after the last that was let through; the state is the time of that one."""
+
+    def fold(k, rows, last):
         out = []
-        for t in times:
+        for t in rows["ms"].tolist():
             if last is None or t >= last + gap_ms:
-                out.append(t)
+                out.append((k, t))
                 last = t
-        state.update((last,))
-        state.setTimeoutDuration(expire_ms)
-        yield pd.DataFrame({key: [k[0]] * len(out), "ms": pd.Series(out, dtype="int64")})
+        return out, last
 
-    kind = events.schema[key].dataType.simpleString()
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, ms long", "last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return _stateful(events.select(key, "ts"), key, late, expire_ms, fold, f"{key} {events.schema[key].dataType.simpleString()}, ms long", "last long")
 
 
-def door_states(events: DataFrame, key: str, expire_ms: int, open_at: float = 66, closed_at: float = 33) -> DataFrame:
-    """Transitions of a score (ms, value) between open and closed; scores in between leave the state as it is."""
+def door_states(events: DataFrame, key: str, late: str, expire_ms: int, open_at: float = 66, closed_at: float = 33) -> DataFrame:
+    """Transitions of a score (ts, value) between open and closed; scores in between leave the state as it is."""
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        now, out = (state.get[0] if state.exists else None), []
-        for ms, value in pd.concat(list(batches)).sort_values("ms")[["ms", "value"]].itertuples(index=False):
+    def fold(k, rows, now):
+        out = []
+        for ms, value in rows[["ms", "value"]].itertuples(index=False):
             new = "open" if value >= open_at else "closed" if value < closed_at else now
             if now is not None and new != now:
-                out.append((k[0], ms, f"{now}>{new}"))
+                out.append((k, ms, f"{now}>{new}"))
             now = new
-        if now is not None:
-            state.update((now,))
-            state.setTimeoutDuration(expire_ms)
-        yield pd.DataFrame(out, columns=[key, "ms", "change"]).astype({"ms": "int64"})
+        return out, now
 
-    kind = events.schema[key].dataType.simpleString()
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, ms long, change string", "now string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return _stateful(events.select(key, "ts", "value"), key, late, expire_ms, fold, f"{key} {events.schema[key].dataType.simpleString()}, ms long, change string", "now string")
