@@ -12,7 +12,12 @@ from ..registry import query
 from .filters import _FIND, findings
 
 D = f"WITH {V.DET}"
-one = F.count(F.lit(1))
+
+
+def one():
+    """Counts rows."""
+    return F.count(F.lit(1))
+
 
 
 def _d(spark, sf_dir):
@@ -29,15 +34,15 @@ k AS (SELECT DISTINCT event_type FROM ev UNION ALL SELECT 'none') SELECT k.event
 def objects_per_class(spark, sf_dir):
     """Each id counts for its most frequent class; classes without ids count zero."""
     e = V.table(spark, sf_dir, "events")
-    n = e.groupBy("user_id", "event_type").agg(one.alias("n"))
+    n = e.groupBy("user_id", "event_type").agg(one().alias("n"))
     modal = n.withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("n"), "event_type"))).filter("r = 1")
     kinds = e.select("event_type").distinct().unionByName(spark.createDataFrame([("none",)], "event_type string"))
-    return frame_spine(kinds, modal.groupBy("event_type").agg(one.alias("objects")), ["event_type"], "objects")
+    return frame_spine(kinds, modal.groupBy("event_type").agg(one().alias("objects")), ["event_type"], "objects")
 
 
 @query("AGG3", f"{D} SELECT seq, frame, count(*) FILTER (cls = 0) AS c0, count(*) FILTER (cls = 1) AS c1, count(*) FILTER (cls = 2) AS c2 FROM det GROUP BY ALL")
 def frame_class_counts(spark, sf_dir):
-    out = _d(spark, sf_dir).groupBy("seq", "frame").pivot("cls", [0, 1, 2]).agg(one)
+    out = _d(spark, sf_dir).groupBy("seq", "frame").pivot("cls", [0, 1, 2]).agg(one())
     return out.select("seq", "frame", *[F.coalesce(F.col(str(c)), F.lit(0)).alias(f"c{c}") for c in (0, 1, 2)])
 
 
@@ -48,15 +53,15 @@ def object_variable(spark, sf_dir):
     """Per period: least, most, mean and latest count of a frame (empty frames count zero), and ids seen for the first time."""
     d = _d(spark, sf_dir).filter("cls <= 2")
     spine = _d(spark, sf_dir).select("seq").distinct().withColumn("frame", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(720).cast("long"))))
-    n = frame_spine(spine, d.groupBy("seq", "frame").agg(one.alias("n")), ["seq", "frame"], "n").withColumn("period", F.floor(F.col("frame") / 60))
-    fresh = d.groupBy("seq", "id").agg(F.min("frame").alias("frame")).groupBy("seq", F.floor(F.col("frame") / 60).alias("period")).agg(one.alias("fresh"))
+    n = frame_spine(spine, d.groupBy("seq", "frame").agg(one().alias("n")), ["seq", "frame"], "n").withColumn("period", F.floor(F.col("frame") / 60))
+    fresh = d.groupBy("seq", "id").agg(F.min("frame").alias("frame")).groupBy("seq", F.floor(F.col("frame") / 60).alias("period")).agg(one().alias("fresh"))
     stat = n.groupBy("seq", "period").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.round(F.avg("n"), 6).alias("mean"), F.max_by("n", "frame").alias("latest"))
     return frame_spine(stat, fresh, ["seq", "period"], "fresh")
 
 
 @query("AGG5 AGG11 STR22", "SELECT event_type, epoch_us(ts) // 1000 // 3600000 * 3600000 AS period, count(*) AS n FROM events GROUP BY ALL")
 def event_variable(spark, sf_dir):
-    return V.events(spark, sf_dir).groupBy("event_type", (F.floor(F.col("ms") / 3600000) * 3600000).alias("period")).agg(one.alias("n"))
+    return V.events(spark, sf_dir).groupBy("event_type", (F.floor(F.col("ms") / 3600000) * 3600000).alias("period")).agg(one().alias("n"))
 
 
 @query("AGG6", f"{D}, p AS (SELECT DISTINCT seq, frame // 60 AS period, id FROM det) SELECT seq, period, count(*) AS fresh FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.seq = p.seq AND q.id = p.id AND q.period = p.period - 1) GROUP BY ALL")
@@ -64,12 +69,12 @@ def period_newcomers(spark, sf_dir):
     """Ids of a period that the one before didn't have."""
     p = _d(spark, sf_dir).select("seq", F.floor(F.col("frame") / 60).alias("period"), "id").distinct()
     before = p.select("seq", (F.col("period") + 1).alias("period"), "id")
-    return p.join(before, ["seq", "period", "id"], "left_anti").groupBy("seq", "period").agg(one.alias("fresh"))
+    return p.join(before, ["seq", "period", "id"], "left_anti").groupBy("seq", "period").agg(one().alias("fresh"))
 
 
 @query("AGG7", f"{D} SELECT seq, cell, count(*) AS n FROM det GROUP BY ALL")
 def heatmap_samples(spark, sf_dir):
-    return _d(spark, sf_dir).groupBy("seq", "cell").agg(one.alias("n"))
+    return _d(spark, sf_dir).groupBy("seq", "cell").agg(one().alias("n"))
 
 
 @query("AGG8 WIN10", f"{D}, s AS (SELECT seq, id, cell, frame, lead(frame) OVER (PARTITION BY seq, id ORDER BY frame) AS nxt FROM det) SELECT seq, cell, sum((coalesce(nxt, frame) - frame) * 3600000)::BIGINT AS dwell FROM s GROUP BY ALL")
@@ -84,7 +89,7 @@ def traffic_paths(spark, sf_dir):
     """Ordered zone sequences of ids and how many follow each."""
     d = _d(spark, sf_dir)
     steps = F.transform(F.array_sort(F.collect_list(F.struct("frame", F.floor(F.col("cell") / 256).cast("string").alias("z")))), lambda s: s["z"])
-    return d.groupBy("seq", "id", F.floor(F.col("frame") / 120).alias("part")).agg(F.array_join(steps, ">").alias("path")).groupBy("path").agg(one.alias("n"))
+    return d.groupBy("seq", "id", F.floor(F.col("frame") / 120).alias("part")).agg(F.array_join(steps, ">").alias("path")).groupBy("path").agg(one().alias("n"))
 
 
 _IO = "CASE event_type WHEN 'click' THEN 1 WHEN 'purchase' THEN -1 ELSE 0 END"
@@ -107,8 +112,8 @@ def net_crossings(spark, sf_dir):
 @query("AGG13 STR22", f"{D}, i AS (SELECT seq, frame // 8 AS batch, id, min(cls) AS cls FROM det GROUP BY ALL HAVING count(*) >= 4) SELECT seq, batch, cls, count(*) AS n FROM i GROUP BY ALL")
 def region_count(spark, sf_dir):
     """Ids present in at least half of a batch's frames, by class."""
-    i = _d(spark, sf_dir).groupBy("seq", F.floor(F.col("frame") / 8).alias("batch"), "id").agg(F.min("cls").alias("cls"), one.alias("n")).filter("n >= 4")
-    return i.groupBy("seq", "batch", "cls").agg(one.alias("n"))
+    i = _d(spark, sf_dir).groupBy("seq", F.floor(F.col("frame") / 8).alias("batch"), "id").agg(F.min("cls").alias("cls"), one().alias("n")).filter("n >= 4")
+    return i.groupBy("seq", "batch", "cls").agg(one().alias("n"))
 
 
 @query("AGG14", f"{D} SELECT seq, cell // 256 AS zone, frame, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM det GROUP BY ALL")
@@ -122,7 +127,7 @@ SELECT * FROM m JOIN s USING (seq, win, cls)""")
 def occupancy_timeline(spark, sf_dir):
     """Distinct ids and most at once, per window and class."""
     d = _d(spark, sf_dir).withColumn("win", F.floor(F.col("frame") / 24))
-    peak = d.groupBy("seq", "win", "cls", "frame").agg(one.alias("n")).groupBy("seq", "win", "cls").agg(F.max("n").alias("peak"))
+    peak = d.groupBy("seq", "win", "cls", "frame").agg(one().alias("n")).groupBy("seq", "win", "cls").agg(F.max("n").alias("peak"))
     return d.groupBy("seq", "win", "cls").agg(F.countDistinct("id").alias("ids")).join(peak, ["seq", "win", "cls"])
 
 
@@ -131,7 +136,7 @@ def motion_rollup(spark, sf_dir):
     """Largest level of each 32 by 32 cell in a window, then of each of 4 by 4 blocks."""
     c = _d(spark, sf_dir).groupBy("seq", F.floor(F.col("frame") / 24).alias("win"), "cell").agg(F.max("score").alias("level"))
     block = F.floor(F.floor(F.col("cell") / 32) / 8) * 4 + F.floor(F.col("cell") % 32 / 8)
-    return c.groupBy("seq", "win", block.alias("block")).agg(F.max("level").alias("level"), one.alias("cells"))
+    return c.groupBy("seq", "win", block.alias("block")).agg(F.max("level").alias("level"), one().alias("cells"))
 
 
 @query("AGG17", f"{D} SELECT seq, quantile_disc(cell, 0.95) AS p95, max(cell) AS most FROM det GROUP BY seq")
@@ -150,8 +155,8 @@ SELECT seq, frame, round(max(1 - h.n / t.n + 1 - g.n / t.n), 6) AS score FROM de
 def rarity_score(spark, sf_dir):
     """An image scores by its rarest detection; class and place are the rarer the fewer detections have them."""
     d = _d(spark, sf_dir).withColumn("z", F.floor(F.col("cell") / 64))
-    total = d.agg(one.alias("t"))
-    h, g = d.groupBy("cls").agg(one.alias("h")), d.groupBy("z").agg(one.alias("g"))
+    total = d.agg(one().alias("t"))
+    h, g = d.groupBy("cls").agg(one().alias("h")), d.groupBy("z").agg(one().alias("g"))
     both = d.join(F.broadcast(h), "cls").join(F.broadcast(g), "z").join(F.broadcast(total))  # a row per class, per zone (16), and one
     return both.groupBy("seq", "frame").agg(F.round(F.max(2 - F.col("h") / F.col("t") - F.col("g") / F.col("t")), 6).alias("score"))
 
@@ -191,23 +196,23 @@ def dataset_statistics(spark, sf_dir):
     """Density (frames without boxes count), track lengths and class counts of each sequence."""
     d = _d(spark, sf_dir)
     spine = d.select("seq").distinct().withColumn("frame", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(720).cast("long"))))
-    n = frame_spine(spine, d.groupBy("seq", "frame").agg(one.alias("n")), ["seq", "frame"], "n")
+    n = frame_spine(spine, d.groupBy("seq", "frame").agg(one().alias("n")), ["seq", "frame"], "n")
     density = n.groupBy("seq").agg(F.round(F.avg("n"), 6).alias("mean"), F.max("n").alias("top")).join(A.nearest_rank(n, ["seq"], "n", 0.95, "p95"), "seq")
-    length = d.groupBy("seq", "id").agg(one.alias("n")).groupBy("seq").agg(one.alias("tracks"), F.round(F.avg("n"), 6).alias("length_mean"), F.median("n").alias("length_median"), F.max("n").alias("length_max"))
-    boxes = d.groupBy("seq").agg(one.alias("boxes"), F.count_if(F.col("cls").isin(0, 1)).alias("vehicles"))
+    length = d.groupBy("seq", "id").agg(one().alias("n")).groupBy("seq").agg(one().alias("tracks"), F.round(F.avg("n"), 6).alias("length_mean"), F.median("n").alias("length_median"), F.max("n").alias("length_max"))
+    boxes = d.groupBy("seq").agg(one().alias("boxes"), F.count_if(F.col("cls").isin(0, 1)).alias("vehicles"))
     return density.join(length, "seq").join(boxes, "seq")
 
 
 @query("AGG27", f"{D}, s AS (SELECT seq, count(*) AS n, count(DISTINCT id) AS tracks FROM det GROUP BY seq) SELECT sum(n)::BIGINT AS boxes, round(avg(n), 6) AS mean, min(n) AS lo, max(n) AS hi, arg_max(seq, n) AS densest, arg_min(seq, n) AS sparsest, sum(tracks)::BIGINT AS tracks FROM s")
 def dataset_summary(spark, sf_dir):
-    s = _d(spark, sf_dir).groupBy("seq").agg(one.alias("n"), F.countDistinct("id").alias("tracks"))
+    s = _d(spark, sf_dir).groupBy("seq").agg(one().alias("n"), F.countDistinct("id").alias("tracks"))
     return s.agg(F.sum("n").alias("boxes"), F.round(F.avg("n"), 6).alias("mean"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.max_by("seq", "n").alias("densest"), F.min_by("seq", "n").alias("sparsest"), F.sum("tracks").alias("tracks"))
 
 
 @query("AGG28 AGG29", "WITH r AS (SELECT l_suppkey AS k, l_linenumber AS rep, sum(l_quantity) AS s, count(*) AS frames FROM lineitem GROUP BY ALL) SELECT k, round(min(s * 1000 / frames), 4) AS best_ms, round(sum(s) * 1000 / sum(frames), 4) AS total_ms FROM r GROUP BY k")
 def speed_reference(spark, sf_dir):
     """Best repeat and overall time per frame."""
-    r = V.table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("k"), "l_linenumber").agg(F.sum("l_quantity").alias("s"), one.alias("frames"))
+    r = V.table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("k"), "l_linenumber").agg(F.sum("l_quantity").alias("s"), one().alias("frames"))
     return r.groupBy("k").agg(F.round(F.min(F.col("s") * 1000 / F.col("frames")), 4).alias("best_ms"), F.round(F.sum("s") * 1000 / F.sum("frames"), 4).alias("total_ms"))
 
 
@@ -226,17 +231,17 @@ def varied_config_keys(spark, sf_dir):
 
 @query("AGG32 AGG33", "SELECT event_type, user_id % 5 AS camera, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 350")
 def alert_value_counts(spark, sf_dir):
-    return V.table(spark, sf_dir, "events").groupBy("event_type", (F.col("user_id") % 5).alias("camera")).agg(one.alias("n")).filter("n > 350")
+    return V.table(spark, sf_dir, "events").groupBy("event_type", (F.col("user_id") % 5).alias("camera")).agg(one().alias("n")).filter("n > 350")
 
 
 @query("AGG33", "SELECT c_nationkey, c_mktsegment, count(*) AS n, count(DISTINCT floor(c_acctbal)) AS kinds FROM customer GROUP BY ALL HAVING count(*) > 8")
 def duplicates_having(spark, sf_dir):
-    return V.table(spark, sf_dir, "customer").groupBy("c_nationkey", "c_mktsegment").agg(one.alias("n"), F.countDistinct(F.floor("c_acctbal")).alias("kinds")).filter("n > 8")
+    return V.table(spark, sf_dir, "customer").groupBy("c_nationkey", "c_mktsegment").agg(one().alias("n"), F.countDistinct(F.floor("c_acctbal")).alias("kinds")).filter("n > 8")
 
 
 @query("RET13", f"{D}, w AS (SELECT cls, 1 / count(*) AS w FROM det GROUP BY cls) SELECT seq, frame, round(sum(w), 8) AS weight FROM det JOIN w USING (cls) GROUP BY ALL")
 def sampling_weights(spark, sf_dir):
     """Image weights as sums of inverse class frequencies."""
     d = _d(spark, sf_dir)
-    w = d.groupBy("cls").agg((1 / one).alias("w"))
+    w = d.groupBy("cls").agg((1 / one()).alias("w"))
     return d.join(F.broadcast(w), "cls").groupBy("seq", "frame").agg(F.round(F.sum("w"), 8).alias("weight"))

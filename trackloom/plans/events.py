@@ -11,7 +11,12 @@ from ..operators import filters as O
 from ..registry import query
 
 D = f"WITH {V.DET}"
-one = F.count(F.lit(1))
+
+
+def one():
+    """Counts rows."""
+    return F.count(F.lit(1))
+
 
 
 def _d(spark, sf_dir):
@@ -36,7 +41,7 @@ def blacklist_state(spark, sf_dir):
 @query("STR4 STR52", "SELECT user_id, arg_max(event_type, value * 1000000 + event_id) AS best, count(*) AS offers FROM events GROUP BY user_id")
 def attribute_priority(spark, sf_dir):
     """Attribute of highest priority per entity, ties to the later one."""
-    return V.table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_type", F.col("value") * 1000000 + F.col("event_id")).alias("best"), one.alias("offers"))
+    return V.table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_type", F.col("value") * 1000000 + F.col("event_id")).alias("best"), one().alias("offers"))
 
 
 @query("STR11", f"{D} SELECT seq, id, min(frame) AS frame FROM det WHERE cell < 512 GROUP BY ALL")
@@ -81,7 +86,7 @@ SELECT seq, min(frame) AS start, max(frame) AS last FROM s WHERE on_ GROUP BY se
 def _occupied(spark, sf_dir, condition: str, least: int):
     d = _d(spark, sf_dir)
     spine = d.select("seq").distinct().withColumn("frame", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(720).cast("long"))))
-    n = d.filter("cell < 512").groupBy("seq", "frame").agg(one.alias("n"))
+    n = d.filter("cell < 512").groupBy("seq", "frame").agg(one().alias("n"))
     c = spine.join(n, ["seq", "frame"], "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("on", F.expr(condition))
     runs = A.runs_of(c, ["seq"], "frame", "on").filter("`on`")
     return runs.filter(F.col("end") - F.col("start") + 1 >= least).select("seq", "start", F.col("end").alias("last"))
@@ -107,7 +112,7 @@ def motion_neighbours(spark, sf_dir):
     h = _d(spark, sf_dir).groupBy("seq", F.floor(F.col("frame") / 24).alias("win"), "cell").agg(F.max("score").alias("s")).filter("s >= 0.3")
     near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     dealt = h.select("seq", "win", r.alias("r"), k.alias("k"), F.explode(near).alias("o")).select("seq", "win", (F.col("r") + F.col("o.i")).alias("r"), (F.col("k") + F.col("o.j")).alias("k"), ((F.col("o.i") == 0) & (F.col("o.j") == 0)).alias("own"))
-    n = dealt.groupBy("seq", "win", "r", "k").agg(one.alias("n"), F.max("own").alias("own"))
+    n = dealt.groupBy("seq", "win", "r", "k").agg(one().alias("n"), F.max("own").alias("own"))
     return n.filter("own and n >= 2").select("seq", "win", (F.col("r") * 32 + F.col("k")).alias("cell"), "n")
 
 
@@ -129,7 +134,7 @@ def state_runs(spark, sf_dir):
     by = Window.partitionBy("user_id").orderBy("t")
     new = F.when(F.col("event_type").eqNullSafe(F.lag("event_type").over(by)), 0).otherwise(1)
     runs = e.withColumn("new", new).withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy("user_id", "run", F.col("event_type").alias("state")).agg(F.min("ms").alias("start"), F.max("ms").alias("end"), one.alias("n")).filter("n >= 3").drop("run")
+    return runs.groupBy("user_id", "run", F.col("event_type").alias("state")).agg(F.min("ms").alias("start"), F.max("ms").alias("end"), one().alias("n")).filter("n >= 3").drop("run")
 
 
 @query("STR31 STR34 STR48 STR50", f"WITH {V.EV}, b AS (SELECT user_id, ms // 21600000 AS period, min(ms * 100000 + event_id) AS m FROM ev GROUP BY ALL) SELECT user_id, period * 21600000 AS period, m % 100000 AS event_id FROM b")
@@ -144,7 +149,7 @@ SELECT seq, id, min(frame) AS frame FROM v WHERE n >= 4 AND yes / n >= 0.7 GROUP
 def vote_ratio(spark, sf_dir):
     """First time that enough samples of the last 24 frames agree."""
     w = Window.partitionBy("seq", "id").orderBy("frame").rangeBetween(-24, 0)
-    v = _d(spark, sf_dir).withColumns({"n": one.over(w), "yes": F.count_if(F.col("score") >= 0.5).over(w)})
+    v = _d(spark, sf_dir).withColumns({"n": one().over(w), "yes": F.count_if(F.col("score") >= 0.5).over(w)})
     return v.filter("n >= 4 and yes / n >= 0.7").groupBy("seq", "id").agg(F.min("frame").alias("frame"))
 
 
@@ -176,7 +181,7 @@ def recognition(spark, sf_dir):
     """Each entity and kind once, decided ten seconds after it was first seen, known if it is on the list."""
     e = V.events(spark, sf_dir)
     listed = e.filter("event_type = 'purchase' and value > 90").select("user_id").distinct().withColumn("known", F.lit(True))
-    s = e.filter("value >= 50").groupBy("user_id", "event_type").agg(F.min("ms").alias("first"), one.alias("n"))
+    s = e.filter("value >= 50").groupBy("user_id", "event_type").agg(F.min("ms").alias("first"), one().alias("n"))
     return s.join(listed, "user_id", "left").select("user_id", "event_type", "first", (F.col("first") + 10000).alias("decided"), F.coalesce("known", F.lit(False)).alias("known"), "n")
 
 
@@ -200,4 +205,4 @@ def periodic_snapshots(spark, sf_dir):
 def variable_sync(spark, sf_dir):
     """Half-hour periods that end at the next full half hour."""
     end = F.ceil(F.col("ms") / 1800000) * 1800000
-    return V.events(spark, sf_dir).groupBy((F.col("user_id") % 8).alias("camera"), end.alias("period")).agg(one.alias("n"), F.round(F.avg("value"), 5).alias("mean"), F.max_by("value", F.struct("ms", "event_id")).alias("latest"))
+    return V.events(spark, sf_dir).groupBy((F.col("user_id") % 8).alias("camera"), end.alias("period")).agg(one().alias("n"), F.round(F.avg("value"), 5).alias("mean"), F.max_by("value", F.struct("ms", "event_id")).alias("latest"))
