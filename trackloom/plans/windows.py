@@ -168,3 +168,16 @@ i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ms ROWS UNBOUNDED P
 def loitering(spark, sf_dir):
     """Presence without a gap of more than six hours, for more than four."""
     return A.islands(V.events(spark, sf_dir), ["user_id"], "ms", 21600000).filter(F.col("end") - F.col("start") > 14400000)
+
+
+@query("WIN9", f"""WITH RECURSIVE {V.DET}, r AS (SELECT seq, id, frame, cell, row_number() OVER (PARTITION BY seq, id ORDER BY frame) AS k FROM det),
+s AS (SELECT seq, id, frame, cell, k, cell AS at_, true AS new FROM r WHERE k = 1
+  UNION ALL SELECT r.seq, r.id, r.frame, r.cell, r.k, CASE WHEN abs(r.cell - s.at_) > 300 THEN r.cell ELSE s.at_ END, abs(r.cell - s.at_) > 300 FROM s JOIN r ON r.seq = s.seq AND r.id = s.id AND r.k = s.k + 1)
+SELECT seq, id, frame, cell FROM s WHERE new""")
+def movement_with_hysteresis(spark, sf_dir):
+    """A route takes a place only if it is far enough from the last one taken: a fold over each track's ordered places."""
+    far = lambda acc, p: (F.size(acc) == 0) | (F.abs(p["cell"] - F.element_at(acc, -1)["cell"]) > 300)
+    places = F.array_sort(F.collect_list(F.struct("frame", "cell")))
+    route = F.aggregate(places, F.array().cast("array<struct<frame: bigint, cell: bigint>>"), lambda acc, p: F.when(far(acc, p), F.array_append(acc, p)).otherwise(acc))
+    out = V.detections(spark, sf_dir).groupBy("seq", "id").agg(route.alias("route")).select("seq", "id", F.explode("route").alias("p"))
+    return out.select("seq", "id", "p.frame", "p.cell")
