@@ -4,7 +4,8 @@ A line is the set of its words (split at ASCII white space). A line is removed i
 the same document and a smaller line number) has a Jaccard similarity of 0.8 or more; lines are judged on the input, not on
 what is left. Equal sets are first reduced to their earliest line. The words of the others are ordered by rarity (measured
 counts of hashed words over all lines, then hash); two similar lines share a word in their prefixes, so prefixes are joined,
-with filters on order, length, position and a bitmap of the set (differing bits can't outnumber differing words).
+with filters on order, length, position and a bitmap of the set (differing bits can't outnumber differing words), and on how
+many entries two prefixes share.
 Candidates are verified on the words themselves.
 
 Copies of a line that differ here and there share their prefixes, and pairing them all up would cost the square of their
@@ -91,14 +92,24 @@ def _entries(lines: DataFrame, ranks: Column) -> DataFrame:
     return entries.withColumn("word", F.col("key").bitwiseAND(F.lit((1 << 40) - 1))).drop("key")
 
 
+def _need(n: Column, m: Column) -> Column:
+    """Words that similar lines of n and m words share at least: ceil(4 (n + m) / 9)."""
+    return F.ceil((n + m) * 4 / 9).cast("int")
+
+
+def _shared(n: Column, m: Column) -> Column:
+    """Entries that their prefixes share at least: the k-th common word is at most k + n - need words into the line of n words."""
+    return _need(n, m) + 1 - _at_least(F.greatest(n, m))
+
+
 def _possible(x: str, y: str) -> Column:
-    """Filters on a pair of entries of one word: order, length, position, bitmap."""
+    """Filters on a pair of entries of one word: order, length, position (of the first ``_shared`` common words), bitmap."""
     c = lambda side, name: F.col(f"{side}.{name}")
     n, m = c(x, "n"), c(y, "n")
-    need = F.ceil((n + m) * 4 / 9).cast("int")  # words that both must have
     earlier = (c(y, "d") < c(x, "d")) | ((c(y, "d") == c(x, "d")) & (c(y, "l") < c(x, "l")))
     left = F.least(n - c(x, "i"), m - c(y, "i"))
-    return earlier & (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (left >= need) & (F.bit_count(c(x, "bits").bitwiseXOR(c(y, "bits"))) <= n + m - 2 * need)
+    differ = F.bit_count(c(x, "bits").bitwiseXOR(c(y, "bits")))
+    return earlier & (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (left >= _at_least(F.greatest(n, m))) & (differ <= n + m - 2 * _need(n, m))
 
 
 def _verified(pairs: DataFrame, base: DataFrame, scratch: Scratch) -> DataFrame:
@@ -136,9 +147,10 @@ def near_removed(base: DataFrame, chosen: DataFrame, scratch: Scratch) -> DataFr
     still = still.select("d", "l", (~F.coalesce(F.array_contains("done", F.col("l")), F.lit(False))).alias("open"), _words(F.col("line")).alias("words"))
     entries = _entries(still, ranks)
     # Both sides read the same entries, so they share a shuffle; a filter of one side alone would be pushed below it.
-    open_ = F.when(F.col("x.open"), F.col("y.n")).isNotNull()
+    open_ = F.col("x.open").cast("int") * (F.col("y.n") + 1) > 0
     rest = entries.alias("x").join(entries.alias("y"), (F.col("x.word") == F.col("y.word")) & open_ & _possible("x", "y"))
-    late = rest.select(F.col("x.d").alias("d"), F.col("x.l").alias("l"), F.col("y.d").alias("e"), F.col("y.l").alias("k")).distinct()
+    met = rest.select(F.col("x.d").alias("d"), F.col("x.l").alias("l"), F.col("y.d").alias("e"), F.col("y.l").alias("k"), _shared(F.col("x.n"), F.col("y.n")).alias("least"))
+    late = met.groupBy("d", "l", "e", "k").agg(F.count(F.lit(1)).alias("n"), F.max("least").alias("least")).filter("n >= least").drop("n", "least")
     return matched.union(_verified(late, base, scratch))
 
 
