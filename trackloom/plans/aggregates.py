@@ -156,9 +156,9 @@ def rarity_score(spark, sf_dir):
     """An image scores by its rarest detection; class and place are the rarer the fewer detections have them."""
     d = _d(spark, sf_dir).withColumn("z", F.floor(F.col("cell") / 64))
     total = d.agg(one().alias("t"))
-    h, g = d.groupBy("cls").agg(one().alias("h")), d.groupBy("z").agg(one().alias("g"))
+    h, g = d.groupBy("cls").agg(one().alias("of_class")), d.groupBy("z").agg(one().alias("of_zone"))
     both = d.join(F.broadcast(h), "cls").join(F.broadcast(g), "z").join(F.broadcast(total))  # a row per class, per zone (16), and one
-    return both.groupBy("seq", "frame").agg(F.round(F.max(2 - F.col("h") / F.col("t") - F.col("g") / F.col("t")), 6).alias("score"))
+    return both.groupBy("seq", "frame").agg(F.round(F.max(2 - F.col("of_class") / F.col("t") - F.col("of_zone") / F.col("t")), 6).alias("score"))
 
 
 @query("AGG21 AGG22", f"{D} SELECT seq, id, round(avg(score), 8) AS mean, max(score) AS most, median(cell) AS mid_cell, median(x) AS mid_x FROM det GROUP BY ALL")
@@ -239,9 +239,9 @@ def duplicates_having(spark, sf_dir):
     return V.table(spark, sf_dir, "customer").groupBy("c_nationkey", "c_mktsegment").agg(one().alias("n"), F.countDistinct(F.floor("c_acctbal")).alias("kinds")).filter("n > 8")
 
 
-@query("RET13", f"{D}, w AS (SELECT cls, 1 / count(*) AS w FROM det GROUP BY cls) SELECT seq, frame, round(sum(w), 8) AS weight FROM det JOIN w USING (cls) GROUP BY ALL")
+@query("RET13", f"{D}, v AS (SELECT cls, 1 / count(*) AS inverse FROM det GROUP BY cls) SELECT seq, frame, round(sum(inverse), 8) AS weight FROM det JOIN v USING (cls) GROUP BY ALL")
 def sampling_weights(spark, sf_dir):
     """Image weights as sums of inverse class frequencies."""
     d = _d(spark, sf_dir)
-    w = d.groupBy("cls").agg((1 / one()).alias("w"))
-    return d.join(F.broadcast(w), "cls").groupBy("seq", "frame").agg(F.round(F.sum("w"), 8).alias("weight"))
+    w = d.groupBy("cls").agg((1 / one()).alias("inverse"))
+    return d.join(F.broadcast(w), "cls").groupBy("seq", "frame").agg(F.round(F.sum("inverse"), 8).alias("weight"))
