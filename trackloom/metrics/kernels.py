@@ -17,16 +17,23 @@ class Sequence:
     """Frames of a sequence: ids of both sides and the similarity matrix."""
 
     def __init__(self, pdf: pd.DataFrame):
+        gids, tids, pairs = defaultdict(set), defaultdict(set), defaultdict(list)
+        for f, g, t, s in zip(pdf["frame"].tolist(), pdf["gid"].tolist(), pdf["tid"].tolist(), pdf["sim"].tolist(), strict=True):
+            has_g, has_t = g is not None and g == g, t is not None and t == t  # neither null nor NaN
+            if has_g:
+                gids[f].add(int(g))
+            if has_t:
+                tids[f].add(int(t))
+            if has_g and has_t:
+                pairs[f].append((int(g), int(t), s))
         self.frames = []
-        for frame, rows in pdf.groupby("frame", sort=True):
-            g = sorted(rows["gid"].dropna().astype("int64").unique().tolist())
-            t = sorted(rows["tid"].dropna().astype("int64").unique().tolist())
+        for f in sorted(gids.keys() | tids.keys()):
+            g, t = sorted(gids[f]), sorted(tids[f])
             sim = np.zeros((len(g), len(t)))
-            both = rows.dropna(subset=["gid", "tid"])
             gi, ti = {x: i for i, x in enumerate(g)}, {x: i for i, x in enumerate(t)}
-            for a, b, s in zip(both["gid"].astype("int64"), both["tid"].astype("int64"), both["sim"], strict=True):
-                sim[gi[a], ti[b]] = s
-            self.frames.append((int(frame), g, t, sim))
+            for x, y, value in pairs[f]:
+                sim[gi[x], ti[y]] = value
+            self.frames.append((int(f), g, t, sim))
         self.gt = Counter(x for _, g, _, _ in self.frames for x in g)
         self.tr = Counter(x for _, _, t, _ in self.frames for x in t)
 
