@@ -92,3 +92,11 @@ def test_near_dedup_catches_copies_and_keeps_others(spark):
     rows = [(10, " ".join(base)), (11, " ".join(near)), (12, " ".join(base)), (13, " ".join(f"v{i}" for i in range(300))), (14, None)]
     df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in P.near_dedup(spark, df, SF).collect()) == [10, 13, 14]
+
+
+def test_near_dedup_ignores_how_often_a_shingle_repeats(spark):
+    """Equal shingle sets whose fingerprints differ in up to half of their bits."""
+    text = lambda k, n: " ".join([f"k{k}w{i}" for i in range(300)] + ["run"] * n)
+    rows = [(2 * k + j, text(k, n)) for k in range(12) for j, n in enumerate((5, 1000))]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in P.near_dedup(spark, df, SF).collect()) == list(range(0, 24, 2))
