@@ -8,7 +8,7 @@ import pytest
 import tiktoken
 
 import corpus_pipeline as P
-from trackloom.llm import registry
+from trackloom.llm import registry, similar
 from trackloom.llm.simhash import shingle_hashes
 
 SF = "/root/testdata/sf0.001"
@@ -100,3 +100,12 @@ def test_near_dedup_ignores_how_often_a_shingle_repeats(spark):
     rows = [(2 * k + j, text(k, n)) for k in range(12) for j, n in enumerate((5, 1000))]
     df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in P.near_dedup(spark, df, SF).collect()) == list(range(0, 24, 2))
+
+
+def test_near_dedup_links_large_families(spark):
+    """Two families of 60 near copies that share buckets, with one pair of similarity 0.806 between them."""
+    core, ends = [f"c{i}" for i in range(200)], [[f"{f}{i}" for i in range(24)] for f in "ab"]
+    rows = [(100 * f + k, " ".join(core + ends[f] + [f"x{f}y{k}z{i}" for i in range(10)])) for f in (0, 1) for k in range(60)]
+    rows += [(200 + f, " ".join(core + ends[f])) for f in (0, 1)]
+    got = similar.groups(spark.createDataFrame(rows, "doc_id long, text string"), words=1).collect()
+    assert len(got) == 122 and {r.component for r in got} == {0}
