@@ -1,5 +1,6 @@
 """The corpus operators against brute force on small texts, with nulls, ties, repeats, clashing columns and empty tables."""
 
+import base64
 import hashlib
 import html
 import zlib
@@ -193,3 +194,21 @@ def test_ann_is_exact(spark):
         want = [k for k in np.lexsort((ids, -s)) if ids[k] != q][:7]
         assert [(r.vec_id, round(r.score, 9)) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == [(int(ids[k]), round(s[k], 9)) for k in want]
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>"), lambda i: i % 20 == 0).count() == 0
+
+
+def test_language_rejects_unlearned_texts(spark):
+    known = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.fit(known)
+    noise = np.random.default_rng(0).bytes(900)
+    texts = [
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+        "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心，并应以兄弟关系的精神相对待。",
+        "يولد جميع الناس أحرارا متساوين في الكرامة والحقوق. وقد وهبوا عقلا وضميرا وعليهم أن يعامل بعضهم بعضا بروح الإخاء.",
+        "Tất cả mọi người sinh ra đều được tự do và bình đẳng về nhân phẩm và quyền lợi. Mọi con người đều được tạo hoá ban cho lý trí và lương tâm.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        noise.hex(),
+        base64.b64encode(noise).decode(),
+    ]
+    _, _, rejected = model.predict(texts)
+    assert rejected.all()
+    assert not model.predict([r.text for r in known.collect()])[2].any()

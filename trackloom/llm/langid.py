@@ -2,8 +2,10 @@
 
 A text becomes a normalised TF-IDF vector of hashed byte n-grams (lower-cased, digits and
 punctuation blanked). Each language has several centroids,
-clustered by spherical k-means; a text gets the language of the centroid of largest cosine. Texts whose cosine distance
-to every centroid is above a limit are flagged as rejected.
+clustered by spherical k-means; a text gets the language of the centroid of largest cosine. Texts whose cosine to every
+centroid is below the limit of the language found are flagged as rejected. The limit is ``MARGIN`` times the least cosine
+of the language's learned texts (the ``LOW``th percentile, each text left out of its own centroid). Cosines of short texts
+are smaller, about as the root of their number of distinct n-grams, so limits are lowered by it below ``FULL`` n-grams.
 
 The centroids are fitted on a bounded sample: about ``SAMPLE`` labelled rows of each language, those of smallest hash.
 
@@ -27,8 +29,8 @@ from .ngrams import codes
 
 BITS, SIZES = 13, (1, 2, 3)
 SAMPLE, CLUSTERS, ROUNDS = 400, 4, 8
-#: Cosine distance beyond which a text is rejected.
-REJECT = 0.98
+#: Percentile of the learned texts' cosines, the share of it that is the limit, and the distinct n-grams from which it is whole.
+LOW, MARGIN, FULL = 0.25, 0.75, 128
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -47,6 +49,7 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray
     owner: np.ndarray
+    limits: np.ndarray
 
     def vectors(self, texts: list[str]) -> np.ndarray:
         x = np.zeros((len(texts), 1 << BITS), np.float32)
@@ -54,22 +57,37 @@ class Model:
             x[i] = np.log1p(term_counts(t))
         return _unit(x * self.idf)
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         known = [i for i, t in enumerate(texts) if t is not None and _LETTER.search(t)] if self.langs else []
-        lang, score = ["und"] * len(texts), np.zeros(len(texts))
+        lang, score, rejected = ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
         for at in range(0, len(known), 64):
             part = known[at : at + 64]
-            cosine = self.vectors([texts[i] for i in part]) @ self.centroids.T
+            x = self.vectors([texts[i] for i in part])
+            cosine = x @ self.centroids.T
             best = cosine.argmax(1)
-            for i, b, c in zip(part, best, cosine[np.arange(len(part)), best], strict=True):
-                lang[i], score[i] = self.langs[self.owner[b]], min(1.0, max(0.0, float(c)))
-        return lang, score
+            low = self.limits[self.owner[best]] * _fullness(x)
+            for i, b, c, l in zip(part, best, cosine[np.arange(len(part)), best], low, strict=True):
+                lang[i], score[i], rejected[i] = self.langs[self.owner[b]], min(1.0, max(0.0, float(c))), c < l
+        return lang, score, rejected
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def _fullness(x: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.minimum(1, (x > 0).sum(1) / FULL))
+
+
+def limit(x: np.ndarray, c: np.ndarray) -> float:
+    """The cosine below which a text is rejected, from the learned texts of a language and its centroids."""
+    cosine = x @ c.T
+    near = cosine.argmax(1)
+    others = np.stack([x[near == j].sum(0) for j in range(len(c))])[near] - x
+    cosine[np.arange(len(x)), near] = (x * _unit(others)).sum(1)
+    return MARGIN * float(np.percentile(cosine.max(1) / np.maximum(_fullness(x), 1e-12), LOW, method="lower"))
+
+
 def cluster(x: np.ndarray, k: int) -> np.ndarray:
     """Spherical k-means from farthest-first seeds; at most k unit centroids."""
     seeds = [int((x @ x.mean(0)).argmax())]
@@ -111,7 +129,8 @@ def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     of = np.array([langs.index(r["lang"]) for r in got], int)
     parts = [cluster(x[of == i], CLUSTERS) for i in range(len(langs))]
     owner = np.repeat(np.arange(len(langs)), [len(p) for p in parts])
-    return Model(langs, idf, np.concatenate(parts) if parts else np.zeros((0, 1 << BITS), np.float32), owner)
+    limits = np.array([limit(x[of == i], p) for i, p in enumerate(parts)])
+    return Model(langs, idf, np.concatenate(parts) if parts else np.zeros((0, 1 << BITS), np.float32), owner, limits)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -123,9 +142,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     at = keep.index(text)
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lang, score = shipped.value.predict(batch.column(at).to_pylist())
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang), pa.array(score)], names=[*batch.schema.names, "lang_pred", "score"])
+        lang, score, rejected = shipped.value.predict(batch.column(at).to_pylist())
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang), pa.array(score), pa.array(rejected)], names=[*batch.schema.names, "lang_pred", "score", "rejected"])
 
-    out = map_slices(renamed, fn, f"{types}, lang_pred string, score double")
-    rejected = (F.col("lang_pred") == "und") | (F.col("score") < 1 - REJECT)
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score", rejected.alias("rejected"))
+    out = map_slices(renamed, fn, f"{types}, lang_pred string, score double, rejected boolean")
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score", "rejected")
