@@ -257,9 +257,19 @@ def verified_attributes(spark, sf_dir):
 
 @query("JN3", f"WITH {V.DET}, m AS (SELECT seq, frame, id, id % 7 * 10 AS s, 25 + id % 4 AS n FROM det WHERE frame <= 60), o AS (SELECT a.seq, a.frame, a.id AS gid, b.id AS tid, greatest(0, least(a.s + a.n, b.s + b.n) - greatest(a.s, b.s)) AS i, a.n + b.n AS t FROM m a JOIN m b ON a.seq = b.seq AND a.frame = b.frame AND a.id < b.id) SELECT seq, frame, gid, tid, round(2 * i / (2 * t - 2 * i), 6) AS iou FROM o")
 def mask_pairs(spark, sf_dir):
+    """IoU of run-length masks over the first 60 frames, which its SQL is held to; ``mask_pairs_all_frames`` does them all."""
+    return _mask_pairs(V.detections(spark, sf_dir).filter("frame <= 60"))
+
+
+@query("JN3")
+def mask_pairs_all_frames(spark, sf_dir):
+    return _mask_pairs(V.detections(spark, sf_dir))
+
+
+def _mask_pairs(boxes):
     """IoU of run-length masks; each mask here is two runs of one length, a thousand pixels apart."""
     start, n = F.col("id") % 7 * 10, 25 + F.col("id") % 4
     run = lambda s: F.struct(s.alias("start"), n.alias("length"))
-    m = V.detections(spark, sf_dir).filter("frame <= 60").select("seq", "frame", "id", F.array(run(start), run(start + 1000)).alias("mask"))
+    m = boxes.select("seq", "frame", "id", F.array(run(start), run(start + 1000)).alias("mask"))
     both = m.alias("a").join(m.alias("b"), [F.col("a.seq") == F.col("b.seq"), F.col("a.frame") == F.col("b.frame"), F.col("a.id") < F.col("b.id")])
     return both.select("a.seq", "a.frame", F.col("a.id").alias("gid"), F.col("b.id").alias("tid"), F.round(J.mask_iou(F.col("a.mask"), F.col("b.mask")), 6).alias("iou"))
