@@ -27,3 +27,16 @@ def test_medoid_of_all_vectors(spark):
         x = np.stack([v for _, v in rows])
         total = dict(zip([i for i, _ in rows], (x @ x.T).sum(1), strict=True))
         assert abs(total[got[label]] - max(total.values())) < 1e-6
+
+
+def test_smoothing_of_long_tracks_equals_the_dense_solve():
+    from trackloom.plans.windows import gaussian_mean
+
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 90, 512, 513, 720, 1025, 2600):
+        t = np.cumsum(rng.integers(1, 3, n)).astype(float)
+        y = np.cumsum(rng.normal(size=n)) * 9
+        scale = max(1.0, 10.0 * np.log(100.0 / max(n, 2)) + 10.0)
+        k = np.exp(-0.5 * ((t[:, None] - t[None]) / scale) ** 2)
+        dense = y.mean() + k @ np.linalg.solve(k + np.eye(n), y - y.mean())
+        assert np.abs(gaussian_mean(t, y) - dense).max() < 1e-9

@@ -76,21 +76,34 @@ def gap_interpolation(spark, sf_dir):
     return l.select("seq", "id", "frame", F.col("v").cast("double").alias("v"), F.lit(False).alias("filled")).unionByName(fill)
 
 
+def gaussian_mean(t, y):
+    """Gaussian-process mean of the whole track ``y`` at the ascending, distinct frames ``t``.
+
+    Long tracks are solved in windows of 512 rows with 256 more on either side. The length scale of a track of over 246 rows
+    is one frame: rows ten apart don't touch, and the inverse fades by a factor of three every ten rows or faster, so what
+    the windows leave out changes nothing that a double holds.
+    """
+    import numpy as np
+
+    scale, noise, mean = max(1.0, 10.0 * np.log(100.0 / max(len(t), 2)) + 10.0), 1.0, y.mean()
+    out = np.empty(len(y))
+    for at in range(0, len(t), 512):
+        low, high = max(0, at - 256), min(len(t), at + 768)
+        k = np.exp(-0.5 * ((t[low:high, None] - t[None, low:high]) / scale) ** 2)
+        fitted = mean + k @ np.linalg.solve(k + noise * np.eye(len(k)), y[low:high] - mean)
+        out[at : at + 512] = fitted[at - low : at - low + 512]
+    return out
+
+
 @query("WIN7 WIN8")
 def gaussian_smoothing(spark, sf_dir):
-    """Gap-filled positions smoothed by a Gaussian-process mean per track; a dense solve, so a kernel."""
+    """Gap-filled positions smoothed by a Gaussian-process mean per track; solves, so a kernel."""
     import numpy as np
     import pandas as pd
 
     def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame")
-        t, y = pdf["frame"].to_numpy(float), pdf["v"].to_numpy(float)
-        scale, noise = max(1.0, 10.0 * np.log(100.0 / max(len(t), 2)) + 10.0), 1.0
-        out = np.empty_like(y)
-        for at in range(0, len(t), 512):  # bounded solves for long tracks
-            s = slice(at, at + 512)
-            k = np.exp(-0.5 * ((t[s, None] - t[None, s]) / scale) ** 2)
-            out[s] = y[s].mean() + k @ np.linalg.solve(k + noise * np.eye(len(k)), y[s] - y[s].mean())
+        out = gaussian_mean(pdf["frame"].to_numpy(float), pdf["v"].to_numpy(float))
         return pd.DataFrame({"seq": pdf["seq"], "id": pdf["id"], "frame": pdf["frame"], "v": np.round(out, 3)})
 
     return gap_interpolation(spark, sf_dir).groupBy("seq", "id").applyInPandas(smooth, "seq long, id long, frame long, v double")
