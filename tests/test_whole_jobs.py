@@ -1,11 +1,13 @@
 """Queries that do a whole job, against brute force."""
 
+import base64
 from collections import Counter, defaultdict
 
 import numpy as np
 
 from trackloom import registry
 from trackloom import views as V
+from trackloom.functions.text import weighted_distance
 
 SF = "/root/testdata/sf0.001"
 registry.load()
@@ -40,3 +42,24 @@ def test_smoothing_of_long_tracks_equals_the_dense_solve():
         k = np.exp(-0.5 * ((t[:, None] - t[None]) / scale) ** 2)
         dense = y.mean() + k @ np.linalg.solve(k + np.eye(n), y - y.mean())
         assert np.abs(gaussian_mean(t, y) - dense).max() < 1e-9
+
+
+def test_payloads_of_whole_texts(spark):
+    texts = {r.doc_id: r.text for r in V.table(spark, SF, "documents").select("doc_id", "text").collect()}
+    got = registry.QUERIES["encode_whole_payload"](spark, SF).collect()
+    assert {r.doc_id: r.back for r in got} == texts and max(map(len, texts.values())) > 30
+    assert all(base64.b64decode(r.packed) == texts[r.doc_id].encode() for r in got)
+
+
+def test_vectors_survive_hex(spark):
+    want = {r.vec_id: np.array(r.embedding, "<f4") for r in V.table(spark, SF, "embeddings").select("vec_id", "embedding").collect()}
+    got = registry.QUERIES["vector_hex"](spark, SF).collect()
+    assert len(got) == len(want)
+    assert all(r.code == want[r.vec_id].tobytes().hex() and np.array_equal(np.array(r.back, "<f4"), want[r.vec_id]) for r in got)
+
+
+def test_plate_distance_reads_whole_names(spark):
+    part = {r.p_partkey: (r.p_name.upper(), r.p_brand.upper()) for r in V.table(spark, SF, "part").select("p_partkey", "p_name", "p_brand").collect()}
+    got = {r.p_partkey: r.distance for r in registry.QUERIES["plate_weighted_distance"](spark, SF).collect()}
+    assert got == {k: round(weighted_distance(a, b), 4) for k, (a, b) in part.items()}
+    assert any(weighted_distance(a, b) != weighted_distance(a[:8], b[:8]) for a, b in part.values())

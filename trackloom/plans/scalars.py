@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -75,13 +76,13 @@ def in_triangle(spark, sf_dir):
 
 @query("SCL9")
 def plate_weighted_distance(spark, sf_dir):
-    """Edit distance with cheap confusions of a name's start and the part's brand; an Arrow UDF, since substitution costs vary."""
+    """Edit distance with cheap confusions of a name and the part's brand; an Arrow UDF, since substitution costs vary."""
     @F.pandas_udf("double")
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([T.weighted_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
     p = V.table(spark, sf_dir, "part")
-    return p.select("p_partkey", F.round(distance(F.upper(F.substring("p_name", 1, 8)), F.upper(F.substring("p_brand", 1, 8))), 4).alias("distance"))
+    return p.select("p_partkey", F.round(distance(F.upper("p_name"), F.upper("p_brand")), 4).alias("distance"))
 
 
 @query("SCL10", "WITH t AS (SELECT event_id, strftime(ts, '%I:%M %p') AS t, hour(ts) * 60 + minute(ts) AS m FROM events) SELECT event_id, m AS opens, CASE WHEN m = 0 THEN 1440 ELSE m END AS closes FROM t")
@@ -103,14 +104,37 @@ def sigmoid_softmax(spark, sf_dir):
     return e.select("event_id", F.round(1 / (1 + F.exp(-(F.col("value") - 50) / 10)), 6).alias("p"), F.round(F.col("v")[0] / total, 6).alias("s"))
 
 
-@query("SCL13 SCL18", "SELECT doc_id, md5(text) AS code, base64(encode(left(text, 30))) AS packed, left(text, 30) AS back FROM documents")
+@query("SCL18", "SELECT doc_id, md5(text) AS code, base64(encode(left(text, 30))) AS packed, left(text, 30) AS back FROM documents")
 def encode_payload(spark, sf_dir):
+    """The first 30 characters, which its SQL is held to; ``encode_whole_payload`` codes whole texts."""
     d = V.table(spark, sf_dir, "documents")
     short = F.substring("text", 1, 30)
     packed = F.base64(F.encode(short, "UTF-8"))
     return d.select("doc_id", F.lower(F.hex(F.unhex(F.md5("text")))).alias("code"), packed.alias("packed"), F.decode(F.unbase64(packed), "UTF-8").alias("back"))
 
 
+@query("SCL18")
+def encode_whole_payload(spark, sf_dir):
+    """Whole texts as base64 of their bytes, and back."""
+    d = V.table(spark, sf_dir, "documents").withColumn("packed", F.base64(F.encode("text", "UTF-8")))
+    return d.select("doc_id", "packed", F.decode(F.unbase64("packed"), "UTF-8").alias("back"))
+
+
+@query("SCL13")
+def vector_hex(spark, sf_dir):
+    """Whole vectors as hex of their little-endian floats, and back; an Arrow UDF."""
+    @F.pandas_udf("string")
+    def pack(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes().hex())
+
+    @F.pandas_udf("array<float>")
+    def unpack(h: pd.Series) -> pd.Series:
+        return h.map(lambda x: None if x is None else np.frombuffer(bytes.fromhex(x), "<f4"))
+
+    e = V.table(spark, sf_dir, "embeddings").withColumn("code", pack("embedding"))
+    return e.select("vec_id", "code", unpack("code").alias("back"))
+
+
 @query("SCL14", """SELECT o_orderkey, left(sha256('{"priority":"' || o_orderpriority || '","status":"' || o_orderstatus || '"}'), 16) AS hash FROM orders""")
 def config_hash(spark, sf_dir):
     c = F.create_map(F.lit("status"), F.col("o_orderstatus"), F.lit("priority"), F.col("o_orderpriority"))
