@@ -30,8 +30,8 @@ def _register(name: str, covers: str) -> None:
 
 
 for _name, _covers in {
-    "sort": "TRK13 RET20", "bytetrack": "TRK1 TRK2 RET24", "bytetrack_plus": "TRK4 TRK5", "ocsort": "TRK8 JN12 RET25", "hybridsort": "TRK9 JN13 RET25", "botsort": "TRK10",
-    "fasttracker": "TRK6 TRK12 RET19", "class_aware": "TRK7 RET26", "deepsort_motion": "RET21 RET22",
+    "sort": "TRK13 RET20", "bytetrack": "TRK1 TRK2", "bytetrack_plus": "TRK5", "ocsort": "TRK8 JN12", "hybridsort": "TRK9 JN13", "botsort": "TRK10",
+    "fasttracker": "TRK12 RET19", "class_aware": "TRK7 RET26", "deepsort_motion": "RET21",
 }.items():
     assert _name in TRACKERS
     _register(_name, _covers)
