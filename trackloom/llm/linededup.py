@@ -4,9 +4,9 @@ A line is the set of its words (split at ASCII white space). A line is removed i
 the same document and a smaller line number) has a Jaccard similarity of 0.8 or more; lines are judged on the input, not on
 what is left. Equal sets are first reduced to their earliest line. The words of the others are ordered by rarity (measured
 counts of hashed words over all lines, then hash); two similar lines share a word in their prefixes, so prefixes are joined,
-with filters on order, length, position and a bitmap of the set (differing bits can't outnumber differing words), and on how
-many entries two prefixes share.
-Candidates are verified on the words themselves.
+with filters on order, length, position and a bitmap of the set. Each word turns one bit of the bitmap, so two sets differ in
+as many words as their bitmaps do in bits, or more: unlike a bitmap of words that are present, it doesn't fill up as lines
+grow, and what passes is nearly always similar. Candidates are verified on the words themselves.
 
 Copies of a line that differ here and there share their prefixes, and pairing them all up would cost the square of their
 number. So each line is first compared with the earliest line of each of its prefix words that is as long; only lines that
@@ -26,6 +26,9 @@ from .common import Scratch
 
 #: Hashed words are counted in so many classes.
 CLASSES = 1 << 16
+
+#: A word of a class that counts more is frequent: its lines are dealt to PIECES pieces where each is compared with a leader.
+PIECE, PIECES = 1 << 18, 64
 _LAST = (1 << 63) - 1
 
 
@@ -37,11 +40,19 @@ def _split(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def _spaced(line: Column) -> Column:
+    """The line's pieces between ASCII white space, empty ones included."""
+    odd = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\x0b")) | F.contains(line, F.lit("\f"))
+    return F.split(F.when(odd, F.translate(line, "\t\r\x0b\f", "    ")).otherwise(line), " ")
+
+
+def _worded(line: Column) -> Column:
+    return F.regexp_like(line, F.lit("[^ \t\x0b\f\r\n]"))
+
+
 def _words(line: Column) -> Column:
     """Distinct words of a line."""
-    odd = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\x0b")) | F.contains(line, F.lit("\f"))
-    plain = F.when(odd, F.translate(line, "\t\r\x0b\f", "    ")).otherwise(line)
-    return F.array_distinct(F.array_remove(F.split(plain, " "), ""))
+    return F.array_distinct(F.array_remove(_spaced(line), ""))
 
 
 def _at_least(n: Column) -> Column:
@@ -49,74 +60,73 @@ def _at_least(n: Column) -> Column:
     return F.ceil(n * 4 / 5).cast("int")
 
 
-def _class(word: Column) -> Column:
-    return F.xxhash64(word).bitwiseAND(F.lit(CLASSES - 1)).cast("int")
+def _need(n: Column, m: Column) -> Column:
+    """Words that similar lines of n and m words share at least: ceil(4 (n + m) / 9)."""
+    return F.ceil((n + m) * 4 / 9).cast("int")
 
 
-def _ranks(lines: DataFrame) -> Column:
-    """An array literal: the rank by count (0: rarest) of each class of hashed words, over all lines."""
-    counts = lines.select(F.explode("words").alias("w")).groupBy(_class(F.col("w")).alias("c")).count().collect()  # CLASSES rows at most
-    rank = [0] * CLASSES
-    for r, row in enumerate(sorted(counts, key=lambda row: (row["count"], row["c"]))):
-        rank[row["c"]] = r
-    return F.split(F.lit(",".join(map(str, rank))), ",").cast("array<int>")
+def _class(hashed: Column) -> Column:
+    return hashed.bitwiseAND(F.lit(CLASSES - 1)).cast("int")
 
 
-def _only(base: DataFrame, numbers: str, *more: str) -> DataFrame:
-    """d, l, line (and more columns) of the line numbers in the array column ``numbers``."""
-    each = base.filter(F.size(numbers) > 0).select("d", numbers, *more, F.posexplode(_split(F.col("text"))).alias("l", "line"))
-    return each.filter(F.array_contains(numbers, F.col("l"))).select("d", "l", "line", *more)
+def _each(base: DataFrame) -> DataFrame:
+    return base.select("d", F.posexplode(_split(F.col("text"))).alias("l", "line"))
 
 
-def kept_lines(base: DataFrame, scratch: Scratch) -> DataFrame:
-    """d, l: the lines with words that stay. base: d and text, bucketed by d."""
-    words = F.sort_array(_words(F.col("line")))
-    lines = base.select("d", F.posexplode(_split(F.col("text"))).alias("l", "line")).select("d", "l", words.alias("words")).filter(F.size("words") > 0)
-    keyed = lines.select(F.xxhash64("words").alias("h1"), F.xxhash64("words", F.lit(1)).alias("h2"), F.size("words").alias("n"), F.struct("d", "l").alias("at"))
-    sets = scratch.write(keyed.groupBy("h1", "h2", "n").agg(F.min("at").alias("at")).select("at.*", "n"))
-    long = sets.filter("n > 3").groupBy("d").agg(F.collect_list("l").alias("of"))
-    removed = near_removed(base, base.join(long, "d"), scratch)
-    return sets.select("d", "l").join(removed, ["d", "l"], "left_anti")
+def _ranks(base: DataFrame) -> tuple[Column, int]:
+    """An array literal with the rank by count (0: rarest) of each class of hashed words, over all lines; the first rank of more than ``PIECE``."""
+    words = _each(base).select(F.explode(_spaced(F.col("line"))).alias("w"))
+    counts = words.groupBy(_class(F.xxhash64("w")).alias("c")).count().collect()  # CLASSES rows at most
+    rank = [0] * CLASSES
+    for r, row in enumerate(sorted(counts, key=lambda row: (row["count"], row["c"]))):
+        rank[row["c"]] = r
+    frequent = sum(row["count"] <= PIECE for row in counts)
+    return F.split(F.lit(",".join(map(str, rank))), ",").cast("array<int>"), frequent
 
 
-def _entries(lines: DataFrame, ranks: Column) -> DataFrame:
-    """d, l, open, n, bits, i, word: the prefix words of the lines (d, l, open, words), dealt out by word."""
-    # Keys of the words: rank above, hash below; sorted, the rarest come first.
-    order = lambda w: F.shiftleft(F.element_at(ranks, _class(w) + 1).cast("long"), 44).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 20))
-    keyed = lines.select("d", "l", "open", F.size("words").alias("n"), F.sort_array(F.transform("words", order)).alias("keys"))
-    one = F.lit(1).cast("long")
-    bits = F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseOR(F.call_function("shiftleft", one, k.bitwiseAND(F.lit(63)).cast("int"))))
-    prefix = F.slice("keys", F.lit(1), F.col("n") - _at_least(F.col("n")) + 1)
-    entries = keyed.select("d", "l", "open", "n", bits.alias("bits"), F.posexplode(prefix).alias("i", "key"))
-    # Forty bits of a word's hash name it here: a clash costs a comparison, nothing else.
-    return entries.withColumn("word", F.col("key").bitwiseAND(F.lit((1 << 40) - 1))).drop("key")
+def _folded(of: str, bit) -> Column:
+    """Exclusive or of ``bit`` of each element."""
+    return F.aggregate(of, F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(bit(k)))
 
 
-def _need(n: Column, m: Column) -> Column:
-    """Words that similar lines of n and m words share at least: ceil(4 (n + m) / 9)."""
-    return F.ceil((n + m) * 4 / 9).cast("int")
+def _sets(base: DataFrame) -> DataFrame:
+    """The earliest line of each set of words: d, l, n, bitmap (b1, b2), prefix (words by rarity) and how many of it are not frequent."""
+    ranks, frequent = _ranks(base)
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    low, n = F.lit((1 << 32) - 1), F.size("k")
+    # A filter on n would be pushed down and split each line once more.
+    hashed = _each(base).filter(_worded(F.col("line"))).select("d", "l", F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)).alias("k"))
+    # Keys of the words: rank above, hash below; sorted, the rarest come first.
+    order = F.sort_array(F.transform("k", lambda k: F.shiftleft(F.coalesce(F.get(ranks, _class(k)), F.lit(0)).cast("long"), 32).bitwiseOR(F.shiftrightunsigned(k, 32))))
+    prefix = F.when(n > 3, F.slice(order, F.lit(1), n - _at_least(n) + 1)).otherwise(F.array().cast("array<long>"))
+    # A word turns one bit of 128: sets differ in as many words as bits, at least.
+    bit = lambda upper: lambda k: F.when(k.bitwiseAND(F.lit(64)) == upper, F.call_function("shiftleft", one, k.bitwiseAND(F.lit(63)).cast("int"))).otherwise(none)
+    own = hashed.select(
+        "d", "l", n.alias("n"), _folded("k", lambda k: k).alias("h1"), _folded("k", lambda k: F.xxhash64(k)).alias("h2"), _folded("k", bit(0)).alias("b1"), _folded("k", bit(64)).alias("b2"), prefix.alias("keys")
+    )
+    # Thirty-one bits of a word's hash name it from here on: a clash costs a comparison, nothing else.
+    named = F.transform("keys", lambda k: k.bitwiseAND(low).bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
+    rare = F.size(F.filter("keys", lambda k: k < F.lit(frequent << 32)))
+    first = own.groupBy("h1", "h2", "n").agg(F.min(F.struct("d", "l", "b1", "b2", "keys")).alias("x")).select("x.*", "n")
+    return first.select("d", "l", "n", "b1", "b2", named.alias("prefix"), rare.alias("rare"))
 
 
-def _shared(n: Column, m: Column) -> Column:
-    """Entries that their prefixes share at least: the k-th common word is at most k + n - need words into the line of n words."""
-    return _need(n, m) + 1 - _at_least(F.greatest(n, m))
+def _near(n: Column, m: Column, differ: Column) -> Column:
+    """Length and bitmap filter: sets of n and m words differ in as many words as their bitmaps in bits, at least."""
+    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (differ <= n + m - 2 * _need(n, m))
 
 
-def _possible(x: str, y: str) -> Column:
-    """Filters on a pair of entries of one word: order, length, position (of the first ``_shared`` common words), bitmap."""
-    c = lambda side, name: F.col(f"{side}.{name}")
-    n, m = c(x, "n"), c(y, "n")
-    earlier = (c(y, "d") < c(x, "d")) | ((c(y, "d") == c(x, "d")) & (c(y, "l") < c(x, "l")))
-    left = F.least(n - c(x, "i"), m - c(y, "i"))
-    differ = F.bit_count(c(x, "bits").bitwiseXOR(c(y, "bits")))
-    return earlier & (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (left >= _at_least(F.greatest(n, m))) & (differ <= n + m - 2 * _need(n, m))
+def _places(n: Column, i: Column, m: Column, j: Column) -> Column:
+    """Position filter: the first common word has all other common ones behind it."""
+    return F.least(n - i, m - j) >= _need(n, m)
 
 
 def _verified(pairs: DataFrame, base: DataFrame, scratch: Scratch) -> DataFrame:
     """d, l of the pairs (d, l, e, k) of lines that are similar, by their words."""
     pairs = scratch.write(pairs)
     ids = pairs.select("d", "l").union(pairs.select(F.col("e").alias("d"), F.col("k").alias("l"))).distinct().groupBy("d").agg(F.collect_list("l").alias("of"))
-    texts = scratch.bucketed(_only(base.join(ids, "d"), "of"), "d", "l")
+    each = base.join(ids, "d").select("d", "of", F.posexplode(_split(F.col("text"))).alias("l", "line"))
+    texts = scratch.bucketed(each.filter(F.array_contains("of", F.col("l"))).select("d", "l", "line"), "d", "l")
     other = texts.select(F.col("d").alias("e"), F.col("l").alias("k"), F.col("line").alias("other"))
 
     def similar(pairs: DataFrame) -> DataFrame:
@@ -132,35 +142,51 @@ def _verified(pairs: DataFrame, base: DataFrame, scratch: Scratch) -> DataFrame:
     return out
 
 
-def near_removed(base: DataFrame, chosen: DataFrame, scratch: Scratch) -> DataFrame:
-    """d, l of the chosen lines (line numbers: column ``of``) that have an earlier similar one."""
-    lines = _only(chosen, "of").select("d", "l", F.lit(True).alias("open"), _words(F.col("line")).alias("words"))
-    ranks = _ranks(lines)
-    entries = _entries(lines, ranks)
-    lead = F.min(F.struct("d", "l", "n", "i", "bits")).over(Window.partitionBy("word", "n"))
-    led = entries.select(F.struct("d", "l", "n", "i", "bits").alias("x"), lead.alias("y"))
-    led = led.filter(_possible("x", "y")).select("x.d", "x.l", F.col("y.d").alias("e"), F.col("y.l").alias("k")).distinct()
-    matched = _verified(led, base, scratch)
-
-    done = matched.groupBy("d").agg(F.collect_list("l").alias("done"))
-    still = _only(chosen.join(done, "d", "left"), "of", "done")
-    still = still.select("d", "l", (~F.coalesce(F.array_contains("done", F.col("l")), F.lit(False))).alias("open"), _words(F.col("line")).alias("words"))
-    entries = _entries(still, ranks)
-    # Both sides read the same entries, so they share a shuffle; a filter of one side alone would be pushed below it.
-    open_ = F.col("x.open").cast("int") * (F.col("y.n") + 1) > 0
-    rest = entries.alias("x").join(entries.alias("y"), (F.col("x.word") == F.col("y.word")) & open_ & _possible("x", "y"))
-    met = rest.select(F.col("x.d").alias("d"), F.col("x.l").alias("l"), F.col("y.d").alias("e"), F.col("y.l").alias("k"), _shared(F.col("x.n"), F.col("y.n")).alias("least"))
-    late = met.groupBy("d", "l", "e", "k").agg(F.count(F.lit(1)).alias("n"), F.max("least").alias("least")).filter("n >= least").drop("n", "least")
+def near_removed(sets: DataFrame, base: DataFrame, scratch: Scratch) -> DataFrame:
+    """d, l of the lines in ``sets`` that have an earlier similar one."""
+    entries = lambda of, *more: of.filter(F.size("prefix") > 0).select("d", "l", "n", "b1", "b2", *more, F.posexplode("prefix").alias("i", "word"))
+    # A line number and a position fit in one number, and so do a word, a piece and a length: narrow rows, and a key that sorts fastest.
+    at = F.shiftleft(F.col("l").cast("long"), 32).bitwiseOR(F.col("i").cast("long"))
+    line = lambda of: F.shiftright(of, 32).cast("int")
+    place = lambda of: of.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    earlier = lambda d, l, e, k: (e < d) | ((e == d) & (k < l))
+
+    # One leader for each word and length; a frequent word's lines are dealt to pieces, each with a leader of its own.
+    piece = F.when(F.col("i") >= F.col("rare"), F.pmod(F.xxhash64("d", "l"), F.lit(PIECES))).otherwise(0)
+    key = F.shiftleft(F.col("word").cast("long"), 32).bitwiseOR(F.shiftleft(piece, 26)).bitwiseOR(F.least("n", F.lit((1 << 26) - 1)).cast("long"))
+    keyed = entries(sets, "rare").select(key.alias("key"), "d", at.alias("at"), "b1", "b2")
+    lead = F.min(F.struct("d", "at", "b1", "b2")).over(Window.partitionBy("key"))
+    led = keyed.select((F.col("key").bitwiseAND(F.lit((1 << 26) - 1))).cast("int").alias("n"), "d", "at", "b1", "b2", lead.alias("y"))
+    n, differ = F.col("n"), F.bit_count(F.col("b1").bitwiseXOR(F.col("y.b1"))) + F.bit_count(F.col("b2").bitwiseXOR(F.col("y.b2")))
+    led = led.filter(((F.col("y.d") != F.col("d")) | (line(F.col("y.at")) != line(F.col("at")))) & _near(n, n, differ) & _places(n, place(F.col("at")), n, place(F.col("y.at"))))
+    matched = _verified(led.select("d", line(F.col("at")).alias("l"), F.col("y.d").alias("e"), line(F.col("y.at")).alias("k")).distinct(), base, scratch)
+
+    done = matched.select("d", "l", F.lit(True).alias("done"))
+    # Matched lines are only partners from here on, which a negative n says: both sides of the join then read the same entries, and share a shuffle.
+    marked = scratch.write(sets.join(done, ["d", "l"], "left").withColumn("n", F.when(F.col("done"), -F.col("n")).otherwise(F.col("n"))).drop("done"))
+    packed = entries(marked).select("word", "d", at.alias("at"), "n", "b1", "b2")
+    x, y = (lambda name: F.col(f"x.{name}")), (lambda name: F.col(f"y.{name}"))
+    n, m = F.abs(x("n")), F.abs(y("n"))
+    differ = F.bit_count(x("b1").bitwiseXOR(y("b1"))) + F.bit_count(x("b2").bitwiseXOR(y("b2")))
+    met = (x("word") == y("word")) & (x("n") * m > 0) & _near(n, m, differ) & earlier(x("d"), line(x("at")), y("d"), line(y("at"))) & _places(n, place(x("at")), m, place(y("at")))
+    rest = packed.alias("x").join(packed.alias("y"), met)
+    late = rest.select(x("d").alias("d"), line(x("at")).alias("l"), y("d").alias("e"), line(y("at")).alias("k")).distinct()
     return matched.union(_verified(late, base, scratch))
 
 
+def kept_lines(base: DataFrame, scratch: Scratch) -> DataFrame:
+    """d, l: the lines with words that stay. base: d and text, bucketed by d."""
+    sets = scratch.write(_sets(base))
+    return sets.select("d", "l").join(near_removed(sets, base, scratch), ["d", "l"], "left_anti")
+
+
 def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_lines, n_removed, removed_lines (their numbers from 0, comma-separated) for every row."""
     scratch = Scratch(docs.sparkSession, "lines")
     base = scratch.bucketed(docs.select(F.col(doc_id).alias("doc_id"), _id(doc_id).alias("d"), F.col(text).alias("text")), "d")
     kept = kept_lines(base.select("d", "text"), scratch).groupBy("d").agg(F.collect_list("l").alias("kept"))
     lines, none = _split(F.col("text")), F.array().cast("array<int>")
-    worded = F.array_compact(F.transform(lines, lambda line, i: F.when(F.regexp_like(line, F.lit("[^ \t\x0b\f\r\n]")), i)))
+    worded = F.array_compact(F.transform(lines, lambda line, i: F.when(_worded(line), i)))
     own = base.select("doc_id", "d", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).alias("n"), F.coalesce(worded, none).alias("worded"))
     both = own.join(kept, "d", "left").withColumn("gone", F.sort_array(F.array_except("worded", F.coalesce("kept", none))))
     return both.select("doc_id", F.col("n").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"), F.array_join(F.col("gone").cast("array<string>"), ",").alias("removed_lines"))
@@ -173,6 +199,6 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     base = scratch.bucketed(docs.select(_id(doc_id).alias("d"), *[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)]), "d")
     own = names[docs.columns.index(text)]
     kept = kept_lines(base.select("d", F.col(own).alias("text")), scratch).groupBy("d").agg(F.collect_list("l").alias("kept"))
-    stays = lambda line, i: ~F.regexp_like(line, F.lit("[^ \t\x0b\f\r\n]")) | F.coalesce(F.array_contains("kept", i), F.lit(False))
+    stays = lambda line, i: ~_worded(line) | F.coalesce(F.array_contains("kept", i), F.lit(False))
     out = base.join(kept, "d", "left").withColumn(own, F.array_join(F.filter(_split(F.col(own)), stays), "\n"))
     return out.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
