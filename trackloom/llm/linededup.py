@@ -60,11 +60,6 @@ def _at_least(n: Column) -> Column:
     return F.ceil(n * 4 / 5).cast("int")
 
 
-def _need(n: Column, m: Column) -> Column:
-    """Words that similar lines of n and m words share at least: ceil(4 (n + m) / 9)."""
-    return F.ceil((n + m) * 4 / 9).cast("int")
-
-
 def _class(hashed: Column) -> Column:
     return hashed.bitwiseAND(F.lit(CLASSES - 1)).cast("int")
 
@@ -74,14 +69,14 @@ def _each(base: DataFrame) -> DataFrame:
 
 
 def _ranks(base: DataFrame) -> tuple[Column, int]:
-    """An array literal with the rank by count (0: rarest) of each class of hashed words, over all lines; the first rank of more than ``PIECE``."""
+    """An array literal with the rank by count (0: rarest) of each class of hashed words, over all texts, times 2^32; the first rank of more than ``PIECE``."""
     words = _each(base).select(F.explode(_spaced(F.col("line"))).alias("w"))
     counts = words.groupBy(_class(F.xxhash64("w")).alias("c")).count().collect()  # CLASSES rows at most
     rank = [0] * CLASSES
     for r, row in enumerate(sorted(counts, key=lambda row: (row["count"], row["c"]))):
         rank[row["c"]] = r
     frequent = sum(row["count"] <= PIECE for row in counts)
-    return F.split(F.lit(",".join(map(str, rank))), ",").cast("array<int>"), frequent
+    return F.split(F.lit(",".join(str(r << 32) for r in rank)), ",").cast("array<long>"), frequent
 
 
 def _folded(of: str, bit) -> Column:
@@ -94,31 +89,31 @@ def _sets(base: DataFrame) -> DataFrame:
     ranks, frequent = _ranks(base)
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
     low, n = F.lit((1 << 32) - 1), F.size("k")
-    # A filter on n would be pushed down and split each line once more.
-    hashed = _each(base).filter(_worded(F.col("line"))).select("d", "l", F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)).alias("k"))
+    # Hashes are quicker to compare than words. A filter on n would be pushed down and split each line once more.
+    words = F.array_remove(F.array_distinct(F.transform(_spaced(F.col("line")), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    hashed = _each(base).filter(_worded(F.col("line"))).select("d", "l", words.alias("k"))
     # Keys of the words: rank above, hash below; sorted, the rarest come first.
-    order = F.sort_array(F.transform("k", lambda k: F.shiftleft(F.coalesce(F.get(ranks, _class(k)), F.lit(0)).cast("long"), 32).bitwiseOR(F.shiftrightunsigned(k, 32))))
+    order = F.sort_array(F.transform("k", lambda k: F.coalesce(F.get(ranks, _class(k)), none).bitwiseOR(F.shiftrightunsigned(k, 32))))
     prefix = F.when(n > 3, F.slice(order, F.lit(1), n - _at_least(n) + 1)).otherwise(F.array().cast("array<long>"))
     # A word turns one bit of 128: sets differ in as many words as bits, at least.
     bit = lambda upper: lambda k: F.when(k.bitwiseAND(F.lit(64)) == upper, F.call_function("shiftleft", one, k.bitwiseAND(F.lit(63)).cast("int"))).otherwise(none)
-    own = hashed.select(
-        "d", "l", n.alias("n"), _folded("k", lambda k: k).alias("h1"), _folded("k", lambda k: F.xxhash64(k)).alias("h2"), _folded("k", bit(0)).alias("b1"), _folded("k", bit(64)).alias("b2"), prefix.alias("keys")
-    )
+    folded = hashed.select("d", "l", n.alias("n"), _folded("k", lambda k: k).alias("h"), _folded("k", bit(0)).alias("b1"), _folded("k", bit(64)).alias("b2"), prefix.alias("keys"))
     # Thirty-one bits of a word's hash name it from here on: a clash costs a comparison, nothing else.
     named = F.transform("keys", lambda k: k.bitwiseAND(low).bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
     rare = F.size(F.filter("keys", lambda k: k < F.lit(frequent << 32)))
-    first = own.groupBy("h1", "h2", "n").agg(F.min(F.struct("d", "l", "b1", "b2", "keys")).alias("x")).select("x.*", "n")
+    # Equal sets are those whose folded hash, bitmap and size are equal: 192 bits and more.
+    first = folded.groupBy("h", "b1", "b2", "n").agg(F.min(F.struct("d", "l", "keys")).alias("x")).select("x.*", "n", "b1", "b2")
     return first.select("d", "l", "n", "b1", "b2", named.alias("prefix"), rare.alias("rare"))
 
 
 def _near(n: Column, m: Column, differ: Column) -> Column:
-    """Length and bitmap filter: sets of n and m words differ in as many words as their bitmaps in bits, at least."""
-    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (differ <= n + m - 2 * _need(n, m))
+    """Bitmap and length filter: similar sets differ in a ninth of n + m words at most, and their bitmaps in as few bits."""
+    return (9 * differ <= n + m) & (5 * F.least(n, m) >= 4 * F.greatest(n, m))
 
 
 def _places(n: Column, i: Column, m: Column, j: Column) -> Column:
-    """Position filter: the first common word has all other common ones behind it."""
-    return F.least(n - i, m - j) >= _need(n, m)
+    """Position filter: the first common word has the others behind it, and all are four ninths of n + m at least."""
+    return 9 * F.least(n - i, m - j) >= 4 * (n + m)
 
 
 def _verified(pairs: DataFrame, base: DataFrame, scratch: Scratch) -> DataFrame:
@@ -145,30 +140,32 @@ def _verified(pairs: DataFrame, base: DataFrame, scratch: Scratch) -> DataFrame:
 def near_removed(sets: DataFrame, base: DataFrame, scratch: Scratch) -> DataFrame:
     """d, l of the lines in ``sets`` that have an earlier similar one."""
     entries = lambda of, *more: of.filter(F.size("prefix") > 0).select("d", "l", "n", "b1", "b2", *more, F.posexplode("prefix").alias("i", "word"))
-    # A line number and a position fit in one number, and so do a word, a piece and a length: narrow rows, and a key that sorts fastest.
-    at = F.shiftleft(F.col("l").cast("long"), 32).bitwiseOR(F.col("i").cast("long"))
+    # A line number and a small one fit in one number, and so do a word, a piece and a length: narrow rows, and a key that sorts fastest.
+    at = lambda of: F.shiftleft(F.col("l").cast("long"), 32).bitwiseOR(of.cast("long"))
     line = lambda of: F.shiftright(of, 32).cast("int")
-    place = lambda of: of.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    low = lambda of: of.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
     earlier = lambda d, l, e, k: (e < d) | ((e == d) & (k < l))
 
-    # One leader for each word and length; a frequent word's lines are dealt to pieces, each with a leader of its own.
+    # One leader for each word and class of lengths; a frequent word's lines are dealt to pieces, each with a leader of its own.
     piece = F.when(F.col("i") >= F.col("rare"), F.pmod(F.xxhash64("d", "l"), F.lit(PIECES))).otherwise(0)
-    key = F.shiftleft(F.col("word").cast("long"), 32).bitwiseOR(F.shiftleft(piece, 26)).bitwiseOR(F.least("n", F.lit((1 << 26) - 1)).cast("long"))
-    keyed = entries(sets, "rare").select(key.alias("key"), "d", at.alias("at"), "b1", "b2")
+    length = F.floor(F.log(F.col("n")) * 10)
+    key = F.shiftleft(F.col("word").cast("long"), 32).bitwiseOR(F.shiftleft(piece, 26)).bitwiseOR(length)
+    keyed = entries(sets, "rare").select(key.alias("key"), "d", at(F.col("n")).alias("at"), "b1", "b2")
     lead = F.min(F.struct("d", "at", "b1", "b2")).over(Window.partitionBy("key"))
-    led = keyed.select((F.col("key").bitwiseAND(F.lit((1 << 26) - 1))).cast("int").alias("n"), "d", "at", "b1", "b2", lead.alias("y"))
-    n, differ = F.col("n"), F.bit_count(F.col("b1").bitwiseXOR(F.col("y.b1"))) + F.bit_count(F.col("b2").bitwiseXOR(F.col("y.b2")))
-    led = led.filter(((F.col("y.d") != F.col("d")) | (line(F.col("y.at")) != line(F.col("at")))) & _near(n, n, differ) & _places(n, place(F.col("at")), n, place(F.col("y.at"))))
+    led = keyed.select("d", "at", "b1", "b2", lead.alias("y"))
+    differ = F.bit_count(F.col("b1").bitwiseXOR(F.col("y.b1"))) + F.bit_count(F.col("b2").bitwiseXOR(F.col("y.b2")))
+    led = led.filter(earlier(F.col("d"), line(F.col("at")), F.col("y.d"), line(F.col("y.at"))) & _near(low(F.col("at")), low(F.col("y.at")), differ))
     matched = _verified(led.select("d", line(F.col("at")).alias("l"), F.col("y.d").alias("e"), line(F.col("y.at")).alias("k")).distinct(), base, scratch)
 
     done = matched.select("d", "l", F.lit(True).alias("done"))
     # Matched lines are only partners from here on, which a negative n says: both sides of the join then read the same entries, and share a shuffle.
     marked = scratch.write(sets.join(done, ["d", "l"], "left").withColumn("n", F.when(F.col("done"), -F.col("n")).otherwise(F.col("n"))).drop("done"))
-    packed = entries(marked).select("word", "d", at.alias("at"), "n", "b1", "b2")
+    packed = entries(marked).select("word", "d", at(F.col("i")).alias("at"), "n", "b1", "b2")
     x, y = (lambda name: F.col(f"x.{name}")), (lambda name: F.col(f"y.{name}"))
     n, m = F.abs(x("n")), F.abs(y("n"))
     differ = F.bit_count(x("b1").bitwiseXOR(y("b1"))) + F.bit_count(x("b2").bitwiseXOR(y("b2")))
-    met = (x("word") == y("word")) & (x("n") * m > 0) & _near(n, m, differ) & earlier(x("d"), line(x("at")), y("d"), line(y("at"))) & _places(n, place(x("at")), m, place(y("at")))
+    before = earlier(x("d"), line(x("at")), y("d"), line(y("at")))
+    met = (x("word") == y("word")) & (x("n") * m > 0) & before & _near(n, m, differ) & _places(n, low(x("at")), m, low(y("at")))
     rest = packed.alias("x").join(packed.alias("y"), met)
     late = rest.select(x("d").alias("d"), line(x("at")).alias("l"), y("d").alias("e"), line(y("at")).alias("k")).distinct()
     return matched.union(_verified(late, base, scratch))
