@@ -1,20 +1,24 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one a block element, in page order. Lines of page furniture (menus, headers, footers,
-sidebars, notices, adverts, forms, reader comments) keep their place but count no characters. Over the lines slides a
-window of ``WINDOW`` lines whose character counts are summed; text starts where the sum surges from nothing and ends where
-it dives to nothing. If the page marks its article, other lines count nothing either; if not, only spans that hold a
-fair share of the largest span's characters are kept.
+Markup is stripped into lines, one a block element, in page order; what can't be text (scripts, styles, controls) makes no
+lines. Menus, headers, footers, sidebars, notices, adverts, forms and reader comments go as far as elements or words of
+their class, id or role say so, but such a word is evidence only: an element that holds the page's article, or more text
+than all that would be left, stays (one called comments or nav goes as long as there is an article beside it).
+
+Over the lines that are left slides a window of ``WINDOW`` lines whose characters outside of links are summed. Text starts
+where the sum surges above a threshold measured on the page, ends where it dives below, and all between is kept, short lines
+and links too. If the page marks its article, lines outside count nothing and each one inside is enough for a surge.
 
 Edge cases: null and empty pages give an empty text; pages cut off in a tag, a reference or an open element are read as
-far as they go; references are decoded once, after the markup is gone; repeated rows each get their row; an empty table
-gives an empty result.
+far as they go; references are decoded once, after the markup is gone; a page of links only has no text, unless an article
+is marked; repeated rows each get their row; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html as references
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,44 +27,63 @@ from pyspark.sql import functions as F
 from .common import map_slices
 
 WINDOW = 3
-#: Characters per window above which text has surged.
-SURGE = 0
-#: Share of the largest span's characters that another span must hold, on pages without a marked article.
-SHARE = 0.2
+#: Text has surged where a window holds this share of the characters of the page's largest window, or that many.
+SURGE, ENOUGH = 0.05, 80
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=/?[a-zA-Z])[^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _SPLIT = re.compile(r"[^a-z0-9]+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 # Element names of HTML.
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "plaintext"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "ruby", "rb", "rt", "rp", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
-FURNITURE = {"nav", "header", "footer", "aside", "form", "script", "style", "noscript", "template", "head", "menu", "dialog", "select", "button", "svg", "iframe", "object", "audio", "video", "canvas", "input", "textarea", "title", "fieldset", "option", "datalist"}
+HIDDEN = {"script", "style", "noscript", "template", "head", "menu", "select", "button", "svg", "iframe", "object", "audio", "video", "canvas", "input", "textarea", "title", "option", "datalist"}
+FURNITURE = {"nav", "header", "footer", "aside", "form", "dialog", "fieldset"}
 # Words of class, id and role that mark page furniture.
 MARKS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "adbox", "adsbygoogle", "banner", "sponsor", "sponsored", "promo", "promotion", "nav", "navbar", "navigation", "menu", "menubar", "breadcrumb", "breadcrumbs", "sidebar", "aside", "complementary", "rail", "widget", "footer", "contentinfo", "header", "masthead", "topbar", "toolbar", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "disclaimer", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "search", "searchbox", "share", "sharing", "social", "related", "recommended", "recommendations", "comment", "comments", "commentlist", "disqus", "respond", "replies", "reply", "discussion", "pagination", "pager", "copyright", "legal", "skip", "outbrain", "taboola"}
+#: Of these, and of the elements, those that are never an article's own wrapper if there is text beside them.
+CERTAIN = {"nav", "footer", "aside", "navbar", "navigation", "sidebar", "contentinfo", "cookie", "cookies", "gdpr", "comment", "comments", "commentlist", "disqus", "respond", "replies"}
+#: Words in front of a mark that say something of what is around it, as in has-sidebar.
+ABOUT = {"has", "have", "no", "not", "with", "without", "is", "hide", "show", "above", "below", "after", "before"}
 MAIN = {"article", "main"}
 
 
-def _marked(attributes: str) -> bool:
+def _mark(name: str, attributes: str) -> str:
+    """The word that makes an element furniture, or nothing; hidden, if it isn't shown."""
+    found = name if name in FURNITURE else ""
     for m in _ATTRIBUTE.finditer(attributes):
-        name = m[1].lower()
-        if name in ("hidden",) or (name == "aria-hidden" and m[2] and m[2].strip("\"'").lower() == "true"):
-            return True
-        if name in ("class", "id", "role", "itemprop") and m[2]:
-            words = _SPLIT.split(references.unescape(m[2]).lower())
-            if not MARKS.isdisjoint(words):
-                return True
-        if name == "style" and m[2] and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", m[2], re.I):
-            return True
-    return False
-
-
-def lines(page: str) -> list[tuple[str, bool, bool, int]]:
-    """(text, is furniture, is inside a marked article, characters inside links) per non-empty line, in page order."""
-    out: list[tuple[str, bool, bool, int]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # element; furniture, article and link from here inwards
-    furniture = article = link = False
+        key, value = m[1].lower(), (m[2] or "").strip("\"'")
+        if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
+            return "hidden"
+        if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+            return "hidden"
+        if key in ("class", "id", "role", "itemprop"):
+            for token in references.unescape(value).split():
+                words = [w for w in _SPLIT.split(_CAMEL.sub("-", token).lower()) if w]
+                if words and words[0] not in ABOUT:
+                    found = next((w for w in (words[0], words[-1]) if w in MARKS and (found not in CERTAIN or w in CERTAIN)), found)
+    return found
+
+
+class Line:
+    """A block's text, its characters inside links, whether a marked article holds it, and its innermost mark."""
+
+    __slots__ = ("text", "linked", "article", "mark")
+
+    def __init__(self, text: str, linked: int, article: bool, mark: int):
+        self.text, self.linked, self.article, self.mark = text, linked, article, mark
+
+
+def lines(page: str) -> tuple[list[Line], list[list]]:
+    """Non-empty lines in page order, and the marks: [word, the mark around it (-1: none), whether it holds a marked article]."""
+    out: list[Line] = []
+    marks: list[list] = []
+    stack: list[tuple[str, bool, int, bool, bool]] = []  # element; hidden, mark, article and link around it
+    open_: Counter[str] = Counter()
+    hidden = article = link = False
+    mark = -1
     parts: list[str] = []
     linked = 0
 
@@ -68,8 +91,8 @@ def lines(page: str) -> list[tuple[str, bool, bool, int]]:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
-            if text:
-                out.append((text, furniture, article, linked))
+            if text and not hidden:
+                out.append(Line(text, linked, article, mark))
             parts.clear()
         linked = 0
 
@@ -81,6 +104,15 @@ def lines(page: str) -> list[tuple[str, bool, bool, int]]:
             if link:
                 linked += len(text)
 
+    def pop() -> str:
+        nonlocal hidden, mark, article, link
+        name, *around = stack.pop()
+        open_[name] -= 1
+        if around[:3] != [hidden, mark, article]:
+            flush()
+        hidden, mark, article, link = around
+        return name
+
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
@@ -92,20 +124,14 @@ def lines(page: str) -> list[tuple[str, bool, bool, int]]:
         name = (m[2] or "").lower()
         if not name:
             continue
-        block = name not in INLINE
-        if block:
+        if name not in INLINE:
             flush()
         elif name == "br":
             parts.append(" ")
         if m[1]:
-            if any(e[0] == name for e in stack):
-                while stack:
-                    e, f, a, k = stack.pop()
-                    if e == name:
-                        break
-                if (f, a) != (furniture, article):
-                    flush()
-                furniture, article, link = f, a, k
+            if open_[name]:
+                while pop() != name:
+                    pass
             continue
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
@@ -113,56 +139,82 @@ def lines(page: str) -> list[tuple[str, bool, bool, int]]:
             continue
         if name in VOID or m[3].endswith("/"):
             continue
-        if name == "p" and stack and stack[-1][0] == "p":
-            _, furniture, article, link = stack.pop()
-        elif name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
-            _, furniture, article, link = stack.pop()
-        turn = name in FURNITURE or (name not in ("html", "body") and _marked(m[3]))
-        # The header of an article holds its headline: only outside of articles it's the page's.
-        if name == "header" and article and not _marked(m[3]):
-            turn = False
-        if turn and not furniture or name in MAIN and not article:
+        if stack and stack[-1][0] == name and name in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
+            pop()
+        word = "" if name in ("html", "body") else _mark(name, m[3])
+        if word == "header" == name and article:  # the header of an article holds its headline
+            word = ""
+        if word or name in HIDDEN or name in MAIN and not article:
             flush()
-        stack.append((name, furniture, article, link))
-        furniture |= turn
-        article |= name in MAIN
+        stack.append((name, hidden, mark, article, link))
+        open_[name] += 1
+        hidden |= word == "hidden" or name in HIDDEN
+        if name in MAIN and not hidden:
+            article, k = True, mark
+            while k >= 0 and not marks[k][2]:
+                marks[k][2], k = True, marks[k][1]
+        if word and word != "hidden":
+            marks.append([word, mark, False])
+            mark = len(marks) - 1
         link |= name == "a"
     flush()
-    return out
-
-
-def spans(lengths: list[int]) -> list[tuple[int, int]]:
-    """[surge, dive) line ranges: maximal runs in which the window that starts or ends at a line has surged."""
-    n, w = len(lengths), WINDOW
-    ahead = [sum(lengths[i : i + w]) for i in range(n)]
+    return out, marks
+
+
+def unmarked(got: list[Line], marks: list[list]) -> list[Line]:
+    """The lines without those of marked elements, as far as the marks hold."""
+    size = [0] * len(marks)
+    total = sum(len(x.text) for x in got)
+    for x in got:
+        if x.mark >= 0:
+            size[x.mark] += len(x.text)
+    for k in range(len(marks) - 1, -1, -1):  # a mark comes after the one around it
+        if marks[k][1] >= 0:
+            size[marks[k][1]] += size[k]
+    gone: list[bool] = []
+    for k, (word, around, holds) in enumerate(marks):
+        rest = total - size[k]
+        wrapper = holds or (rest == 0 if word in CERTAIN else size[k] > rest)
+        gone.append(around >= 0 and gone[around] or not wrapper)
+    return [x for x in got if x.mark < 0 or not gone[x.mark]]
+
+
+def spans(lengths: list[int], threshold: float) -> list[tuple[int, int]]:
+    """[surge, dive) line ranges: runs of lines that windows above the threshold cover, from their first to their last line that counts."""
+    n = len(lengths)
+    sums = [sum(lengths[i : i + WINDOW]) for i in range(max(1, n - WINDOW + 1))]
     found, i = [], 0
-    while i < n:
-        if lengths[i] > 0 and ahead[i] > SURGE:  # surge point: text begins on this line
-            j = i
-            while j < n and ahead[j] > SURGE:
-                j += 1
-            end = max(k for k in range(i, j) if lengths[k] > 0) + 1  # dive point: after the last line that has text
-            found.append((i, end))
-            i = j
-        else:
+    while i < len(sums):
+        if sums[i] < threshold:
             i += 1
+            continue
+        j = i  # surge
+        while j < len(sums) and sums[j] >= threshold:
+            j += 1
+        covered = [k for k in range(i, min(n, j - 1 + WINDOW)) if lengths[k] > 0]  # dive: after the last window
+        if found and covered[0] < found[-1][1]:
+            found[-1] = (found[-1][0], max(found[-1][1], covered[-1] + 1))
+        else:
+            found.append((covered[0], covered[-1] + 1))
+        i = j
     return found
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    got = lines(page)
-    marked = any(a and not f for _, f, a, _ in got)
-    if marked:
-        lengths = [len(t) if a and not f else 0 for t, f, a, _ in got]
-    else:  # menus that nothing marks are mostly links
-        lengths = [0 if f or 2 * k > len(t) else len(t) for t, f, _, k in got]
-    kept = spans(lengths)
-    if not marked and kept:
-        weight = [sum(lengths[i:j]) for i, j in kept]
-        kept = [s for s, x in zip(kept, weight, strict=True) if x >= SHARE * max(weight)]
-    return "\n".join(got[k][0] for i, j in kept for k in range(i, j) if lengths[k])
+    got, marks = lines(page)
+    stated = any(x.article for x in got)
+    if stated:
+        got = [x for x in got if x.article]
+    got = unmarked(got, marks)
+    if stated:
+        lengths, threshold = [len(x.text) for x in got], 1.0
+    else:
+        lengths = [max(0, len(x.text) - x.linked) for x in got]
+        largest = max([sum(lengths[i : i + WINDOW]) for i in range(len(lengths))], default=0)
+        threshold = max(1.0, min(SURGE * largest, ENOUGH))
+    return "\n".join(got[k].text for i, j in spans(lengths, threshold) for k in range(i, j))
 
 
 def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
