@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import itertools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -118,6 +119,12 @@ def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | No
     return df.mapInArrow(run, schema)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    return [next(c for k in itertools.count() if (c := f"__{name}_{k}") not in taken) for name in names]
+
+
 def utf8(name: str):
     """The text column as bytes, null as empty: workers then skip decoding."""
     return F.coalesce(F.col(name).cast("binary"), F.lit(b""))

@@ -6,6 +6,7 @@ are scheduled like groups. What the driver holds is thus bounded by arithmetic,
 
 Edge cases: a null text has no bytes and forms a group; groups whose hashes collide merely share a shard; equal sizes are
 scheduled in order of their key; repeated rows are rows of one group with slots of their own; an empty table stays empty.
+Columns of the input stay as they are, whatever they are called, but for those named like an added one, which it replaces.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: Scheduled units per shard, of each kind.
 GRAIN = 1024
 #: Rows of a shard are numbered in so many chunks at a time.
@@ -35,32 +38,34 @@ def schedule(units: list[tuple[int, int]], shards: int) -> dict[int, int]:
 def assign(df: DataFrame, group, size, shards: int, shard: str = "shard") -> DataFrame:
     """Adds ``shard``. group: a long column, equal for rows that must stay together; size: a long column."""
     spark, units = df.sparkSession, shards * GRAIN
-    keyed = df.withColumns({"__group": group, "__size": size})
-    groups = keyed.groupBy("__group").agg(F.sum("__size").alias("bytes"))
-    total = keyed.agg(F.sum("__size")).first()[0] or 0
+    g, s, b, one, rest_ = fresh(df, "group", "size", "bundle", "lone", "rest")
+    keyed = df.withColumns({g: group, s: size})
+    groups = keyed.groupBy(g).agg(F.sum(s).alias("bytes"))
+    total = keyed.agg(F.sum(s)).first()[0] or 0
     alone = F.col("bytes") * units >= F.lit(max(1, total))
-    bundle = F.pmod(F.xxhash64("__group"), F.lit(units))
+    bundle = F.pmod(F.xxhash64(g), F.lit(units))
     # Keys of lone groups are their hash, those of bundles their number; the flag keeps them apart.
-    load = groups.groupBy(alone.alias("alone"), F.when(alone, F.col("__group")).otherwise(bundle).alias("key")).agg(F.sum("bytes").alias("bytes"))
+    load = groups.groupBy(alone.alias("alone"), F.when(alone, F.col(g)).otherwise(bundle).alias("key")).agg(F.sum("bytes").alias("bytes"))
     rows = load.collect()  # at most 2 * units
     ids = {(r["alone"], r["key"]): i for i, r in enumerate(sorted(rows, key=lambda r: (r["alone"], r["key"])))}
     placed = schedule([(ids[r["alone"], r["key"]], r["bytes"]) for r in rows], shards)
-    lone = spark.createDataFrame([(k, placed[i]) for (a, k), i in ids.items() if a], "__group long, __lone int")
-    rest = spark.createDataFrame([(k, placed[i]) for (a, k), i in ids.items() if not a], "__bundle long, __rest int")
-    out = keyed.join(F.broadcast(lone), "__group", "left").withColumn("__bundle", F.when(F.col("__lone").isNull(), bundle))
-    out = out.join(F.broadcast(rest), "__bundle", "left")
-    return out.withColumn(shard, F.coalesce("__lone", "__rest")).drop("__group", "__size", "__bundle", "__lone", "__rest")
+    lone = spark.createDataFrame([(k, placed[i]) for (a, k), i in ids.items() if a], f"{g} long, {one} int")
+    rest = spark.createDataFrame([(k, placed[i]) for (a, k), i in ids.items() if not a], f"{b} long, {rest_} int")
+    out = keyed.join(F.broadcast(lone), g, "left").withColumn(b, F.when(F.col(one).isNull(), bundle))
+    out = out.join(F.broadcast(rest), b, "left")
+    return out.select(*[F.col(f"`{c}`") for c in df.columns if c != shard], F.coalesce(one, rest_).alias(shard))
 
 
 def number(df: DataFrame, order: list, shard: str = "shard", slot: str = "slot") -> DataFrame:
     """Adds ``slot``, gapless from 0 in each shard: counts of (shard, chunk) give each chunk its first slot, rows are ordered within chunks only."""
-    chunk = F.pmod(F.xxhash64(*order), F.lit(CHUNKS)).cast("int")
-    dealt = df.withColumn("__chunk", chunk)
-    counts = dealt.groupBy(shard, "__chunk").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy(shard).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1))
-    first = counts.select(F.col(shard), F.col("__chunk"), F.coalesce(before, F.lit(0)).alias("__first"))
-    place = F.row_number().over(Window.partitionBy(shard, "__chunk").orderBy(*order))
-    return dealt.withColumn("__place", place).join(F.broadcast(first), [shard, "__chunk"]).withColumn(slot, F.col("__first") + F.col("__place") - 1).drop("__chunk", "__first", "__place")
+    c, n, f, p = fresh(df, "chunk", "n", "first", "place")
+    dealt = df.withColumn(c, F.pmod(F.xxhash64(*order), F.lit(CHUNKS)).cast("int"))
+    counts = dealt.groupBy(shard, c).agg(F.count(F.lit(1)).alias(n))
+    before = F.sum(n).over(Window.partitionBy(shard).orderBy(c).rowsBetween(Window.unboundedPreceding, -1))
+    first = counts.select(F.col(shard), F.col(c), F.coalesce(before, F.lit(0)).alias(f))
+    place = F.row_number().over(Window.partitionBy(shard, c).orderBy(*order))
+    out = dealt.withColumn(p, place).join(F.broadcast(first), [shard, c])
+    return out.select(*[F.col(f"`{x}`") for x in df.columns if x != slot], (F.col(f) + F.col(p) - 1).alias(slot))
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, text: str = "text") -> DataFrame:
