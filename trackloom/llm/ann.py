@@ -7,8 +7,9 @@ residual). A query's scan sums table entries; a row is reranked in double precis
 Queries and candidates meet in cells of bounded size.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, as query or candidate;
-neither do rows without an id, nor those whose length differs from the most common one; rows that share the query's id
-are not its neighbours; ties go to the smaller id; an empty table gives an empty result.
+neither do rows without an id, nor those whose length differs from the most common one; a query's own row is no neighbour
+of it, but another row of its id is; equal rows among the queries are one query with one answer, rows that share an id but
+not the vector are queries of their own; ties go to the smaller id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -79,8 +80,8 @@ def tables(query: np.ndarray, books: np.ndarray) -> np.ndarray:
     return (one[1::2, :, None] + one[::2, None, :]).reshape(-1, 256).astype(np.float32)
 
 
-def search(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, packed: np.ndarray, residual: np.ndarray, books: np.ndarray, k: int):
-    """Exact top k of the candidates for each query: (query, id, score) arrays."""
+def search(qid: np.ndarray, number: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, packed: np.ndarray, residual: np.ndarray, books: np.ndarray, k: int):
+    """Exact top k of the candidates for each query: (query, its number, id, score) arrays. All rows of an id are among the candidates, or none."""
     order = np.argsort(ids, kind="stable")
     ids, x, packed, residual = ids[order], x[order], packed[order], residual[order]
     columns = np.ascontiguousarray(packed.T)
@@ -91,7 +92,9 @@ def search(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, packe
         for m, codes in enumerate(columns):
             scanned += table[m][codes]
         slack = residual * np.linalg.norm(q[i]) + 1e-5 * (1 + np.abs(scanned))
-        others = ids != own
+        others = np.ones(len(ids), bool)
+        same = np.flatnonzero(ids == own)
+        others[same[(x[same] == q[i]).all(1)][:1]] = False  # the query's own row
         if not others.any():
             continue
         lower = np.where(others, scanned - slack, -np.inf)
@@ -99,8 +102,8 @@ def search(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, packe
         take = np.flatnonzero(others & (scanned + slack >= bound))
         score = np.cumsum(x[take] * q[i], axis=1)[:, -1]  # summed in order, so alike on every machine
         best = np.lexsort((ids[take], -score))[:k]
-        out.append((np.full(len(best), own), ids[take][best], score[best]))
-    return [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        out.append((np.full(len(best), own), np.full(len(best), number[i]), ids[take][best], score[best]))
+    return [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -132,20 +135,21 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", e
                 yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array([r.tobytes() for r in pack(codes)], pa.binary()), pa.array(residual)], names=["id", "v", "codes", "residual"])
 
     coded = Scratch(spark, "ann").write(clean.mapInArrow(code, "id long, v array<double>, codes binary, residual double"))
-    asked = coded.filter(is_query(F.col("id"))).select("id", "v")
+    asked = coded.filter(is_query(F.col("id"))).select("id", "v").distinct()
+    asked = asked.withColumn("number", F.row_number().over(Window.partitionBy("id").orderBy("v")).cast("long"))
     blocks, parts = max(1, math.ceil(n / BLOCK)), max(1, math.ceil(asked.count() / QUERIES))
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     left = coded.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("part", every(parts))
     right = asked.withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts)).cast("int")).withColumn("block", every(blocks))
 
     def cell(a: pa.Table, b: pa.Table) -> pa.Table:
-        names = ["query_id", "vec_id", "score"]
+        names = ["query_id", "number", "vec_id", "score"]
         if not a.num_rows or not b.num_rows:
-            return pa.Table.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
+            return pa.Table.from_arrays([pa.array([], pa.int64())] * 3 + [pa.array([], pa.float64())], names=names)
         packed = np.frombuffer(b"".join(a.column("codes").to_pylist()), np.uint8).reshape(a.num_rows, -1)
-        found = search(np.asarray(b.column("id")), _matrix(b.column("v")), np.asarray(a.column("id")), _matrix(a.column("v")), packed, np.asarray(a.column("residual")), books, k)
+        found = search(np.asarray(b.column("id")), np.asarray(b.column("number")), _matrix(b.column("v")), np.asarray(a.column("id")), _matrix(a.column("v")), packed, np.asarray(a.column("residual")), books, k)
         return pa.Table.from_arrays([pa.array(c) for c in found], names=names)
 
-    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(cell, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(cell, "query_id long, number long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id", "number").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
