@@ -1,8 +1,8 @@
 """Language identification by nearest centroid.
 
-A text becomes a normalised TF-IDF vector of hashed byte n-grams (lower-cased, digits and
-punctuation blanked). Each language has several centroids,
-clustered by spherical k-means; a text gets the language of the centroid of largest cosine. Texts whose cosine to every
+A text becomes a normalised TF-IDF vector of hashed byte n-grams (lower-cased, punctuation blanked, without tokens that hold
+a digit or an @: addresses, numbers and keys are in no language; a text of such tokens only keeps them). Each language has
+several centroids, clustered by spherical k-means; a text gets the language of the centroid of largest cosine. Texts whose cosine to every
 centroid is below the limit of the language found are flagged as rejected. The limit is ``MARGIN`` times the least cosine
 of the language's learned texts (the ``LOW``th percentile, each text left out of its own centroid). Cosines of short texts
 are smaller, about as the root of their number of distinct n-grams, so limits are lowered by it below ``FULL`` n-grams.
@@ -16,6 +16,7 @@ learn from, every text is ``und``; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,8 +39,14 @@ _LETTER = regex.compile(r"\p{L}")
 _LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
 
+#: Tokens with a digit or an @, found from their starts only.
+_CODED = re.compile(rb"(?<![^\x20\x09-\x0d])(?=[^\x20\x09-\x0d0-9@]*[0-9@])[^\x20\x09-\x0d]+")
+
+
 def term_counts(text: str) -> np.ndarray:
-    raw = b" %b " % b" ".join(text.lower().encode().translate(_LETTERS).split())
+    raw = text.lower().encode()
+    plain = _CODED.sub(b" ", raw).translate(_LETTERS).split() or raw.translate(_LETTERS).split()
+    raw = b" %b " % b" ".join(plain)
     return np.bincount(np.concatenate([codes(raw, n, BITS) for n in SIZES]), minlength=1 << BITS)
 
 
