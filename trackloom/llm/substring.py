@@ -154,7 +154,7 @@ def _cover(starts: np.ndarray) -> np.ndarray:
 
 
 def _grams(docs: DataFrame) -> DataFrame:
-    """d, t, h: the distinct anchors of each document with 32 bits of its text's hash; an anchor that it repeats also with other bits."""
+    """d, t, h: the distinct anchors of each document with its text's hash (63 bits of it); an anchor that it repeats also with the last bit set."""
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         split = [text.split() for text in batch.column(2).to_pylist()]
@@ -177,7 +177,7 @@ def _grams(docs: DataFrame) -> DataFrame:
         h = np.concatenate([own[new], own[again]])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([d[of[new]], d[of[again]]])), pa.array(np.concatenate([t[of[new]], t[of[again]] ^ 1])), pa.array(h.view(np.int64))], names=["d", "t", "h"])
 
-    return map_slices(docs.select("d", "t", "text"), fn, "d long, t int, h long")
+    return map_slices(docs.select("d", "t", "text"), fn, "d long, t long, h long")
 
 
 def _phrases(joined: DataFrame) -> DataFrame:
@@ -248,9 +248,9 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     scratch = Scratch(docs.sparkSession, "substring")
     raw = utf8(text)
     source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("d"), raw.alias("text"))
-    hashed = source.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64("text", F.lit(1))}).withColumn("t", F.col("h2").bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
-    # One shuffle serves count and join. A gram has one row a document (two if it repeats it), so none holds a large share of
-    # the rows, and a window spills.
+    hashed = source.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64("text", F.lit(1))}).withColumn("t", F.col("h2").bitwiseAND(F.lit(-2)))
+    # One shuffle serves count and join. A gram has one row a document (two if it repeats it): at most as many as there are
+    # documents, which a window streams and spills.
     by = Window.partitionBy("h")
     held = _grams(hashed).withColumns({"low": F.min("t").over(by), "high": F.max("t").over(by)}).filter("low <> high").select("d", "h")
     texts = hashed.groupBy("h1", "h2").agg(F.min("d").alias("first"))
