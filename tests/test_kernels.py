@@ -96,6 +96,39 @@ def test_tracker_survives_a_gap():
     assert out[1].nunique() == 2
 
 
+def test_cascade_lets_recently_seen_tracks_choose_first():
+    # Track 1 is unseen from frame 3 on; at frame 5 the one detection lies between it and track 2, nearer to track 1.
+    box = lambda x: [x, 0, 40, 60, 0.9, 0]
+    frames = {f: np.array([box(0), box(6)]) for f in (1, 2)} | {f: np.array([box(6)]) for f in (3, 4)} | {5: np.array([box(2.0)])}
+    at = {r[1] for r in run(frames, TRACKERS["deepsort_motion"]) if r[0] == 5}
+    assert at == {2}
+
+
+def test_batched_filter_against_dense_matrices():
+    from trackloom.trackers.kalman import BoxFilter
+
+    rng, f = np.random.default_rng(2), BoxFilter("xywh")
+    z = rng.uniform(20, 90, (3, 5, 4))
+    mean, cov = f.initiate(z[0])
+    dense = [np.block([[np.diag(c[0]), np.diag(c[1])], [np.diag(c[1]), np.diag(c[2])]]) for c in cov]
+    means = [m.copy() for m in mean]
+    step = np.eye(8) + np.diag([1.0] * 4, 4)
+    for k in (1, 2):
+        scale = [np.array([m[2], m[3], m[2], m[3]]) for m in means]
+        noise = [np.diag(np.concatenate([s / 20, s / 160]) ** 2) for s in scale]
+        means = [step @ m for m in means]
+        dense = [step @ p @ step.T + q for p, q in zip(dense, noise, strict=True)]
+        mean, cov = f.predict(mean, cov)
+        far = f.gating(mean, cov, z[k])
+        for i, (m, p) in enumerate(zip(means, dense, strict=True)):
+            s = p[:4, :4] + np.diag((np.array([m[2], m[3], m[2], m[3]]) / 20) ** 2)
+            assert np.allclose(far[i], [(d := x - m[:4]) @ np.linalg.solve(s, d) for x in z[k]])
+            gain = p[:, :4] @ np.linalg.inv(s)
+            means[i], dense[i] = m + gain @ (z[k][i] - m[:4]), p - gain @ s @ gain.T
+        mean, cov = f.update(mean, cov, z[k])
+        assert np.allclose(mean, means) and np.allclose(cov[:, 0], [np.diag(p)[:4] for p in dense]) and np.allclose(cov[:, 1], [np.diag(p[:4, 4:]) for p in dense])
+
+
 def test_overlap_of_boxes_without_area():
     assert overlap(np.array([[0, 0, 0, 0]]), np.array([[0, 0, 0, 0]]))[0, 0] == 0
 

@@ -46,14 +46,46 @@ def assign(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def assign_within(cost: np.ndarray, limit: float) -> tuple[list[tuple[int, int]], list[int], list[int]]:
-    """Matches whose cost stays within ``limit``, chosen so that leaving a pair unmatched costs the limit; then the unmatched rows and columns."""
+    """Matches whose cost stays within ``limit``, chosen so that leaving a pair unmatched costs the limit; then the unmatched rows and columns.
+
+    Pairs beyond the limit are never matched, so each connected part of the others is a problem of its own.
+    """
     n, m = cost.shape
-    if not n or not m:
-        return [], list(range(n)), list(range(m))
-    square = np.full((n + m, n + m), limit / 2.0)
-    square[:n, :m] = cost
-    square[n:, m:] = 0.0
-    rows, columns = assign(square)
-    found = [(int(r), int(c)) for r, c in zip(rows, columns, strict=True) if r < n and c < m and cost[r, c] <= limit]
+    found = []
+    for rows, columns in _parts(cost <= limit):
+        if len(rows) == len(columns) == 1:
+            found.append((rows[0], columns[0]))
+            continue
+        k, j = len(rows), len(columns)
+        square = np.full((k + j, k + j), limit / 2.0)
+        square[:k, :j] = cost[np.ix_(rows, columns)]
+        square[k:, j:] = 0.0
+        found += [(rows[r], columns[c]) for r, c in zip(*assign(square), strict=True) if r < k and c < j and square[r, c] <= limit]
+    found.sort()
     left, right = {r for r, _ in found}, {c for _, c in found}
     return found, [r for r in range(n) if r not in left], [c for c in range(m) if c not in right]
+
+
+def _parts(edge: np.ndarray) -> list[tuple[list[int], list[int]]]:
+    """Rows and columns of each connected part of a bipartite graph that has an edge."""
+    r, c = np.nonzero(edge)
+    by_row, by_column = {}, {}
+    for i, j in zip(r.tolist(), c.tolist(), strict=True):
+        by_row.setdefault(i, []).append(j)
+        by_column.setdefault(j, []).append(i)
+    parts, done = [], set()
+    for i in by_row:
+        if i in done:
+            continue
+        done.add(i)
+        rows, columns, open_ = [i], set(by_row[i]), list(by_row[i])
+        while open_:
+            for k in by_column[open_.pop()]:
+                if k not in done:
+                    done.add(k)
+                    rows.append(k)
+                    new = [j for j in by_row[k] if j not in columns]
+                    columns.update(new)
+                    open_ += new
+        parts.append((sorted(rows), sorted(columns)))
+    return parts

@@ -1,7 +1,8 @@
 """Frame-by-frame trackers over the detections of one sequence.
 
 All share one loop: predict, associate in stages, update, start and end tracks. A tracker is a set of parameters of that
-loop; see ``TRACKERS``. Camera motion and appearance models are out of scope: there are no pixels here.
+loop; see ``TRACKERS``. All live tracks are one set of arrays, and every step takes all of them at once. Camera motion and
+appearance models are out of scope: there are no pixels here.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ class Options:
     freeze: bool = False  # tracks that others cover stand still instead of drifting
     calm_start: float = 1.0  # a start is suppressed if it overlaps a live track more than this
     duplicate: float = 0.15  # two tracks nearer than this are one
+    cascade: float = 0.0  # squared distance within which tracks match first by how recently they were seen; 0: no such stage
 
 
 TRACKERS: dict[str, Options] = {
@@ -49,59 +51,90 @@ TRACKERS: dict[str, Options] = {
     "botsort": Options(form="xywh"),
     "fasttracker": Options(freeze=True, calm_start=0.7, buffer=60),
     "class_aware": Options(by_class=True, freeze=True),
-    "deepsort_motion": Options(two_stage=False, fuse_score=False, first=0.7, min_hits=3, high=0.3, start=0.3),
+    "deepsort_motion": Options(two_stage=False, fuse_score=False, first=0.7, min_hits=3, high=0.3, start=0.3, cascade=9.4877),
 }
 
 
-class Track:
-    """A target with its filter state, observations and counters."""
+class Tracks:
+    """Live tracks as arrays with a row for each, in the order of their start."""
 
-    def __init__(self, number: int, frame: int, row: np.ndarray, options: Options):
-        self.id, self.filter, self.options = number, BoxFilter(options.form), options
-        self.mean, self.cov = self.filter.initiate(self.filter.measure(row[:4]))
-        self.born, self.seen, self.hits, self.frozen = frame, frame, 1, False
-        self.score, self.cls = row[4], row[5]
-        self.votes = {row[5]: row[4]}
-        self.past: dict[int, np.ndarray] = {frame: row[:4]}
+    def __init__(self, options: Options):
+        self.options, self.filter, self.next, self.depth = options, BoxFilter(options.form), 1, options.delta + 1
+        none = np.zeros(0, np.int64)
+        self.id, self.born, self.seen, self.hits, self.frozen = none, none, none, none, none.astype(bool)
+        self.score, self.cls, self.mean, self.cov, self.last = np.zeros(0), np.zeros(0), np.zeros((0, 8)), np.zeros((0, 3, 4)), np.zeros((0, 4))
+        self.ring, self.ring_at = np.zeros((0, self.depth, 4)), np.zeros((0, self.depth), np.int64)  # the latest observations and their frames
+        self.votes: list[dict] = []
 
-    @property
-    def box(self) -> np.ndarray:
-        return self.filter.to_tlwh(self.mean)
+    def __len__(self) -> int:
+        return len(self.id)
+
+    _ARRAYS = ("id", "born", "seen", "hits", "frozen", "score", "cls", "mean", "cov", "last", "ring", "ring_at")
+
+    def start(self, frame: int, rows: np.ndarray) -> None:
+        k = len(rows)
+        mean, cov = self.filter.initiate(self.filter.measure(rows[:, :4]))
+        ring, ring_at = np.zeros((k, self.depth, 4)), np.full((k, self.depth), -1)
+        ring[:, frame % self.depth], ring_at[:, frame % self.depth] = rows[:, :4], frame
+        at = np.full(k, frame)
+        new = (np.arange(self.next, self.next + k), at, at, np.ones(k, np.int64), np.zeros(k, bool), rows[:, 4], rows[:, 5], mean, cov, rows[:, :4], ring, ring_at)
+        for name, more in zip(self._ARRAYS, new, strict=True):
+            setattr(self, name, np.concatenate([getattr(self, name), more]))
+        self.votes += [{r[5]: r[4]} for r in rows]
+        self.next += k
+
+    def keep(self, stays: np.ndarray) -> None:
+        if not stays.all():
+            for name in self._ARRAYS:
+                setattr(self, name, getattr(self, name)[stays])
+            self.votes = [v for v, s in zip(self.votes, stays, strict=True) if s]
+
+    def boxes(self, k=slice(None)) -> np.ndarray:
+        return self.filter.to_tlwh(self.mean[k])
 
     def predict(self, frame: int) -> None:
-        if self.seen < frame - 1:
-            self.mean[7] = 0.0  # no growth while unseen
-        if self.frozen:
-            self.mean[4:] *= 0.5
+        self.mean[self.seen < frame - 1, 7] = 0.0  # no growth while unseen
+        self.mean[self.frozen, 4:] *= 0.5
         self.mean, self.cov = self.filter.predict(self.mean, self.cov)
 
-    def update(self, frame: int, row: np.ndarray) -> None:
-        if self.options.revise and frame - self.seen > 1:
-            self.replay(frame, row)
-        else:
-            self.mean, self.cov = self.filter.update(self.mean, self.cov, self.filter.measure(row[:4]))
-        self.seen, self.hits, self.score = frame, self.hits + 1, row[4]
-        self.votes[row[5]] = self.votes.get(row[5], 0.0) + row[4]
-        self.cls = max(self.votes, key=lambda c: (self.votes[c], -c))
-        self.past[frame] = row[:4]
-        for old in [f for f in self.past if f < frame - 30]:
-            del self.past[old]
-
-    def replay(self, frame: int, row: np.ndarray) -> None:
+    def update(self, k: np.ndarray, frame: int, rows: np.ndarray) -> None:
+        if not len(k):
+            return
+        gap = self.seen[k] < frame - 1 if self.options.revise else np.zeros(len(k), bool)
+        if gap.any():
+            self.replay(k[gap], frame, rows[gap])
+        on = k[~gap]
+        if len(on):
+            self.mean[on], self.cov[on] = self.filter.update(self.mean[on], self.cov[on], self.filter.measure(rows[~gap, :4]))
+        self.seen[k] = frame
+        self.hits[k] += 1
+        self.score[k], self.last[k] = rows[:, 4], rows[:, :4]
+        self.ring[k, frame % self.depth], self.ring_at[k, frame % self.depth] = rows[:, :4], frame
+        for i, r in zip(k.tolist(), rows, strict=True):
+            votes = self.votes[i]
+            votes[r[5]] = votes.get(r[5], 0.0) + r[4]
+            self.cls[i] = max(votes, key=lambda c: (votes[c], -c)) if len(votes) > 1 else r[5]
+
+    def replay(self, k: np.ndarray, frame: int, rows: np.ndarray) -> None:
         """Filters along the straight line from the last observation, instead of the drift."""
-        last, steps = self.past[self.seen], frame - self.seen
-        self.mean, self.cov = self.filter.initiate(self.filter.measure(last))
-        self.mean[4:] = (self.filter.measure(row[:4]) - self.filter.measure(last)) / steps
-        for k in range(1, steps + 1):
-            self.mean, self.cov = self.filter.predict(self.mean, self.cov)
-            self.mean, self.cov = self.filter.update(self.mean, self.cov, self.filter.measure(last + (row[:4] - last) * k / steps))
+        last, steps = self.last[k], frame - self.seen[k]
+        mean, cov = self.filter.initiate(self.filter.measure(last))
+        mean[:, 4:] = (self.filter.measure(rows[:, :4]) - self.filter.measure(last)) / steps[:, None]
+        for n in range(1, steps.max() + 1):
+            on = steps >= n
+            ahead = self.filter.predict(mean[on], cov[on])
+            mean[on], cov[on] = self.filter.update(*ahead, self.filter.measure(last[on] + (rows[on, :4] - last[on]) * n / steps[on, None]))
+        self.mean[k], self.cov[k] = mean, cov
 
-    def before(self, frame: int, delta: int) -> np.ndarray:
-        """Observation ``delta`` frames ago, or the most recent one."""
-        for k in range(delta, 0, -1):
-            if frame - k in self.past:
-                return self.past[frame - k]
-        return self.past[self.seen]
+    def earlier(self, k: np.ndarray) -> np.ndarray:
+        """The observation ``delta`` frames before the last one, or the most recent after it."""
+        out, open_ = self.last[k].copy(), np.ones(len(k), bool)
+        for n in range(self.options.delta, 0, -1):
+            at = self.seen[k] - n
+            hit = open_ & (self.ring_at[k, at % self.depth] == at)
+            out[hit] = self.ring[k[hit], (at % self.depth)[hit]]
+            open_ &= ~hit
+        return out
 
 
 def overlap(a: np.ndarray, b: np.ndarray, kind: str = "iou") -> np.ndarray:
@@ -123,106 +156,132 @@ def overlap(a: np.ndarray, b: np.ndarray, kind: str = "iou") -> np.ndarray:
     return (out - (hull - union) / np.maximum(hull, 1e-9) + 1) / 2
 
 
-def _points(box: np.ndarray, corners: bool) -> np.ndarray:
-    x, y, w, h = box
-    return np.array([[x, y], [x + w, y], [x, y + h], [x + w, y + h]] if corners else [[x + w / 2, y + h / 2]])
+def _points(boxes: np.ndarray, corners: bool) -> np.ndarray:
+    x, y, w, h = boxes.T
+    at = [(x, y), (x + w, y), (x, y + h), (x + w, y + h)] if corners else [(x + w / 2, y + h / 2)]
+    return np.stack([np.stack(p, -1) for p in at], 1)
 
 
-def _direction_bonus(tracks: list[Track], rows: np.ndarray, frame: int, o: Options) -> np.ndarray:
+def _direction_bonus(t: Tracks, k: np.ndarray, rows: np.ndarray, o: Options) -> np.ndarray:
     """How well the way from the last observation to a detection agrees with the way so far, from -0.5 to 0.5."""
-    out = np.zeros((len(tracks), len(rows)))
-    for i, t in enumerate(tracks):
-        last = t.past[t.seen]
-        earlier = t.before(t.seen, o.delta) if len(t.past) > 1 else last
-        own = _points(last, o.corners) - _points(earlier, o.corners)
-        norm = np.linalg.norm(own, axis=1)
-        if not norm.any():
-            continue
-        for j, r in enumerate(rows):
-            step = _points(r[:4], o.corners) - _points(last, o.corners)
-            cos = (own * step).sum(1) / np.maximum(norm * np.linalg.norm(step, axis=1), 1e-9)
-            out[i, j] = np.mean(0.5 - np.arccos(np.clip(cos, -1, 1)) / np.pi) * r[4]
-    return out
+    last = _points(t.last[k], o.corners)
+    own = last - _points(t.earlier(k), o.corners)
+    step = _points(rows[:, :4], o.corners)[None] - last[:, None]
+    norm = np.linalg.norm(own, axis=-1)
+    cos = (own[:, None] * step).sum(-1) / np.maximum(norm[:, None] * np.linalg.norm(step, axis=-1), 1e-9)
+    bonus = (0.5 - np.arccos(np.clip(cos, -1, 1)) / np.pi).mean(-1) * rows[:, 4]
+    return np.where(norm.any(1)[:, None], bonus, 0.0)
 
 
-def _cost(tracks: list[Track], rows: np.ndarray, frame: int, o: Options, first: bool) -> np.ndarray:
-    boxes = np.array([t.box for t in tracks]).reshape(-1, 4)
-    sim = overlap(boxes, rows[:, :4].reshape(-1, 4), o.similarity)
+def _cost(t: Tracks, k: np.ndarray, rows: np.ndarray, o: Options, first: bool) -> np.ndarray:
+    sim = overlap(t.boxes(k), rows[:, :4], o.similarity)
     cost = 1 - (sim * rows[:, 4] if first and o.fuse_score else sim)
-    if first and o.direction and len(tracks) and len(rows):
-        cost = cost - o.direction * _direction_bonus(tracks, rows, frame, o)
-    if o.confidence and len(tracks) and len(rows):
-        cost = cost + o.confidence * np.abs(np.array([t.score for t in tracks])[:, None] - rows[None, :, 4])
+    if first and o.direction:
+        cost = cost - o.direction * _direction_bonus(t, k, rows, o)
+    if o.confidence:
+        cost = cost + o.confidence * np.abs(t.score[k][:, None] - rows[None, :, 4])
     cost = np.where(sim <= 0, 1e3, cost)
-    if o.by_class and len(tracks) and len(rows):
-        cost = np.where(np.array([t.cls for t in tracks])[:, None] != rows[None, :, 5], 1e3, cost)
+    if o.by_class:
+        cost = np.where(t.cls[k][:, None] != rows[None, :, 5], 1e3, cost)
     return cost
 
 
-def _stage(tracks: list[Track], rows: np.ndarray, frame: int, o: Options, limit: float, first: bool):
-    found, left, free = assign_within(_cost(tracks, rows, frame, o, first), limit)
-    for i, j in found:
-        tracks[i].update(frame, rows[j])
-    return [tracks[i] for i in left], rows[free]
+def _match(t: Tracks, k: np.ndarray, rows: np.ndarray, frame: int, cost: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """Updates the tracks ``k`` that get a detection; the others, and the detections left."""
+    found, left, free = assign_within(cost, limit)
+    if found:
+        i, j = np.array(found).T
+        t.update(k[i], frame, rows[j])
+    return k[left], rows[free]
+
+
+def _stage(t: Tracks, k: np.ndarray, rows: np.ndarray, frame: int, o: Options, limit: float, first: bool) -> tuple[np.ndarray, np.ndarray]:
+    return _match(t, k, rows, frame, _cost(t, k, rows, o, first), limit) if len(k) and len(rows) else (k, rows)
+
+
+def _cascade(t: Tracks, k: np.ndarray, rows: np.ndarray, frame: int, o: Options) -> tuple[np.ndarray, np.ndarray]:
+    """Tracks seen one frame ago choose first, then those of two frames, and so on, each by the filter's distance to a detection."""
+    left = []
+    for age in np.unique(frame - t.seen[k]):
+        own = k[frame - t.seen[k] == age]
+        if len(rows):
+            far = t.filter.gating(t.mean[own], t.cov[own], t.filter.measure(rows[:, :4]))
+            own, rows = _match(t, own, rows, frame, far, o.cascade)
+        left.append(own)
+    return np.sort(np.concatenate(left)) if left else k, rows
 
 
 def run(frames: dict[int, np.ndarray], options: Options) -> list[tuple]:
     """frames: frame to (n, 6) rows of x, y, w, h, score, class. Gives (frame, id, x, y, w, h, score, class), ids from 1."""
-    o, tracks, number, out = options, [], 0, []
+    o, t, out = options, Tracks(options), []
     if not frames:
         return out
-    for frame in range(min(frames), max(frames) + 1):
+    begin = min(frames)
+    for frame in range(begin, max(frames) + 1):
         rows = frames.get(frame, np.zeros((0, 6)))
         rows = rows[np.lexsort(tuple(rows.T[::-1]))] if len(rows) else rows  # order of input doesn't matter
-        for t in tracks:
+        if len(t):
             t.predict(frame)
-        if o.freeze and len(tracks) > 1:
-            boxes = np.array([t.box for t in tracks])
+        if o.freeze and len(t) > 1:
+            boxes = t.boxes()
             cover = overlap(boxes, boxes)
             np.fill_diagonal(cover, 0)
-            for t, c in zip(tracks, cover.max(1), strict=True):
-                t.frozen = bool(c > 0.7 and t.seen < frame - 1)
+            t.frozen = (cover.max(1) > 0.7) & (t.seen < frame - 1)
         high = rows[rows[:, 4] >= o.high]
         low = rows[(rows[:, 4] >= o.low) & (rows[:, 4] < o.high)]
-        sure = [t for t in tracks if t.hits > 1 or t.born == min(frames)]
-        unsure = [t for t in tracks if not (t.hits > 1 or t.born == min(frames))]
-        left, high = _stage(sure, high, frame, o, o.first, True)
+        known = (t.hits > 1) | (t.born == begin)
+        left, unsure = np.flatnonzero(known), np.flatnonzero(~known)
+        if o.cascade:
+            left, high = _cascade(t, left, high, frame, o)
+            late = left[t.seen[left] < frame - 1]
+            recent, high = _stage(t, left[t.seen[left] == frame - 1], high, frame, o, o.first, True)
+            left = np.sort(np.concatenate([late, recent]))
+        else:
+            left, high = _stage(t, left, high, frame, o, o.first, True)
         if o.two_stage:
-            recent = [t for t in left if t.seen >= frame - 1]
-            _stage(recent, low, frame, o, o.second, False)
-            left = [t for t in left if t.seen != frame]
-        if o.rematch and left and len(high):
-            seen = np.array([t.past[t.seen] for t in left])
-            found, _, free = assign_within(1 - overlap(seen, high[:, :4]), 0.7)
-            for i, j in found:
-                left[i].update(frame, high[j])
-            high = high[free]
-        unsure_left, high = _stage(unsure, high, frame, o, o.unconfirmed, True)
-        dead = {id(t) for t in unsure_left}
-        for r in high:
-            live = np.array([t.box for t in tracks if t.seen == frame]).reshape(-1, 4)
-            if r[4] >= o.start and (not len(live) or overlap(live, r[None, :4]).max() <= o.calm_start):
-                number += 1
-                tracks.append(Track(number, frame, r, o))
-        tracks = [t for t in tracks if id(t) not in dead and frame - t.seen <= o.buffer]
-        tracks = _without_twins(tracks, o.duplicate)
-        first = min(frames)
-        for t in tracks:
-            if t.seen == frame and (t.hits >= o.min_hits or frame - first < o.min_hits) and (t.hits > 1 or t.born == first or o.min_hits == 1):
-                out.append((frame, t.id, *t.box, t.score, t.cls))
+            _stage(t, left[t.seen[left] >= frame - 1], low, frame, o, o.second, False)
+            left = left[t.seen[left] != frame]
+        if o.rematch and len(left) and len(high):
+            left, high = _match(t, left, high, frame, 1 - overlap(t.last[left], high[:, :4]), 0.7)
+        dead, high = _stage(t, unsure, high, frame, o, o.unconfirmed, True)
+        stays = frame - t.seen <= o.buffer
+        stays[dead] = False
+        high = high[high[:, 4] >= o.start]
+        if len(high):
+            calm = _calm(t.boxes(t.seen == frame), high, o) if o.calm_start < 1 else np.ones(len(high), bool)
+            t.start(frame, high[calm])
+            stays = np.concatenate([stays, np.ones(int(calm.sum()), bool)])
+        t.keep(stays)
+        _without_twins(t, o.duplicate)
+        shown = t.seen == frame
+        if frame - begin >= o.min_hits:
+            shown &= t.hits >= o.min_hits
+        if o.min_hits > 1:
+            shown &= (t.hits > 1) | (t.born == begin)
+        k = np.flatnonzero(shown)
+        out += [(frame, i, *b, s, c) for i, b, s, c in zip(t.id[k].tolist(), t.boxes(k).tolist(), t.score[k].tolist(), t.cls[k].tolist(), strict=True)]
     return out
 
 
-def _without_twins(tracks: list[Track], near: float) -> list[Track]:
+def _calm(live: np.ndarray, rows: np.ndarray, o: Options) -> np.ndarray:
+    """Which detections may start a track: those that no live track, an earlier one of these included, overlaps much."""
+    busy = (overlap(live, rows[:, :4]) > o.calm_start).any(0) if len(live) else np.zeros(len(rows), bool)
+    among = overlap(rows[:, :4], rows[:, :4]) > o.calm_start
+    calm = np.zeros(len(rows), bool)
+    for j in range(len(rows)):
+        calm[j] = not busy[j] and not (among[:j, j] & calm[:j]).any()
+    return calm
+
+
+def _without_twins(t: Tracks, near: float) -> None:
     """Of a live and a lost track that overlap almost wholly the one with the shorter life goes."""
-    if len(tracks) < 2:
-        return tracks
-    boxes = np.array([t.box for t in tracks])
-    close = np.argwhere(np.triu(1 - overlap(boxes, boxes) < near, 1))
-    gone = set()
-    for i, j in close:
-        a, b = tracks[i], tracks[j]
-        if (a.seen == b.seen) or i in gone or j in gone:
-            continue
-        gone.add(j if a.seen - a.born >= b.seen - b.born else i)
-    return [t for k, t in enumerate(tracks) if k not in gone]
+    if len(t) < 2 or (t.seen == t.seen[0]).all():
+        return
+    boxes, gone = t.boxes(), set()
+    for i, j in np.argwhere(np.triu(1 - overlap(boxes, boxes) < near, 1)).tolist():
+        if t.seen[i] != t.seen[j] and i not in gone and j not in gone:
+            gone.add(j if t.seen[i] - t.born[i] >= t.seen[j] - t.born[j] else i)
+    if gone:
+        stays = np.ones(len(t), bool)
+        stays[list(gone)] = False
+        t.keep(stays)
