@@ -38,6 +38,53 @@ def filter_rows(boxes: DataFrame, keep: set[int] | None = None, drop: set[int] =
     return out if rewrite is None else out.withColumn("cls", F.lit(rewrite))
 
 
+def filter_file(spark: SparkSession, source: str, target: str, keep: set[int] | None = None, drop: set[int] = frozenset()) -> int:
+    """Copies the lines of a box file whose class passes the policy, as they are, and returns their number."""
+    lines = spark.read.text(source)
+    kept = filter_rows(parse_lines(lines.withColumn("line", F.col("value"))), keep, drop).select("line")
+    kept.write.mode("overwrite").text(target)
+    return spark.read.text(target).count()
+
+
+def parse_pixels(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Box rows of texts whose pixels count from 1: x and y are shifted by one; a confidence may be any number."""
+    number = lambda i, kind: F.expr(f"try_cast(element_at(__p, {i}) AS {kind})")
+    p = lines.withColumn("__p", F.split(F.trim(F.col(value)), "\\s*,\\s*|\\s+")).filter(F.size("__p") >= 6)
+    at = lambda i, kind, default: F.when(F.size("__p") >= i, number(i, kind)).otherwise(F.lit(default).cast(kind))
+    return p.withColumns({"frame": number(1, "int"), "id": number(2, "int"), "x": number(3, "double") - 1, "y": number(4, "double") - 1, "w": number(5, "double"), "h": number(6, "double"), "conf": at(7, "double", 1.0), "cls": at(8, "int", -1), "visibility": at(9, "double", -1.0)}).drop("__p", value)
+
+
+def parse_vatic(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Annotation rows: id, corners, frame, three flags, a quoted label and quoted attributes, of which a sorted array is kept."""
+    p = lines.withColumn("__p", F.split(F.trim(F.col(value)), " "))
+    number = lambda i: F.expr(f"try_cast(element_at(__p, {i}) AS double)")
+    quoted = F.transform(F.slice("__p", 11, 1 << 20), lambda x: F.trim(x, F.lit('"')))
+    flag = lambda i: F.element_at("__p", i) == "1"
+    out = p.withColumns({"frame": number(6).cast("int"), "id": number(1).cast("int"), "x": number(2), "y": number(3), "w": number(4) - number(2), "h": number(5) - number(3), "lost": flag(7), "occluded": flag(8), "generated": flag(9), "label": F.trim(F.element_at("__p", 10), F.lit('"')), "attributes": F.array_sort(quoted)})
+    return out.drop("__p", value)
+
+
+def parse_corner_text(lines: DataFrame, classes: dict[str, int], value: str = "value") -> DataFrame:
+    """Box rows of "frame id type truncated occluded alpha left top right bottom ..." lines; types without a class are dropped, frames count from 0."""
+    p = lines.withColumn("__p", F.split(F.trim(F.col(value)), "\\s+")).filter(F.size("__p") >= 10)
+    number = lambda i, kind: F.expr(f"try_cast(element_at(__p, {i}) AS {kind})")
+    mapping = F.create_map(*[F.lit(x) for kv in classes.items() for x in kv])
+    out = p.withColumns({"frame": number(1, "int") + 1, "id": number(2, "int"), "cls": mapping[F.lower(F.element_at("__p", 3))], "truncated": number(4, "double"), "occluded": number(5, "double"), "x": number(7, "double"), "y": number(8, "double"), "w": number(9, "double") - number(7, "double"), "h": number(10, "double") - number(8, "double"), "conf": F.when(F.size("__p") >= 18, number(18, "double")).otherwise(1.0)})
+    return out.filter("cls is not null").drop("__p", value)
+
+
+def camera_names(paths: DataFrame) -> DataFrame:
+    """scenario, camera and the flat sequence name of ``<split>/<scenario>/<camera>/gt/gt.txt`` paths; other paths give nothing."""
+    part = lambda i: F.regexp_extract("path", "([^/]+)/([^/]+)/([^/]+)/gt/gt\\.txt$", i)
+    found = paths.select(part(1).alias("split"), part(2).alias("scenario"), part(3).alias("camera")).filter("camera <> ''")
+    return found.withColumn("seq", F.concat_ws("_", "scenario", "camera"))
+
+
+def sequence_length(extracted: Column, prior: Column, last: Column) -> Column:
+    """The most of the extracted frames, the length stated before, and the last frame of the ground truth; missing ones don't count."""
+    return F.greatest(F.coalesce(extracted, F.lit(0)), F.coalesce(prior, F.lit(0)), F.coalesce(last, F.lit(0)))
+
+
 def to_corners(boxes: DataFrame, keep: set[int] | None = None, drop: set[int] = frozenset()) -> DataFrame:
     """Detections as corners; here a missing class counts as 0 and takes part in the policy."""
     c = F.coalesce(F.col("cls"), F.lit(0))
@@ -63,7 +110,11 @@ def kept_frames(meta: DataFrame, length: str, step: str) -> DataFrame:
 
 def read_seqinfo(spark: SparkSession, path: str) -> DataFrame:
     """seq and a map of the key = value lines of seqinfo.ini files; the case of keys is kept."""
-    text = spark.read.text(path, wholetext=True).withColumn("seq", F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]+$", 1))
+    return parse_seqinfo(spark.read.text(path, wholetext=True).withColumn("seq", F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]+$", 1)))
+
+
+def parse_seqinfo(text: DataFrame) -> DataFrame:
+    """seq and a map of the key = value lines of whole INI texts (columns seq, value)."""
     pairs = F.filter(F.split("value", "\\r?\\n"), lambda line: F.regexp_like(line, F.lit("^[^#;\\[][^=]*=")))
     entry = F.transform(pairs, lambda line: F.struct(F.trim(F.split_part(line, F.lit("="), F.lit(1))).alias("k"), F.trim(F.regexp_replace(line, "^[^=]*=", "")).alias("v")))
     return text.select("seq", F.map_from_entries(entry).alias("info"))
@@ -78,7 +129,11 @@ def write_seqinfo(meta: DataFrame) -> DataFrame:
 
 def discover(spark: SparkSession, root: str, wanted: DataFrame | None = None) -> DataFrame:
     """Sequences under ``root`` that have metadata or ground truth, hidden folders left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    return discovered(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path"), wanted)
+
+
+def discovered(files: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """The sequences of which ``files`` (column path) has metadata or ground truth."""
     name = F.regexp_extract("path", "([^/]+)/(?:seqinfo\\.ini|gt/gt\\.txt)$", 1)
     out = files.select(name.alias("seq")).filter((F.col("seq") != "") & ~F.col("seq").startswith(".") & (F.col("seq") != "__MACOSX")).distinct()
     return out if wanted is None else out.join(wanted, "seq", "left_semi")
@@ -102,19 +157,35 @@ def write_tracks(tracks: DataFrame, path: str) -> None:
     format_tracks(tracks).write.mode("overwrite").partitionBy("seq").text(path)
 
 
+_VEHICLE_FRAME = "_num INT, target_list STRUCT<target: ARRAY<STRUCT<_id: INT, box: STRUCT<_left: DOUBLE, _top: DOUBLE, _width: DOUBLE, _height: DOUBLE>, attribute: STRUCT<_vehicle_type: STRING>>>>"
+
+
 def read_vehicle_xml(spark: SparkSession, path: str, classes: dict[str, int], default: int = 4) -> DataFrame:
     """Box rows of frame elements with target lists: id, box and vehicle type, unknown types to the default class."""
-    schema = "_num INT, target_list STRUCT<target: ARRAY<STRUCT<_id: INT, box: STRUCT<_left: DOUBLE, _top: DOUBLE, _width: DOUBLE, _height: DOUBLE>, attribute: STRUCT<_vehicle_type: STRING>>>>"
-    frames = spark.read.schema(schema).option("rowTag", "frame").xml(path)
-    t = frames.select(F.col("_num").alias("frame"), F.explode("target_list.target").alias("t"))
+    return vehicle_boxes(spark.read.schema(_VEHICLE_FRAME).option("rowTag", "frame").xml(path), classes, default)
+
+
+def parse_vehicle_xml(texts: DataFrame, classes: dict[str, int], value: str = "value", default: int = 4) -> DataFrame:
+    """Box rows of texts that hold one frame element each; other columns are kept."""
+    return vehicle_boxes(texts.withColumn("__frame", F.from_xml(F.col(value), _VEHICLE_FRAME)).select(*[c for c in texts.columns if c != value], "__frame.*"), classes, default)
+
+
+def vehicle_boxes(frames: DataFrame, classes: dict[str, int], default: int = 4) -> DataFrame:
+    keep = [c for c in frames.columns if c not in ("_num", "target_list")]
+    t = frames.select(*keep, F.col("_num").alias("frame"), F.explode("target_list.target").alias("t"))
     mapping = F.create_map(*[F.lit(x) for kv in classes.items() for x in kv])
-    return t.select("frame", F.col("t._id").alias("id"), F.col("t.box._left").alias("x"), F.col("t.box._top").alias("y"), F.col("t.box._width").alias("w"), F.col("t.box._height").alias("h"), F.lit(1.0).alias("conf"), F.coalesce(mapping[F.lower("t.attribute._vehicle_type")], F.lit(default)).alias("cls"))
+    return t.select(*keep, "frame", F.col("t._id").alias("id"), F.col("t.box._left").alias("x"), F.col("t.box._top").alias("y"), F.col("t.box._width").alias("w"), F.col("t.box._height").alias("h"), F.lit(1.0).alias("conf"), F.coalesce(mapping[F.lower("t.attribute._vehicle_type")], F.lit(default)).alias("cls"))
 
 
 def read_frame_tables(spark: SparkSession, path: str) -> DataFrame:
     """One CSV per frame (classID, trackID, x, y, w, h): native frame numbers become dense ranks; rows that don't parse are skipped."""
     raw = spark.read.option("header", "true").csv(path).withColumn("native", frame_number(F.col("_metadata.file_path")))
-    typed = raw.select("native", *[F.col(c).try_cast("double").alias(c) for c in ("classID", "trackID", "x", "y", "w", "h")]).dropna()
+    return rank_frames(raw.select("native", *[F.col(c).try_cast("double").alias(c) for c in ("classID", "trackID", "x", "y", "w", "h")]))
+
+
+def rank_frames(rows: DataFrame) -> DataFrame:
+    """Rows of per-frame tables with their native frame number: incomplete rows go, native numbers become dense ranks."""
+    typed = rows.dropna()
     order = typed.select("native").distinct().withColumn("frame", F.row_number().over(Window.orderBy("native")))  # a row per file
     return typed.join(F.broadcast(order), "native").select("frame", F.col("trackID").cast("int").alias("id"), "x", "y", "w", "h", F.lit(1.0).alias("conf"), F.col("classID").cast("int").alias("cls"))
 
