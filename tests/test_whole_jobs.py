@@ -15,7 +15,7 @@ registry.load()
 
 def test_mask_pairs_of_all_frames(spark):
     n = Counter((r.seq, r.frame) for r in V.detections(spark, SF).select("seq", "frame").collect())
-    got = Counter((r.seq, r.frame) for r in registry.QUERIES["mask_pairs_all_frames"](spark, SF).collect())
+    got = Counter((r.seq, r.frame) for r in registry.QUERIES["mask_pairs"](spark, SF).collect())
     assert got == Counter({k: v * (v - 1) // 2 for k, v in n.items() if v > 1}) and max(f for _, f in got) > 60
 
 
@@ -23,7 +23,7 @@ def test_medoid_of_all_vectors(spark):
     by = defaultdict(list)
     for r in V.table(spark, SF, "embeddings").collect():
         by[r.label].append((r.vec_id, np.array(r.embedding, float)))
-    got = {r.label: r.medoid for r in registry.QUERIES["medoid_all_vectors"](spark, SF).collect()}
+    got = {r.label: r.medoid for r in registry.QUERIES["medoid"](spark, SF).collect()}
     assert set(got) == set(by)
     for label, rows in by.items():
         x = np.stack([v for _, v in rows])
@@ -46,11 +46,80 @@ def test_smoothing_of_long_tracks_equals_the_dense_solve():
 
 def test_payloads_of_whole_texts(spark):
     texts = {r.doc_id: r.text for r in V.table(spark, SF, "documents").select("doc_id", "text").collect()}
-    got = registry.QUERIES["encode_whole_payload"](spark, SF).collect()
+    got = registry.QUERIES["encode_payload"](spark, SF).collect()
     assert {r.doc_id: r.back for r in got} == texts and max(map(len, texts.values())) > 30
     assert all(base64.b64decode(r.packed) == texts[r.doc_id].encode() for r in got)
 
 
+def test_intervals_give_each_pair_once(spark):
+    from trackloom.operators.joins import interval
+
+    rng = np.random.default_rng(1)
+    a, b = [(i, int(t)) for i, t in enumerate(rng.integers(0, 400, 60))], [(i, int(t)) for i, t in enumerate(rng.integers(0, 400, 60))]
+    left, right = (spark.createDataFrame([(1, i, t) for i, t in rows], "k long, id long, t long") for rows in (a, b))
+    got = Counter((r[0], r[1]) for r in interval(left, right, ["k"], "t", 7, 3).selectExpr("a.id", "b.id").collect())
+    assert got == Counter((i, j) for i, s in a for j, t in b if s - 7 <= t <= s + 3)
+
+
+def test_reference_lists_in_blocks(spark):
+    from pyspark.sql import functions as F
+
+    from trackloom.operators.joins import against
+
+    rows, listed = spark.range(50).toDF("x"), spark.range(0, 50, 3).toDF("y")
+    want = {(x, y) for x in range(50) for y in range(0, 50, 3) if abs(x - y) < 2}
+    for limit in (100, 5):
+        got = against(rows, listed, F.abs(F.col("x") - F.col("y")) < 2, limit).collect()
+        assert {(r.x, r.y) for r in got} == want and len(got) == len(want)
+
+
+def test_identity_by_parts_equals_the_dense_assignment():
+    import pandas as pd
+
+    from trackloom.metrics import kernels as K
+
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        rows = [(f, int(g), 100 + int(rng.integers(6) if rng.random() < 0.4 else g), float(rng.random())) for f in range(12) for g in rng.choice(9, 4, replace=False)]
+        seen, keep = set(), []
+        for f, g, t, s in rows:
+            if (f, t) not in seen:
+                seen.add((f, t))
+                keep.append((f, g, t, s))
+        seq = K.Sequence(pd.DataFrame(keep, columns=["frame", "gid", "tid", "sim"]))
+        both = Counter((g, t) for _, g, t, s in keep if s >= 0.5)
+        dense = np.array([[both[g, t] for t in range(100, 110)] for g in range(9)], float)
+        r, c = K.assign(-dense)
+        assert K.identity(seq)["idtp"] == dense[r, c].sum()
+
+
+def test_deep_merge():
+    from trackloom.sources.config import deep_merge
+
+    base = {"a": 1, "b": {"x": 1, "y": [1, 2]}, "c": {"k": 0}}
+    assert deep_merge(base, {"b": {"y": [3], "z": None}, "c": 5}) == {"a": 1, "b": {"x": 1, "y": [3], "z": None}, "c": 5}
+    assert base == {"a": 1, "b": {"x": 1, "y": [1, 2]}, "c": {"k": 0}}
+
+
+def test_json_is_replaced_whole(spark, tmp_path):
+    from trackloom.sources.config import read_json, write_json
+
+    path = f"{tmp_path}/run/summary.json"
+    for value in ({"a": 1}, {"b": [1, 2, {"c": None}]}):
+        write_json(spark, value, path)
+        assert read_json(spark, path) == value
+    assert [p.name for p in (tmp_path / "run").iterdir() if not p.name.startswith(".")] == ["summary.json"]
+
+
+def test_files_are_filtered_and_counted(spark, tmp_path):
+    from trackloom.sources.mot import filter_file
+
+    (tmp_path / "det.txt").write_text("1,1,0,0,5,5,1,0\n1,2,0,0,5,5,1,2\nshort,row\n2,3,0,0,5,5,-1,0\n")
+    assert filter_file(spark, f"{tmp_path}/det.txt", f"{tmp_path}/out", drop={2}) == 2
+    lines = [line for p in (tmp_path / "out").glob("part-*") for line in p.read_text().splitlines()]
+    assert sorted(lines) == ["1,1,0,0,5,5,1,0", "2,3,0,0,5,5,-1,0"]
+
+
 def test_vectors_survive_hex(spark):
     want = {r.vec_id: np.array(r.embedding, "<f4") for r in V.table(spark, SF, "embeddings").select("vec_id", "embedding").collect()}
     got = registry.QUERIES["vector_hex"](spark, SF).collect()

@@ -78,21 +78,35 @@ def identity(seq: Sequence, least: float = 0.5) -> dict:
     for _, g, t, sim in seq.frames:
         for r, c in zip(*np.nonzero(sim >= least), strict=True):
             both[g[r], t[c]] += 1
-    gt, tr = list(seq.gt), list(seq.tr)
-    n, m = len(gt), len(tr)
-    cost = np.zeros((n + m, n + m))
-    big = 1e10
-    cost[n:, :m], cost[:n, m:] = big, big
-    for i, a in enumerate(gt):
-        cost[i, :m] = [seq.gt[a] + seq.tr[b] - 2 * both[a, b] for b in tr]
-        cost[i, m + i] = seq.gt[a]
-    for j, b in enumerate(tr):
-        cost[n + j, j] = seq.tr[b]
-    rows, columns = assign(cost)
-    tp = sum(both[gt[r], tr[c]] for r, c in zip(rows, columns, strict=True) if r < n and c < m)
+    # The errors are all boxes less two for each true positive: the most true positives are wanted. Ids that never meet don't matter to
+    # each other, so each connected part is solved alone.
+    tp = sum(common[r, c].sum() for common in _meetings(both) for r, c in [assign(-common)])
     return {"idtp": int(tp), "idfn": sum(seq.gt.values()) - int(tp), "idfp": sum(seq.tr.values()) - int(tp)}
 
 
+def _meetings(both: dict) -> list[np.ndarray]:
+    """The counts of pairs of ids as matrices, one for each connected part."""
+    partners, done, out = {}, set(), []
+    for (a, b), n in both.items():
+        if n:
+            partners.setdefault((0, a), []).append((1, b))
+            partners.setdefault((1, b), []).append((0, a))
+    for start in partners:
+        if start in done:
+            continue
+        done.add(start)
+        part, open_ = [start], [start]
+        while open_:
+            new = [x for x in partners[open_.pop()] if x not in done]
+            new = list(dict.fromkeys(new))
+            done.update(new)
+            part += new
+            open_ += new
+        sides = [[i for s, i in part if s == k] for k in (0, 1)]
+        out.append(np.array([[both.get((a, b), 0) for b in sides[1]] for a in sides[0]], float))
+    return out
+
+
 def hota(seq: Sequence) -> list[dict]:
     """Per alpha: TP, FN, FP, and the TP-weighted association, recall, precision and localisation sums."""
     share = defaultdict(float)

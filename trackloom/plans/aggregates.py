@@ -178,19 +178,10 @@ def hazard_statistics(spark, sf_dir):
     return _d(spark, sf_dir).groupBy("seq", "cls").agg(F.median("score").alias("mid"), F.round(F.stddev_pop("cell"), 5).alias("spread"), F.round(F.avg("x"), 6).alias("cx"))
 
 
-@query("AGG25", "WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 10 < 3), s AS (SELECT a.label, a.vec_id, sum(1 - list_dot_product(a.v, b.v)) AS s FROM e a JOIN e b ON a.label = b.label GROUP BY ALL) SELECT label, arg_min(vec_id, s) AS medoid FROM s GROUP BY label")
+@query("AGG25", "WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT a.label, a.vec_id, sum(1 - list_dot_product(a.v, b.v)) AS s FROM e a JOIN e b ON a.label = b.label GROUP BY ALL) SELECT label, arg_min(vec_id, s) AS medoid FROM s GROUP BY label")
 def medoid(spark, sf_dir):
-    """Medoids of three tenths of the vectors, which its SQL is held to; ``medoid_all_vectors`` takes them all."""
-    return _medoid(V.table(spark, sf_dir, "embeddings").filter("vec_id % 10 < 3"))
-
-
-@query("AGG25")
-def medoid_all_vectors(spark, sf_dir):
-    return _medoid(V.table(spark, sf_dir, "embeddings"))
-
-
-def _medoid(e):
     """Member of each class with the least summed distance to the others. The sum needs no pairs: it is n minus the dot product with the class's sum."""
+    e = V.table(spark, sf_dir, "embeddings")
     total = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.sum(F.col("x").cast("double")).alias("t"))
     parts = e.select("label", "vec_id", F.posexplode("embedding").alias("i", "x")).join(total, ["label", "i"])
     near = parts.groupBy("label", "vec_id").agg(F.sum(F.col("x") * F.col("t")).alias("s"))

@@ -199,10 +199,8 @@ def findings_full_rate(spark, sf_dir):
 
 @query("FLT30", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus IN ('O', 'F') AND o_orderpriority NOT IN ('5-LOW') AND o_custkey IS NOT NULL AND o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 90 DAY")
 def recent_orders(spark, sf_dir):
-    o = V.table(spark, sf_dir, "orders")
-    o.createOrReplaceTempView("trackloom_orders")
-    return spark.sql("""SELECT o_orderkey, o_totalprice FROM trackloom_orders WHERE o_orderstatus IN ('O', 'F') AND o_orderpriority NOT IN ('5-LOW') AND o_custkey IS NOT NULL
-      AND o_orderdate >= (SELECT max(o_orderdate) FROM trackloom_orders) - INTERVAL 90 DAY""")
+    return spark.sql("""SELECT o_orderkey, o_totalprice FROM {orders} WHERE o_orderstatus IN ('O', 'F') AND o_orderpriority NOT IN ('5-LOW') AND o_custkey IS NOT NULL
+      AND o_orderdate >= (SELECT max(o_orderdate) FROM {orders}) - INTERVAL 90 DAY""", orders=V.table(spark, sf_dir, "orders"))
 
 
 @query("SET1 SNK4", f"""WITH {_FIND}, u AS (SELECT run_id, score, 0 AS pri FROM f UNION ALL SELECT run_id, score * 2, 1 FROM f WHERE run_id % 5 = 0)

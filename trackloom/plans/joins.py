@@ -177,14 +177,14 @@ def custom_object_vectors(spark, sf_dir):
     return best.select("vec_id", F.round("pos", 5).alias("positive"), F.coalesce(F.col("neg") > F.col("pos"), F.lit(False)).alias("overridden"))
 
 
-@query("JN28", """WITH l AS (SELECT DISTINCT left(p_name, 10) AS plate FROM part WHERE p_partkey % 97 = 0), s AS (SELECT p_partkey, plate, 1 - levenshtein(left(p_name, 10), plate) / greatest(length(left(p_name, 10)), length(plate), 1) AS s FROM part, l)
+@query("JN28", """WITH l AS (SELECT DISTINCT p_name AS plate FROM part WHERE p_partkey % 97 = 0), s AS (SELECT p_partkey, plate, 1 - levenshtein(p_name, plate) / greatest(length(p_name), length(plate), 1) AS s FROM part, l)
 SELECT p_partkey, plate, CASE WHEN s >= 0.9 THEN 'high' ELSE 'medium' END AS band FROM s WHERE s >= 0.6""")
 def plate_match(spark, sf_dir):
-    """Names against a watch list (every 97th part), in bands of similarity."""
-    p = V.table(spark, sf_dir, "part").withColumn("own", F.substring("p_name", 1, 10))
-    watch = p.filter(F.col("p_partkey") % 97 == 0).select(F.col("own").alias("plate")).distinct()
-    s = T.plate_similarity(F.col("own"), F.col("plate"))
-    return p.join(watch, s >= 0.6).select("p_partkey", "plate", F.when(s >= 0.9, "high").otherwise("medium").alias("band"))
+    """Whole names against a watch list (the names of every 97th part, the stated list), in bands of similarity."""
+    p = V.table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    watch = p.filter(F.col("p_partkey") % 97 == 0).select(F.col("p_name").alias("plate")).distinct()
+    s = T.plate_similarity(F.col("p_name"), F.col("plate"))
+    return J.against(p, watch, s >= 0.6).select("p_partkey", "plate", F.when(s >= 0.9, "high").otherwise("medium").alias("band"))
 
 
 def _typed(spark, sf_dir, kind):
@@ -216,8 +216,9 @@ def trigger_presence(spark, sf_dir):
     """A trigger without presence from 10 minutes before to 5 after raises an alarm."""
     e = V.events(spark, sf_dir).withColumn("door", F.col("user_id") % 8)
     t = e.filter("event_type = 'error'").select("event_id", "door", "ms")
-    p = e.filter("event_type = 'click'").select("door", "ms", F.lit(1).alias("one"))
-    out = J.interval(t, p, ["door"], "ms", 600000, 300000, "left").groupBy("a.event_id").agg(F.count("b.one").alias("present"))
+    p = e.filter("event_type = 'click'").select("door", "ms")
+    met = J.interval(t, p, ["door"], "ms", 600000, 300000).groupBy(F.col("a.event_id").alias("event_id")).agg(F.count(F.lit(1)).alias("n"))
+    out = t.join(met, "event_id", "left").select("event_id", F.coalesce("n", F.lit(0)).cast("long").alias("present"))
     return out.withColumn("alarm", F.col("present") == 0)
 
 
@@ -250,24 +251,14 @@ def timing_coalesce(spark, sf_dir):
 
 @query("JN38", "SELECT e.event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n, count(v.user_id) AS verified FROM events e LEFT JOIN (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND value > 90) v ON e.user_id = v.user_id GROUP BY ALL")
 def verified_attributes(spark, sf_dir):
-    V.table(spark, sf_dir, "events").createOrReplaceTempView("trackloom_events")
-    return spark.sql("""SELECT e.event_type, cast(get_json_object(props, '$.k') AS bigint) AS k, count(*) AS n, count(v.user_id) AS verified FROM trackloom_events e
-      LEFT JOIN (SELECT DISTINCT user_id FROM trackloom_events WHERE event_type = 'purchase' AND value > 90) v ON e.user_id = v.user_id GROUP BY ALL""")
+    return spark.sql("""SELECT e.event_type, cast(get_json_object(props, '$.k') AS bigint) AS k, count(*) AS n, count(v.user_id) AS verified FROM {events} e
+      LEFT JOIN (SELECT DISTINCT user_id FROM {events} WHERE event_type = 'purchase' AND value > 90) v ON e.user_id = v.user_id GROUP BY ALL""", events=V.table(spark, sf_dir, "events"))
 
 
-@query("JN3", f"WITH {V.DET}, m AS (SELECT seq, frame, id, id % 7 * 10 AS s, 25 + id % 4 AS n FROM det WHERE frame <= 60), o AS (SELECT a.seq, a.frame, a.id AS gid, b.id AS tid, greatest(0, least(a.s + a.n, b.s + b.n) - greatest(a.s, b.s)) AS i, a.n + b.n AS t FROM m a JOIN m b ON a.seq = b.seq AND a.frame = b.frame AND a.id < b.id) SELECT seq, frame, gid, tid, round(2 * i / (2 * t - 2 * i), 6) AS iou FROM o")
+@query("JN3", f"WITH {V.DET}, m AS (SELECT seq, frame, id, id % 7 * 10 AS s, 25 + id % 4 AS n FROM det), o AS (SELECT a.seq, a.frame, a.id AS gid, b.id AS tid, greatest(0, least(a.s + a.n, b.s + b.n) - greatest(a.s, b.s)) AS i, a.n + b.n AS t FROM m a JOIN m b ON a.seq = b.seq AND a.frame = b.frame AND a.id < b.id) SELECT seq, frame, gid, tid, round(2 * i / (2 * t - 2 * i), 6) AS iou FROM o")
 def mask_pairs(spark, sf_dir):
-    """IoU of run-length masks over the first 60 frames, which its SQL is held to; ``mask_pairs_all_frames`` does them all."""
-    return _mask_pairs(V.detections(spark, sf_dir).filter("frame <= 60"))
-
-
-@query("JN3")
-def mask_pairs_all_frames(spark, sf_dir):
-    return _mask_pairs(V.detections(spark, sf_dir))
-
-
-def _mask_pairs(boxes):
-    """IoU of run-length masks; each mask here is two runs of one length, a thousand pixels apart."""
+    """IoU of run-length masks in all frames; each mask here is two runs of one length, a thousand pixels apart."""
+    boxes = V.detections(spark, sf_dir)
     start, n = F.col("id") % 7 * 10, 25 + F.col("id") % 4
     run = lambda s: F.struct(s.alias("start"), n.alias("length"))
     m = boxes.select("seq", "frame", "id", F.array(run(start), run(start + 1000)).alias("mask"))

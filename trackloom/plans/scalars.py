@@ -104,22 +104,14 @@ def sigmoid_softmax(spark, sf_dir):
     return e.select("event_id", F.round(1 / (1 + F.exp(-(F.col("value") - 50) / 10)), 6).alias("p"), F.round(F.col("v")[0] / total, 6).alias("s"))
 
 
-@query("SCL18", "SELECT doc_id, md5(text) AS code, base64(encode(left(text, 30))) AS packed, left(text, 30) AS back FROM documents")
+@query("SCL18", "SELECT doc_id, md5(text) AS code, base64(encode(text)) AS packed, text AS back FROM documents")
 def encode_payload(spark, sf_dir):
-    """The first 30 characters, which its SQL is held to; ``encode_whole_payload`` codes whole texts."""
+    """Whole texts to base64, in one line, and back."""
     d = V.table(spark, sf_dir, "documents")
-    short = F.substring("text", 1, 30)
-    packed = F.base64(F.encode(short, "UTF-8"))
+    packed = F.translate(F.base64(F.encode("text", "UTF-8")), "\r\n", "")
     return d.select("doc_id", F.lower(F.hex(F.unhex(F.md5("text")))).alias("code"), packed.alias("packed"), F.decode(F.unbase64(packed), "UTF-8").alias("back"))
 
 
-@query("SCL18")
-def encode_whole_payload(spark, sf_dir):
-    """Whole texts as base64 of their bytes, and back."""
-    d = V.table(spark, sf_dir, "documents").withColumn("packed", F.base64(F.encode("text", "UTF-8")))
-    return d.select("doc_id", "packed", F.decode(F.unbase64("packed"), "UTF-8").alias("back"))
-
-
 @query("SCL13")
 def vector_hex(spark, sf_dir):
     """Whole vectors as hex of their little-endian floats, and back; an Arrow UDF."""
