@@ -125,6 +125,21 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return [next(c for k in itertools.count() if (c := f"__{name}_{k}") not in taken) for name in names]
 
 
+#: A key is common if it holds this share of the rows, or more; so there are as many common keys at most.
+COMMON = 1000
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, held: str, total: int) -> DataFrame:
+    """``rows`` (``total`` of them) with the columns of ``table``, which has each key once and in ``held`` its number of rows.
+
+    Common keys, ``COMMON`` at most by arithmetic, are broadcast, so that none of them gathers its rows in one task; the others are shuffled.
+    """
+    common = F.col(held) * COMMON >= total
+    few = F.broadcast(table.filter(common).drop(held))
+    rest = rows.join(F.broadcast(table.filter(common).select(key)), key, "left_anti").join(table.filter(~common).drop(held), key)
+    return rows.join(few, key).unionByName(rest)
+
+
 def utf8(name: str):
     """The text column as bytes, null as empty: workers then skip decoding."""
     return F.coalesce(F.col(name).cast("binary"), F.lit(b""))

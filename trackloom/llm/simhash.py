@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_slices, utf8
+from .common import Scratch, map_slices, spread_join, utf8
 from .components import connected_components
 
 RADIUS = 2
@@ -105,10 +105,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, doc_id: str = "doc_id", tex
     """doc_id, fingerprint (hex), component_id for every row of ``docs``."""
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.write(fingerprints(docs, words, doc_id, text))
-    distinct = prints.groupBy("fp").agg(F.min("id").alias("first"))
+    distinct = scratch.write(prints.groupBy("fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("held")))
     parts = connected_components(links(distinct.select("fp"), scratch), scratch)
-    rooted = distinct.join(parts, distinct.fp == parts.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = distinct.join(parts, distinct.fp == parts.node, "left").select("fp", "first", "held", F.coalesce("root", "fp").alias("root"))
     rooted = scratch.write(rooted)
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = rooted.join(named, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = rooted.join(named, "root").select("fp", "component_id", "held")
+    return spread_join(prints, classes, "fp", "held", prints.count()).select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
