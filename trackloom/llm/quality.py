@@ -3,7 +3,8 @@
 Features are indicators of hashed byte n-grams, and of the equality patterns of four words in a row (by how often they
 occur), which show repetition whatever the words are. Each is scaled by its class log-count ratio, rows are normalised, and a
 linear hinge-loss model is fitted by dual coordinate descent. Margins become probabilities by a logistic curve that is
-fitted on rows which the descent didn't see.
+fitted on rows which the descent didn't see (the ratios count all labelled rows). The patterns are no n-grams of characters;
+they are scaled and weighted like them.
 
 The model is fitted on a bounded sample: about ``SAMPLE`` labelled rows, those of smallest hash.
 
