@@ -93,6 +93,21 @@ def test_identity_by_parts_equals_the_dense_assignment():
         assert K.identity(seq)["idtp"] == dense[r, c].sum()
 
 
+def test_assigned_shares_are_the_best_permutation():
+    import itertools
+
+    import pandas as pd
+
+    from trackloom.metrics.kernels import assigned_shares
+
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        j = np.where(rng.random((4, 4)) < 0.6, rng.random((4, 4)), 0)
+        rows = [(7, g, 50 + t, j[g, t]) for g in range(4) for t in range(4) if j[g, t]]
+        got = assigned_shares(pd.DataFrame(rows, columns=["seq", "gid", "tid", "j"]))
+        assert abs(got["j"].sum() - max(sum(j[i, p[i]] for i in range(4)) for p in itertools.permutations(range(4)))) < 1e-12 and got["gid"].is_unique
+
+
 def test_deep_merge():
     from trackloom.sources.config import deep_merge
 

@@ -80,12 +80,19 @@ def identity(seq: Sequence, least: float = 0.5) -> dict:
             both[g[r], t[c]] += 1
     # The errors are all boxes less two for each true positive: the most true positives are wanted. Ids that never meet don't matter to
     # each other, so each connected part is solved alone.
-    tp = sum(common[r, c].sum() for common in _meetings(both) for r, c in [assign(-common)])
+    tp = sum(common[r, c].sum() for _, _, common in _meetings(both) for r, c in [assign(-common)])
     return {"idtp": int(tp), "idfn": sum(seq.gt.values()) - int(tp), "idfp": sum(seq.tr.values()) - int(tp)}
 
 
-def _meetings(both: dict) -> list[np.ndarray]:
-    """The counts of pairs of ids as matrices, one for each connected part."""
+def assigned_shares(pdf: pd.DataFrame) -> pd.DataFrame:
+    """seq, gid, j of the one-to-one assignment of the largest sum, from the rows (seq, gid, tid, j) of a sequence."""
+    both = {(g, t): j for g, t, j in zip(pdf["gid"].tolist(), pdf["tid"].tolist(), pdf["j"].tolist(), strict=True)}
+    rows = [(gt[i], share[i, k]) for gt, _, share in _meetings(both) for i, k in zip(*assign(-share), strict=True) if share[i, k] > 0]
+    return pd.DataFrame({"seq": pdf["seq"].iloc[0], "gid": [g for g, _ in rows], "j": [j for _, j in rows]})
+
+
+def _meetings(both: dict) -> list[tuple[list, list, np.ndarray]]:
+    """The values of pairs of ids as matrices, with the ids of their rows and columns, one for each connected part."""
     partners, done, out = {}, set(), []
     for (a, b), n in both.items():
         if n:
@@ -103,7 +110,7 @@ def _meetings(both: dict) -> list[np.ndarray]:
             part += new
             open_ += new
         sides = [[i for s, i in part if s == k] for k in (0, 1)]
-        out.append(np.array([[both.get((a, b), 0) for b in sides[1]] for a in sides[0]], float))
+        out.append((*sides, np.array([[both.get((a, b), 0) for b in sides[1]] for a in sides[0]], float)))
     return out
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import views as V
 from ..metrics import kernels as K
 from ..metrics.frames import clear_scores, per_sequence, sides, with_total
+from ..operators import joins as J
 from ..operators.pairs import frame_pairs
 from ..registry import query
 
@@ -182,3 +183,20 @@ def accumulator_track_ratios(spark, sf_dir):
     seen = log.withColumns({"was": F.lag("ok").over(by.orderBy("frame")), "first": F.min(F.when(F.col("ok"), F.col("frame"))).over(by), "last": F.max(F.when(F.col("ok"), F.col("frame"))).over(by)})
     lost = F.col("was") & ~F.col("ok") & F.col("frame").between(F.col("first"), F.col("last"))
     return seen.groupBy("seq", F.col("oid").alias("id")).agg(F.round(F.avg(F.col("ok").cast("int")), 6).alias("track_ratio"), F.count_if(lost).alias("fragmentations"))
+
+
+@query("AGG42", f"WITH {V.PAIRS}, p AS (SELECT seq, gid, tid, sum(iou) AS s FROM iou WHERE iou > 0 GROUP BY ALL), b AS (SELECT seq, gid, max(s) AS s FROM p GROUP BY ALL), n AS (SELECT seq, id AS gid, count(*) AS n FROM gt GROUP BY ALL) SELECT seq, gid, round(coalesce(s, 0) / n, 6) AS j FROM n LEFT JOIN b USING (seq, gid)")
+def region_similarity(spark, sf_dir):
+    """Region score of masks: each ground truth's mean IoU, over its frames, with the track that is assigned to it.
+
+    Sums per pair of ids are plain aggregates; what goes to the one-to-one assignment of a sequence is a row for each pair
+    that ever overlaps. Here no track overlaps two ground truths, so the SQL needs no assignment.
+    """
+    mask = lambda b: b.withColumn("mask", F.array(F.struct((F.col("y") * 10000 + F.col("x")).cast("long").alias("start"), F.col("w").cast("long").alias("length"))))
+    gt = V.ground_truth(spark, sf_dir)
+    both = mask(gt).alias("g").join(mask(V.tracks(spark, sf_dir)).alias("t"), [F.col("g.seq") == F.col("t.seq"), F.col("g.frame") == F.col("t.frame")])
+    iou = both.select(F.col("g.seq").alias("seq"), F.col("g.id").alias("gid"), F.col("t.id").alias("tid"), J.mask_iou(F.col("g.mask"), F.col("t.mask")).alias("iou")).filter("iou > 0")
+    n = gt.groupBy("seq", F.col("id").alias("gid")).agg(F.count(F.lit(1)).alias("n"))
+    share = iou.groupBy("seq", "gid", "tid").agg(F.sum("iou").alias("s")).join(n, ["seq", "gid"]).select("seq", "gid", "tid", (F.col("s") / F.col("n")).alias("j"))
+    found = share.groupBy("seq").applyInPandas(K.assigned_shares, "seq long, gid long, j double")
+    return n.join(found, ["seq", "gid"], "left").select("seq", "gid", F.round(F.coalesce("j", F.lit(0.0)), 6).alias("j"))
