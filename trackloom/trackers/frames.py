@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .kernels import TRACKERS, Options, run
+from .kernels import TRACKERS, Options, overlap, run
 
 SCHEMA = "seq long, frame long, id long, x double, y double, w double, h double, score double, cls long"
 
@@ -41,18 +41,29 @@ def merge_untracked(tracks: DataFrame, detections: DataFrame, least: float) -> D
     return tracks.unionByName(free.select("seq", "frame", F.lit(-1).cast("long").alias("id"), "x", "y", "w", "h", "score", "cls"))
 
 
-def nms(detections: DataFrame, limit: float = 0.5) -> DataFrame:
-    """Greedy non-maximum suppression per (seq, frame, cls): best score first, ties by x then y."""
+#: Frames of a sequence that a Python call of ``nms`` takes at once.
+SPAN = 256
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        from .kernels import overlap
 
-        pdf = pdf.sort_values(["score", "x", "y"], ascending=[False, True, True])
-        boxes = pdf[["x", "y", "w", "h"]].to_numpy(float)
-        sim, keep = overlap(boxes, boxes), []
-        for i in range(len(boxes)):
-            if not keep or sim[i, keep].max() <= limit:
-                keep.append(i)
-        return pdf.iloc[np.array(keep)]
+def nms(detections: DataFrame, limit: float = 0.5) -> DataFrame:
+    """Greedy non-maximum suppression per (seq, frame, cls): best score first, ties by x then y. A group is ``SPAN`` frames, not one."""
+    from pyspark.sql import functions as F
 
-    return detections.groupBy("seq", "frame", "cls").applyInPandas(one, detections.schema)
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["frame", "cls", "score", "x", "y"], ascending=[True, True, False, True, True])
+        boxes, alike = pdf[["x", "y", "w", "h"]].to_numpy(float), pdf[["frame", "cls"]].to_numpy()
+        new = np.ones(len(pdf), bool)
+        new[1:] = (alike[1:] != alike[:-1]).any(1)
+        begin = np.flatnonzero(new)
+        keep = [at + i for at, end in zip(begin, [*begin[1:], len(pdf)], strict=True) for i in _kept(boxes[at:end], limit)]
+        return pdf.iloc[keep]
+
+    return detections.groupBy("seq", F.floor(F.col("frame") / SPAN)).applyInPandas(one, detections.schema)
+
+
+def _kept(boxes: np.ndarray, limit: float) -> list[int]:
+    sim, keep = overlap(boxes, boxes), []
+    for i in range(len(boxes)):
+        if not keep or sim[i, keep].max() <= limit:
+            keep.append(i)
+    return keep
