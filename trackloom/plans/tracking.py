@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from .. import views as V
@@ -9,7 +11,7 @@ from ..metrics import kernels as K
 from ..metrics.frames import clear_scores, per_sequence, sides
 from ..registry import query
 from ..trackers.frames import merge_untracked, nms, track
-from ..trackers.kernels import TRACKERS
+from ..trackers.kernels import PUBLIC, TRACKERS
 from .accuracy import CLEAR
 
 
@@ -19,10 +21,13 @@ def scored(spark, sf_dir):
     return t.select("seq", "frame", "x", "y", "w", "h", ((F.col("id") * 3 + F.col("frame")) % 7 / 10 + 0.3).alias("score"), (F.col("id") % 2).alias("cls"))
 
 
+def shown(tracks):
+    return tracks.select("seq", "frame", "id", *[F.round(c, 3).alias(c) for c in "xywh"], F.round("score", 2).alias("score"))
+
+
 def _register(name: str, covers: str) -> None:
     def run(spark, sf_dir):
-        out = track(scored(spark, sf_dir), name)
-        return out.select("seq", "frame", "id", *[F.round(c, 3).alias(c) for c in "xywh"], F.round("score", 2).alias("score"))
+        return shown(track(scored(spark, sf_dir), name))
 
     run.__name__ = f"track_{name}"
     run.__doc__ = f"Tracks of the {name} parameters."
@@ -31,12 +36,31 @@ def _register(name: str, covers: str) -> None:
 
 for _name, _covers in {
     "sort": "TRK13 RET20", "bytetrack": "TRK1 TRK2", "bytetrack_plus": "TRK5", "ocsort": "TRK8 JN12", "hybridsort": "TRK9 JN13", "botsort": "TRK10",
-    "fasttracker": "TRK12 RET19", "class_aware": "TRK7 RET26", "deepsort_motion": "RET21 RET22",
+    "fasttracker": "TRK12 RET19", "class_aware": "TRK7 RET26", "deepsort_motion": "RET21 RET22", "bytetrack_guarded": "TRK4",
+    "ocsort_by_class": "RET25", "hybridsort_by_class": "RET25",
 }.items():
     assert _name in TRACKERS
     _register(_name, _covers)
 
 
+@query("RET24")
+def track_bytetrack_public(spark, sf_dir):
+    """Tracks that start only where a public detection (here the ground truth of every other user) stands for them."""
+    public = V.ground_truth(spark, sf_dir).filter("id % 16 < 8")
+    return shown(track(scored(spark, sf_dir), PUBLIC, public))
+
+
+#: A region about all places of the first hundred users of a sequence: its direction is to the right, give or take 45 degrees.
+REGION = ((-100.0, -100.0), (-100.0, 100.0), (4900.0, 5100.0), (4900.0, -5100.0))
+
+
+@query("TRK6")
+def track_fasttracker_in_region(spark, sf_dir):
+    """Tracks kept to a region and to its direction; boxes of one class drift along it, those of the other against it."""
+    drifting = scored(spark, sf_dir).withColumn("x", F.col("x") + (F.col("cls") * 2 - 1) * F.col("frame") * 0.5)
+    return shown(track(drifting, replace(TRACKERS["fasttracker"], regions=(REGION,))))
+
+
 @query("TRK2 FLT20")
 def track_with_untracked(spark, sf_dir):
     d = scored(spark, sf_dir)

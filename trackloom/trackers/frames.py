@@ -11,23 +11,33 @@ from .kernels import TRACKERS, Options, overlap, run
 SCHEMA = "seq long, frame long, id long, x double, y double, w double, h double, score double, cls long"
 
 
-def track(detections: DataFrame, tracker: str | Options) -> DataFrame:
+def track(detections: DataFrame, tracker: str | Options, public: DataFrame | None = None) -> DataFrame:
     """Tracks of detections (seq, frame, x, y, w, h, score, cls). A sequence is one unit: each frame depends on those before.
 
-    Order of rows and partitions doesn't matter; sequences without detections give nothing. An unknown name fails here.
+    ``public`` (seq, frame, x, y, w, h) says where a tracker with such a gate may start tracks. Order of rows and partitions
+    doesn't matter, but for public ones of a frame, which are taken by x, then y; sequences without detections give nothing.
+    An unknown name fails here.
     """
     options = tracker if isinstance(tracker, Options) else TRACKERS.get(tracker)
     if options is None:
         raise NotImplementedError(f"no tracker named {tracker}")
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = pdf[["x", "y", "w", "h", "score", "cls"]].to_numpy(float)
-        frames = {int(f): values[i] for f, i in pdf.groupby("frame").indices.items()}
-        out = pd.DataFrame(run(frames, options), columns=["frame", "id", "x", "y", "w", "h", "score", "cls"])
+    def by_frame(pdf: pd.DataFrame, columns: list[str]) -> dict[int, np.ndarray]:
+        values = pdf[columns].to_numpy(float)
+        return {int(f): values[i] for f, i in pdf.groupby("frame").indices.items()}
+
+    def one(pdf: pd.DataFrame, also: pd.DataFrame | None = None) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame(columns=["seq", "frame", "id", "x", "y", "w", "h", "score", "cls"])
+        gates = None if also is None else by_frame(also.sort_values(["x", "y", "w", "h"]), ["x", "y", "w", "h"])
+        out = pd.DataFrame(run(by_frame(pdf, ["x", "y", "w", "h", "score", "cls"]), options, gates), columns=["frame", "id", "x", "y", "w", "h", "score", "cls"])
         out.insert(0, "seq", pdf["seq"].iloc[0])
         return out.astype({"frame": "int64", "id": "int64", "cls": "int64"})
 
-    return detections.select("seq", "frame", "x", "y", "w", "h", "score", "cls").groupBy("seq").applyInPandas(one, SCHEMA)
+    by_seq = detections.select("seq", "frame", "x", "y", "w", "h", "score", "cls").groupBy("seq")
+    if public is None:
+        return by_seq.applyInPandas(lambda pdf: one(pdf), SCHEMA)
+    return by_seq.cogroup(public.select("seq", "frame", "x", "y", "w", "h").groupBy("seq")).applyInPandas(lambda pdf, also: one(pdf, also), SCHEMA)
 
 
 def merge_untracked(tracks: DataFrame, detections: DataFrame, least: float) -> DataFrame:

@@ -1,17 +1,20 @@
 """Frame-by-frame trackers over the detections of one sequence.
 
 All share one loop: predict, associate in stages, update, start and end tracks. A tracker is a set of parameters of that
-loop; see ``TRACKERS``. All live tracks are one set of arrays, and every step takes all of them at once. Camera motion and
-appearance models are out of scope: there are no pixels here.
+loop; see ``TRACKERS``. All live tracks are one set of arrays, and every step takes all of them at once; only options that
+look at places (``places``) go through tracks one by one. Camera motion and appearance models are out of scope: there are no
+pixels here.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from dataclasses import dataclass, replace
 
 import numpy as np
 
 from ..metrics.assignment import assign_within
+from . import places
 from .kalman import BoxFilter
 
 
@@ -40,6 +43,11 @@ class Options:
     calm_start: float = 1.0  # a start is suppressed if it overlaps a live track more than this
     duplicate: float = 0.15  # two tracks nearer than this are one
     cascade: float = 0.0  # squared distance within which tracks match first by how recently they were seen; 0: no such stage
+    flat: bool = False  # scores count only for who takes part
+    public: float = 0.0  # a start needs a public detection that it overlaps more than this; 0: it needs none
+    regions: tuple = ()  # polygons that tracks keep to; four corners (two of the entry, two of the exit) give a direction, too
+    picture: tuple[float, float] | None = None  # width and height: lost tracks that leave it match no more
+    parked: tuple[float, ...] = ()  # classes whose standing tracks are held longer and guarded against passing ones
 
 
 TRACKERS: dict[str, Options] = {
@@ -53,6 +61,14 @@ TRACKERS: dict[str, Options] = {
     "class_aware": Options(by_class=True, freeze=True),
     "deepsort_motion": Options(two_stage=False, fuse_score=False, first=0.7, min_hits=3, high=0.3, start=0.3, cascade=9.4877),
 }
+TRACKERS |= {
+    "bytetrack_guarded": replace(TRACKERS["bytetrack_plus"], parked=(0.0, 1.0), picture=(1920.0, 1080.0)),
+    "ocsort_by_class": replace(TRACKERS["ocsort"], by_class=True, flat=True),
+    "hybridsort_by_class": replace(TRACKERS["hybridsort"], by_class=True, flat=True),
+}
+
+#: Starts tracks only where a public detection is; needs a table of these.
+PUBLIC = replace(TRACKERS["bytetrack"], public=0.88)
 
 
 class Tracks:
@@ -65,6 +81,9 @@ class Tracks:
         self.score, self.cls, self.mean, self.cov, self.last = np.zeros(0), np.zeros(0), np.zeros((0, 8)), np.zeros((0, 3, 4)), np.zeros((0, 4))
         self.ring, self.ring_at = np.zeros((0, self.depth, 4)), np.zeros((0, self.depth), np.int64)  # the latest observations and their frames
         self.votes: list[dict] = []
+        self.path: list[deque] = []  # (x, y, diagonal) of the latest observations
+        self.way: list[deque] = []  # the latest centres, for regions
+        self.saved: list[tuple | None] = []  # frame, mean, covariance and path before an update that looks stolen
 
     def __len__(self) -> int:
         return len(self.id)
@@ -81,13 +100,17 @@ class Tracks:
         for name, more in zip(self._ARRAYS, new, strict=True):
             setattr(self, name, np.concatenate([getattr(self, name), more]))
         self.votes += [{r[5]: r[4]} for r in rows]
+        self.path += [deque([p], places.STEPS) for p in _spots(rows)]
+        self.way += [deque(maxlen=places.WAY) for _ in rows]
+        self.saved += [None] * k
         self.next += k
 
     def keep(self, stays: np.ndarray) -> None:
         if not stays.all():
             for name in self._ARRAYS:
                 setattr(self, name, getattr(self, name)[stays])
-            self.votes = [v for v, s in zip(self.votes, stays, strict=True) if s]
+            for name in ("votes", "path", "way", "saved"):
+                setattr(self, name, [v for v, s in zip(getattr(self, name), stays, strict=True) if s])
 
     def boxes(self, k=slice(None)) -> np.ndarray:
         return self.filter.to_tlwh(self.mean[k])
@@ -100,6 +123,9 @@ class Tracks:
     def update(self, k: np.ndarray, frame: int, rows: np.ndarray) -> None:
         if not len(k):
             return
+        if self.options.parked:
+            for i, p in zip(k.tolist(), _spots(rows), strict=True):
+                self.path[i].append(p)
         gap = self.seen[k] < frame - 1 if self.options.revise else np.zeros(len(k), bool)
         if gap.any():
             self.replay(k[gap], frame, rows[gap])
@@ -137,6 +163,10 @@ class Tracks:
         return out
 
 
+def _spots(rows: np.ndarray) -> list[tuple]:
+    return [(x + w / 2, y + h / 2, float(np.hypot(w, h))) for x, y, w, h in rows[:, :4].tolist()]
+
+
 def overlap(a: np.ndarray, b: np.ndarray, kind: str = "iou") -> np.ndarray:
     """Similarity matrix of tlwh boxes."""
     if not len(a) or not len(b):
@@ -191,6 +221,8 @@ def _match(t: Tracks, k: np.ndarray, rows: np.ndarray, frame: int, cost: np.ndar
     found, left, free = assign_within(cost, limit)
     if found:
         i, j = np.array(found).T
+        if t.options.parked:
+            _suspect(t, k[i], frame, rows[j])
         t.update(k[i], frame, rows[j])
     return k[left], rows[free]
 
@@ -211,9 +243,64 @@ def _cascade(t: Tracks, k: np.ndarray, rows: np.ndarray, frame: int, o: Options)
     return np.sort(np.concatenate(left)) if left else k, rows
 
 
-def run(frames: dict[int, np.ndarray], options: Options) -> list[tuple]:
-    """frames: frame to (n, 6) rows of x, y, w, h, score, class. Gives (frame, id, x, y, w, h, score, class), ids from 1."""
+def _suspect(t: Tracks, k: np.ndarray, frame: int, rows: np.ndarray) -> None:
+    """Saves standing tracks that are about to jump: a passing object may be taking them along."""
+    for i, (x, y, diagonal) in zip(k.tolist(), _spots(rows), strict=True):
+        if t.cls[i] not in t.options.parked or t.hits[i] < 10 or t.seen[i] != frame - 1 or t.saved[i] is not None:
+            continue
+        still = places.stood(t.path[i], 5)
+        if (_at_rest(t, i) if still is None else still) and np.hypot(x - t.mean[i, 0], y - t.mean[i, 1]) > places.STOLEN * diagonal:
+            t.saved[i] = (frame, t.mean[i].copy(), t.cov[i].copy(), t.path[i].copy())
+
+
+def _at_rest(t: Tracks, i: int) -> bool:
+    box = t.boxes([i])[0]
+    return bool((t.mean[i, 4:6] ** 2).sum() / max(box[2] ** 2 + box[3] ** 2, 1.0) < places.STANDING)
+
+
+def _waits(t: Tracks, frame: int) -> np.ndarray:
+    """Lost tracks of guarded classes that stood when they were last seen."""
+    out = np.zeros(len(t), bool)
+    for i in np.flatnonzero((t.seen < frame) & np.isin(t.cls, t.options.parked)).tolist():
+        out[i] = _at_rest(t, i) and places.stood(t.path[i], 2) is not False
+    return out
+
+
+def _revert(t: Tracks, frame: int, rows: np.ndarray) -> None:
+    """After the grace, or once lost: a saved track that left its expected place goes back to where it stood, or to a free detection there, and is lost."""
+    for i in [i for i, saved in enumerate(t.saved) if saved is not None]:
+        since, mean, cov, path = t.saved[i]
+        n, lost = frame - since, t.seen[i] < frame
+        if not lost and n < places.GRACE:
+            continue
+        t.saved[i] = None
+        if not lost:
+            size = t.filter.to_tlwh(mean[None])[0, 2:]
+            spread = np.minimum(cov[0, :2] + n * n * cov[2, :2], 0.25 * size**2)
+            far = ((t.mean[i, :2] - mean[:2] - n * mean[4:6]) ** 2 / np.maximum(spread, 1.0)).sum()
+            if far <= places.DRIFT or places.stood(list(path)[-6:], 5) is False:
+                continue
+            t.seen[i] = frame - 1
+        t.mean[i], t.cov[i], t.path[i] = mean, cov, path
+        t.mean[i, :2], t.mean[i, 4:6] = np.median(np.array(path)[:, :2], axis=0), 0.0
+        box = t.boxes([i])[0]
+        spots, near, best = np.array(_spots(rows)).reshape(-1, 3), 0.5 * np.hypot(*box[2:]), None
+        live = t.mean[t.seen == frame, :2]
+        for j, (x, y, diagonal) in enumerate(spots.tolist()):
+            off = np.hypot(x - t.mean[i, 0], y - t.mean[i, 1])
+            if off < near and not (np.hypot(live[:, 0] - x, live[:, 1] - y) < 0.5 * diagonal).any():
+                near, best = off, j
+        if best is not None:
+            t.mean[i, :4], t.mean[i, 4:] = t.filter.measure(rows[best, :4])[0], 0.0
+
+
+def run(frames: dict[int, np.ndarray], options: Options, public: dict[int, np.ndarray] | None = None) -> list[tuple]:
+    """frames: frame to (n, 6) rows of x, y, w, h, score, class. Gives (frame, id, x, y, w, h, score, class), ids from 1.
+
+    public: frame to (n, 4) boxes, for trackers that start tracks only there.
+    """
     o, t, out = options, Tracks(options), []
+    regions = [np.asarray(r, float) for r in o.regions]
     if not frames:
         return out
     begin = min(frames)
@@ -229,8 +316,13 @@ def run(frames: dict[int, np.ndarray], options: Options) -> list[tuple]:
             t.frozen = (cover.max(1) > 0.7) & (t.seen < frame - 1)
         high = rows[rows[:, 4] >= o.high]
         low = rows[(rows[:, 4] >= o.low) & (rows[:, 4] < o.high)]
+        if o.flat:
+            high, low = (np.column_stack([r[:, :4], np.ones(len(r)), r[:, 5]]) for r in (high, low))
         known = (t.hits > 1) | (t.born == begin)
         left, unsure = np.flatnonzero(known), np.flatnonzero(~known)
+        if o.picture and len(left):
+            gone = places.left_picture(t.boxes(left), t.mean[left, 4:6], *o.picture)
+            left = left[~(gone & (t.seen[left] < frame - 1))]
         if o.cascade:
             left, high = _cascade(t, left, high, frame, o)
             late = left[t.seen[left] < frame - 1]
@@ -242,10 +334,22 @@ def run(frames: dict[int, np.ndarray], options: Options) -> list[tuple]:
             _stage(t, left[t.seen[left] >= frame - 1], low, frame, o, o.second, False)
             left = left[t.seen[left] != frame]
         if o.rematch and len(left) and len(high):
-            left, high = _match(t, left, high, frame, 1 - overlap(t.last[left], high[:, :4]), 0.7)
+            far = 1 - overlap(t.last[left], high[:, :4])
+            if o.by_class:
+                far = np.where(t.cls[left][:, None] != high[None, :, 5], 1e3, far)
+            left, high = _match(t, left, high, frame, far, 0.7)
         dead, high = _stage(t, unsure, high, frame, o, o.unconfirmed, True)
         stays = frame - t.seen <= o.buffer
+        if o.parked:
+            _revert(t, frame, rows)
+            waits = _waits(t, frame)
+            stays |= waits & (frame - t.seen <= places.HOLD * o.buffer)
+            if waits.any() and len(high):
+                spots, at = np.array(_spots(high)), t.mean[waits, :2]
+                high = high[~(np.hypot(spots[:, None, 0] - at[None, :, 0], spots[:, None, 1] - at[None, :, 1]) < 0.5 * spots[:, None, 2]).any(1)]
         stays[dead] = False
+        if o.public:
+            high = places.announced(high, (public or {}).get(frame, np.zeros((0, 4))), o.public)
         high = high[high[:, 4] >= o.start]
         if len(high):
             calm = _calm(t.boxes(t.seen == frame), high, o) if o.calm_start < 1 else np.ones(len(high), bool)
@@ -254,6 +358,10 @@ def run(frames: dict[int, np.ndarray], options: Options) -> list[tuple]:
         t.keep(stays)
         _without_twins(t, o.duplicate)
         shown = t.seen == frame
+        if regions:
+            for i in np.flatnonzero(shown).tolist():
+                t.way[i].append(t.mean[i, :2].copy())
+                t.mean[i, :2] = places.settle(t.way[i], regions)
         if frame - begin >= o.min_hits:
             shown &= t.hits >= o.min_hits
         if o.min_hits > 1:
