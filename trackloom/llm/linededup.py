@@ -87,21 +87,23 @@ def _folded(of: str, bit) -> Column:
 def _sets(base: DataFrame) -> DataFrame:
     """The earliest line of each set of words: d, l, n, bitmap (b1, b2), prefix (words by rarity) and how many of it are not frequent."""
     ranks, frequent = _ranks(base)
-    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    one = F.lit(1).cast("long")
     low, n = F.lit((1 << 32) - 1), F.size("k")
     # Hashes are quicker to compare than words. A filter on n would be pushed down and split each line once more.
     words = F.array_remove(F.array_distinct(F.transform(_spaced(F.col("line")), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
     hashed = _each(base).filter(_worded(F.col("line"))).select("d", "l", words.alias("k"))
     # Keys of the words: rank above, hash below; sorted, the rarest come first.
-    order = F.sort_array(F.transform("k", lambda k: F.coalesce(F.get(ranks, _class(k)), none).bitwiseOR(F.shiftrightunsigned(k, 32))))
-    prefix = F.when(n > 3, F.slice(order, F.lit(1), n - _at_least(n) + 1)).otherwise(F.array().cast("array<long>"))
-    # A word turns one bit of 128: sets differ in as many words as bits, at least.
-    bit = lambda upper: lambda k: F.when(k.bitwiseAND(F.lit(64)) == upper, F.call_function("shiftleft", one, k.bitwiseAND(F.lit(63)).cast("int"))).otherwise(none)
-    folded = hashed.select("d", "l", n.alias("n"), _folded("k", lambda k: k).alias("h"), _folded("k", bit(0)).alias("b1"), _folded("k", bit(64)).alias("b2"), prefix.alias("keys"))
+    hashed = hashed.withColumn("order", F.sort_array(F.transform("k", lambda k: F.get(ranks, _class(k)).bitwiseOR(F.shiftrightunsigned(k, 32)))))
+    prefix = F.when(n > 3, F.slice("order", F.lit(1), n - _at_least(n) + 1)).otherwise(F.array().cast("array<long>"))
+    # A word turns one bit of 128: sets differ in as many words as bits, at least. Its seventh bit says whether it is one of b2;
+    # b has both halves on top of each other.
+    turned = lambda bit: lambda k: F.call_function("shiftleft", bit(k), k.bitwiseAND(F.lit(63)).cast("int"))
+    folded = hashed.select("d", "l", n.alias("n"), F.xxhash64("order").alias("h"), _folded("k", turned(lambda k: one)).alias("b"), _folded("k", turned(lambda k: F.shiftright(k, 6).bitwiseAND(one))).alias("b2"), prefix.alias("keys"))
+    folded = folded.withColumn("b1", F.col("b").bitwiseXOR(F.col("b2"))).drop("b")
     # Thirty-one bits of a word's hash name it from here on: a clash costs a comparison, nothing else.
     named = F.transform("keys", lambda k: k.bitwiseAND(low).bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
     rare = F.size(F.filter("keys", lambda k: k < F.lit(frequent << 32)))
-    # Equal sets are those whose folded hash, bitmap and size are equal: 192 bits and more.
+    # Equal sets are those whose hash, bitmap and size are equal: 192 bits and more.
     first = folded.groupBy("h", "b1", "b2", "n").agg(F.min(F.struct("d", "l", "keys")).alias("x")).select("x.*", "n", "b1", "b2")
     return first.select("d", "l", "n", "b1", "b2", named.alias("prefix"), rare.alias("rare"))
 
@@ -150,7 +152,9 @@ def near_removed(sets: DataFrame, base: DataFrame, scratch: Scratch) -> DataFram
     piece = F.when(F.col("i") >= F.col("rare"), F.pmod(F.xxhash64("d", "l"), F.lit(PIECES))).otherwise(0)
     length = F.floor(F.log(F.col("n")) * 10)
     key = F.shiftleft(F.col("word").cast("long"), 32).bitwiseOR(F.shiftleft(piece, 26)).bitwiseOR(length)
-    keyed = entries(sets, "rare").select(key.alias("key"), "d", at(F.col("n")).alias("at"), "b1", "b2")
+    # A leader is found by any of the words shared with it, so a third of a long prefix is enough; what it misses, the join finds.
+    third = (F.size("prefix") <= 6).alias("short")
+    keyed = entries(sets, "rare", third).filter(F.col("short") | (F.col("i") % 3 == 0)).select(key.alias("key"), "d", at(F.col("n")).alias("at"), "b1", "b2")
     lead = F.min(F.struct("d", "at", "b1", "b2")).over(Window.partitionBy("key"))
     led = keyed.select("d", "at", "b1", "b2", lead.alias("y"))
     differ = F.bit_count(F.col("b1").bitwiseXOR(F.col("y.b1"))) + F.bit_count(F.col("b2").bitwiseXOR(F.col("y.b2")))
@@ -165,7 +169,7 @@ def near_removed(sets: DataFrame, base: DataFrame, scratch: Scratch) -> DataFram
     n, m = F.abs(x("n")), F.abs(y("n"))
     differ = F.bit_count(x("b1").bitwiseXOR(y("b1"))) + F.bit_count(x("b2").bitwiseXOR(y("b2")))
     before = earlier(x("d"), line(x("at")), y("d"), line(y("at")))
-    met = (x("word") == y("word")) & (x("n") * m > 0) & before & _near(n, m, differ) & _places(n, low(x("at")), m, low(y("at")))
+    met = (x("word") == y("word")) & _near(n, m, differ) & (x("n") > 0) & before & _places(n, low(x("at")), m, low(y("at")))  # the most selective first
     rest = packed.alias("x").join(packed.alias("y"), met)
     late = rest.select(x("d").alias("d"), line(x("at")).alias("l"), y("d").alias("e"), line(y("at")).alias("k")).distinct()
     return matched.union(_verified(late, base, scratch))
