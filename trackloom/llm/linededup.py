@@ -169,7 +169,8 @@ def near_removed(sets: DataFrame, base: DataFrame, scratch: Scratch) -> DataFram
     n, m = F.abs(x("n")), F.abs(y("n"))
     differ = F.bit_count(x("b1").bitwiseXOR(y("b1"))) + F.bit_count(x("b2").bitwiseXOR(y("b2")))
     before = earlier(x("d"), line(x("at")), y("d"), line(y("at")))
-    met = (x("word") == y("word")) & _near(n, m, differ) & (x("n") > 0) & before & _places(n, low(x("at")), m, low(y("at")))  # the most selective first
+    # The most selective test comes first; a test of x alone would be pushed down, and the sides would no longer share their shuffle.
+    met = (x("word") == y("word")) & _near(n, m, differ) & (x("n") * m > 0) & before & _places(n, low(x("at")), m, low(y("at")))
     rest = packed.alias("x").join(packed.alias("y"), met)
     late = rest.select(x("d").alias("d"), line(x("at")).alias("l"), y("d").alias("e"), line(y("at")).alias("k")).distinct()
     return matched.union(_verified(late, base, scratch))
