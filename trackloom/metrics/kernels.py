@@ -91,6 +91,13 @@ def assigned_shares(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"seq": pdf["seq"].iloc[0], "gid": [g for g, _ in rows], "j": [j for _, j in rows]})
 
 
+def assigned_ids(pdf: pd.DataFrame) -> pd.DataFrame:
+    """seq, gid, tid of the same assignment."""
+    both = {(g, t): j for g, t, j in zip(pdf["gid"].tolist(), pdf["tid"].tolist(), pdf["j"].tolist(), strict=True)}
+    rows = [(gt[i], trk[k]) for gt, trk, share in _meetings(both) for i, k in zip(*assign(-share), strict=True) if share[i, k] > 0]
+    return pd.DataFrame({"seq": pdf["seq"].iloc[0], "gid": [g for g, _ in rows], "tid": [t for _, t in rows]})
+
+
 def _meetings(both: dict) -> list[tuple[list, list, np.ndarray]]:
     """The values of pairs of ids as matrices, with the ids of their rows and columns, one for each connected part."""
     partners, done, out = {}, set(), []

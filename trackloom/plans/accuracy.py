@@ -159,7 +159,7 @@ def accumulator_counters(spark, sf_dir):
         n("MATCH", "SWITCH", "MISS").alias("objects"), n("MATCH", "SWITCH", "FP").alias("predictions"), F.countDistinct("oid").alias("unique_objects"))
 
 
-@query("AGG47 AGG49 UDF1", _EVENTS + """
+@query("AGG47 AGG49", _EVENTS + """
 , p AS (SELECT seq, detections AS d, switches AS s, dist, objects AS o, predictions AS p FROM c JOIN g USING (seq) JOIN t USING (seq)),
 al AS (SELECT * FROM p UNION ALL SELECT -1, sum(d), sum(s), sum(dist), sum(o), sum(p) FROM p)
 SELECT seq, round(1 - ((o - d) + s + (p - d)) / o, 6) AS mota, round(dist / d, 6) AS motp, round(d / p, 6) AS precision, round(d / o, 6) AS recall FROM al""")

@@ -46,13 +46,13 @@ def frame_class_counts(spark, sf_dir):
     return out.select("seq", "frame", *[F.coalesce(F.col(str(c)), F.lit(0)).alias(f"c{c}") for c in (0, 1, 2)])
 
 
-@query("AGG4 STR45", f"""{D}, s AS (SELECT seq, frame FROM (SELECT DISTINCT seq FROM det), (SELECT unnest(range(1, 721)) AS frame)), c AS (SELECT seq, frame, count(*) AS n FROM det WHERE cls <= 2 GROUP BY ALL),
+@query("AGG4 STR45", f"""{D}, s AS (SELECT seq, frame FROM (SELECT DISTINCT seq FROM det), (SELECT unnest(range(1, last + 1)) AS frame FROM (SELECT max(frame) AS last FROM det))), c AS (SELECT seq, frame, count(*) AS n FROM det WHERE cls <= 2 GROUP BY ALL),
 f AS (SELECT seq, frame, coalesce(n, 0) AS n, frame // 60 AS period FROM s LEFT JOIN c USING (seq, frame)), nw AS (SELECT seq, frame // 60 AS period, count(*) AS fresh FROM (SELECT seq, id, min(frame) AS frame FROM det WHERE cls <= 2 GROUP BY ALL) GROUP BY ALL)
 SELECT seq, period, min(n) AS lo, max(n) AS hi, round(avg(n), 6) AS mean, arg_max(n, frame) AS latest, coalesce(max(fresh), 0) AS fresh FROM f LEFT JOIN nw USING (seq, period) GROUP BY ALL""")
 def object_variable(spark, sf_dir):
     """Per period: least, most, mean and latest count of a frame (empty frames count zero), and ids seen for the first time."""
     d = _d(spark, sf_dir).filter("cls <= 2")
-    spine = _d(spark, sf_dir).select("seq").distinct().withColumn("frame", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(720).cast("long"))))
+    spine = V.every_frame(_d(spark, sf_dir))
     n = frame_spine(spine, d.groupBy("seq", "frame").agg(one().alias("n")), ["seq", "frame"], "n").withColumn("period", F.floor(F.col("frame") / 60))
     fresh = d.groupBy("seq", "id").agg(F.min("frame").alias("frame")).groupBy("seq", F.floor(F.col("frame") / 60).alias("period")).agg(one().alias("fresh"))
     stat = n.groupBy("seq", "period").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.round(F.avg("n"), 6).alias("mean"), F.max_by("n", "frame").alias("latest"))
@@ -188,14 +188,14 @@ def medoid(spark, sf_dir):
     return near.groupBy("label").agg(F.max_by("vec_id", "s").alias("medoid"))
 
 
-@query("AGG26", f"""{D}, sp AS (SELECT seq, frame, coalesce(n, 0) AS n FROM (SELECT seq, unnest(range(1, 721)) AS frame FROM (SELECT DISTINCT seq FROM det)) LEFT JOIN (SELECT seq, frame, count(*) AS n FROM det GROUP BY ALL) USING (seq, frame)),
-r AS (SELECT seq, n, row_number() OVER (PARTITION BY seq ORDER BY n) - 1 AS r FROM sp), den AS (SELECT seq, round(avg(n), 6) AS mean, max(n) AS top, max(CASE WHEN r = round_even(0.95 * 719, 0) THEN n END) AS p95 FROM r GROUP BY seq),
+@query("AGG26", f"""{D}, sp AS (SELECT seq, frame, coalesce(n, 0) AS n FROM (SELECT seq, unnest(range(1, last + 1)) AS frame FROM (SELECT DISTINCT seq FROM det), (SELECT max(frame) AS last FROM det)) LEFT JOIN (SELECT seq, frame, count(*) AS n FROM det GROUP BY ALL) USING (seq, frame)),
+r AS (SELECT seq, n, row_number() OVER (PARTITION BY seq ORDER BY n) - 1 AS r FROM sp), den AS (SELECT seq, round(avg(n), 6) AS mean, max(n) AS top, max(CASE WHEN r = round_even(0.95 * ((SELECT max(frame) FROM det) - 1), 0) THEN n END) AS p95 FROM r GROUP BY seq),
 l AS (SELECT seq, id, count(*) AS n FROM det GROUP BY ALL), ln AS (SELECT seq, count(*) AS tracks, round(avg(n), 6) AS length_mean, median(n) AS length_median, max(n) AS length_max FROM l GROUP BY seq),
 v AS (SELECT seq, count(*) AS boxes, count(*) FILTER (cls IN (0, 1)) AS vehicles FROM det GROUP BY seq) SELECT * FROM den JOIN ln USING (seq) JOIN v USING (seq)""")
 def dataset_statistics(spark, sf_dir):
     """Density (frames without boxes count), track lengths and class counts of each sequence."""
     d = _d(spark, sf_dir)
-    spine = d.select("seq").distinct().withColumn("frame", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(720).cast("long"))))
+    spine = V.every_frame(d)
     n = frame_spine(spine, d.groupBy("seq", "frame").agg(one().alias("n")), ["seq", "frame"], "n")
     density = n.groupBy("seq").agg(F.round(F.avg("n"), 6).alias("mean"), F.max("n").alias("top")).join(A.nearest_rank(n, ["seq"], "n", 0.95, "p95"), "seq")
     length = d.groupBy("seq", "id").agg(one().alias("n")).groupBy("seq").agg(one().alias("tracks"), F.round(F.avg("n"), 6).alias("length_mean"), F.median("n").alias("length_median"), F.max("n").alias("length_max"))

@@ -38,7 +38,7 @@ def blacklist_state(spark, sf_dir):
     return a.select("seq", "id", F.when((F.col("rows") < 24) & (F.col("s") < 0.45), "listed").when(F.col("rows") >= 24, "moving").otherwise("open").alias("state"))
 
 
-@query("STR4 STR52", "SELECT user_id, arg_max(event_type, value * 1000000 + event_id) AS best, count(*) AS offers FROM events GROUP BY user_id")
+@query("STR4", "SELECT user_id, arg_max(event_type, value * 1000000 + event_id) AS best, count(*) AS offers FROM events GROUP BY user_id")
 def attribute_priority(spark, sf_dir):
     """Attribute of highest priority per entity, ties to the later one."""
     return V.table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_type", F.col("value") * 1000000 + F.col("event_id")).alias("best"), one().alias("offers"))
@@ -78,14 +78,14 @@ def ordered_lines(spark, sf_dir):
     return out.filter("f1 - f0 <= 12").withColumn("speed", F.round(100 / (F.col("f1") - F.col("f0")), 6))
 
 
-_OCC = f"""{D}, c AS (SELECT seq, frame, coalesce(n, 0) AS n FROM (SELECT seq, unnest(range(1, 721)) AS frame FROM (SELECT DISTINCT seq FROM det)) LEFT JOIN (SELECT seq, frame, count(*) AS n FROM det WHERE cell < 512 GROUP BY ALL) USING (seq, frame)),
+_OCC = f"""{D}, c AS (SELECT seq, frame, coalesce(n, 0) AS n FROM (SELECT seq, unnest(range(1, last + 1)) AS frame FROM (SELECT DISTINCT seq FROM det), (SELECT max(frame) AS last FROM det)) LEFT JOIN (SELECT seq, frame, count(*) AS n FROM det WHERE cell < 512 GROUP BY ALL) USING (seq, frame)),
 s AS (SELECT seq, frame, {{cond}} AS on_, row_number() OVER (PARTITION BY seq ORDER BY frame) - row_number() OVER (PARTITION BY seq, {{cond}} ORDER BY frame) AS k FROM c)
 SELECT seq, min(frame) AS start, max(frame) AS last FROM s WHERE on_ GROUP BY seq, k HAVING max(frame) - min(frame) + 1 >= {{least}}"""
 
 
 def _occupied(spark, sf_dir, condition: str, least: int):
     d = _d(spark, sf_dir)
-    spine = d.select("seq").distinct().withColumn("frame", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(720).cast("long"))))
+    spine = V.every_frame(d)
     n = d.filter("cell < 512").groupBy("seq", "frame").agg(one().alias("n"))
     c = spine.join(n, ["seq", "frame"], "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("on", F.expr(condition))
     runs = A.runs_of(c, ["seq"], "frame", "on").filter("`on`")
@@ -116,7 +116,7 @@ def motion_neighbours(spark, sf_dir):
     return n.filter("own and n >= 2").select("seq", "win", (F.col("r") * 32 + F.col("k")).alias("cell"), "n")
 
 
-@query("STR27 STR28 STR29 STR49", f"""WITH {V.EV}, s AS (SELECT user_id, ms, event_id, CASE WHEN value >= 66 THEN 'open' WHEN value < 33 THEN 'closed' ELSE 'unknown' END AS st FROM ev), k AS (SELECT * FROM s WHERE st <> 'unknown'),
+@query("STR27 STR28", f"""WITH {V.EV}, s AS (SELECT user_id, ms, event_id, CASE WHEN value >= 66 THEN 'open' WHEN value < 33 THEN 'closed' ELSE 'unknown' END AS st FROM ev), k AS (SELECT * FROM s WHERE st <> 'unknown'),
 c AS (SELECT *, lag(st) OVER (PARTITION BY user_id ORDER BY ms, event_id) AS was FROM k) SELECT event_id, was || '>' || st AS change FROM c WHERE was <> st""")
 def door_changes(spark, sf_dir):
     """Transitions between open and closed; unknown scores don't interrupt a state."""
@@ -168,15 +168,16 @@ def count_in_window(spark, sf_dir):
     return V.events(spark, sf_dir).withColumn("n", F.count_if(F.col("event_type") == "error").over(w)).filter("n >= 2").select("event_id", "n")
 
 
-@query("STR39 STR33", f"""{D}, p AS (SELECT seq, id, frame, lead(frame) OVER (PARTITION BY seq, id ORDER BY frame) AS nxt FROM det) SELECT seq, id, frame + 36 AS frame, nxt IS NOT NULL AS returned FROM p WHERE nxt - frame > 36 OR (nxt IS NULL AND frame + 36 <= 720)""")
+@query("STR39", f"""{D}, p AS (SELECT seq, id, frame, lead(frame) OVER (PARTITION BY seq, id ORDER BY frame) AS nxt FROM det) SELECT seq, id, frame + 36 AS frame, nxt IS NOT NULL AS returned FROM p WHERE nxt - frame > 36 OR (nxt IS NULL AND frame + 36 <= (SELECT max(frame) FROM det))""")
 def missing_object(spark, sf_dir):
     """Suspected gone after 36 frames unseen; whether it returned later."""
-    p = _d(spark, sf_dir).withColumn("nxt", F.lead("frame").over(Window.partitionBy("seq", "id").orderBy("frame")))
-    gone = p.filter("nxt - frame > 36 or (nxt is null and frame + 36 <= 720)")
+    d = _d(spark, sf_dir)
+    p = d.withColumn("last", d.agg(F.max("frame")).scalar()).withColumn("nxt", F.lead("frame").over(Window.partitionBy("seq", "id").orderBy("frame")))
+    gone = p.filter("nxt - frame > 36 or (nxt is null and frame + 36 <= last)")
     return gone.select("seq", "id", (F.col("frame") + 36).alias("frame"), F.col("nxt").isNotNull().alias("returned"))
 
 
-@query("STR41 STR42 STR43 STR8", f"WITH {V.EV}, s AS (SELECT user_id, event_type, min(ms) AS first, max(ms) AS last, count(*) AS n FROM ev WHERE value >= 50 GROUP BY ALL), l AS (SELECT DISTINCT user_id FROM ev WHERE event_type = 'purchase' AND value > 90) SELECT s.user_id, event_type, first, first + 10000 AS decided, l.user_id IS NOT NULL AS known, n FROM s LEFT JOIN l USING (user_id)")
+@query("STR42 STR43 STR8", f"WITH {V.EV}, s AS (SELECT user_id, event_type, min(ms) AS first, max(ms) AS last, count(*) AS n FROM ev WHERE value >= 50 GROUP BY ALL), l AS (SELECT DISTINCT user_id FROM ev WHERE event_type = 'purchase' AND value > 90) SELECT s.user_id, event_type, first, first + 10000 AS decided, l.user_id IS NOT NULL AS known, n FROM s LEFT JOIN l USING (user_id)")
 def recognition(spark, sf_dir):
     """Each entity and kind once, decided ten seconds after it was first seen, known if it is on the list."""
     e = V.events(spark, sf_dir)
@@ -193,7 +194,7 @@ def history_match(spark, sf_dir):
     return h.select("seq", "frame", "id", F.coalesce((F.col("frame") - F.col("pf") <= 3) & (F.col("pid") == F.col("id")), F.lit(False)).alias("seen_before"))
 
 
-@query("STR26 STR51", f"""WITH RECURSIVE {V.EV}, e AS (SELECT user_id % 8 AS camera, ms FROM ev GROUP BY ALL), a AS (SELECT camera, min(ms) AS ms FROM e GROUP BY camera
+@query("STR26", f"""WITH RECURSIVE {V.EV}, e AS (SELECT user_id % 8 AS camera, ms FROM ev GROUP BY ALL), a AS (SELECT camera, min(ms) AS ms FROM e GROUP BY camera
   UNION ALL SELECT a.camera, (SELECT min(e.ms) FROM e WHERE e.camera = a.camera AND e.ms >= a.ms + 3600000) FROM a WHERE a.ms IS NOT NULL) SELECT camera, ms FROM a WHERE ms IS NOT NULL""")
 def periodic_snapshots(spark, sf_dir):
     """Snapshots at least an hour apart, each counted from the last taken."""

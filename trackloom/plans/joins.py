@@ -202,7 +202,7 @@ def asof_latest(spark, sf_dir):
     return J.asof(_typed(spark, sf_dir, "error"), views, ["user_id"], "ms", "view_id")
 
 
-@query("JN31 JN32 UDF11", f"""WITH {_TYPED}, c AS (SELECT er.user_id, er.ms, er.event_id, vw.view_id, vw.ms AS vt, row_number() OVER (PARTITION BY er.event_id ORDER BY abs(vw.ms - er.ms), vw.ms) AS r FROM er LEFT JOIN vw ON er.user_id = vw.user_id AND abs(vw.ms - er.ms) <= 7200000)
+@query("JN31 JN32", f"""WITH {_TYPED}, c AS (SELECT er.user_id, er.ms, er.event_id, vw.view_id, vw.ms AS vt, row_number() OVER (PARTITION BY er.event_id ORDER BY abs(vw.ms - er.ms), vw.ms) AS r FROM er LEFT JOIN vw ON er.user_id = vw.user_id AND abs(vw.ms - er.ms) <= 7200000)
 SELECT user_id, ms, event_id, view_id, vt AS matched_at FROM c WHERE r = 1""")
 def asof_nearest(spark, sf_dir):
     """Each error with the view nearest to it within two hours, if any; of two as near the earlier."""

@@ -67,7 +67,7 @@ def lane_fit(spark, sf_dir):
     return out.filter("n > 20").drop("n")
 
 
-@query("SCL8 JN21", f"{D}, p AS (SELECT seq, frame, id, cell % 32 + 0.5 AS x, cell // 32 + 0.5 AS y FROM det) SELECT seq, frame, id FROM p WHERE (((4 > y) <> (4 > y)) AND false) <> ((4 > y) <> (28 > y) AND x < (16 - 28) * (y - 4) / 24 + 28) AND NOT ((28 > y) <> (4 > y) AND x < (4 - 16) * (y - 28) / (4 - 28) + 16)")
+@query("SCL8", f"{D}, p AS (SELECT seq, frame, id, cell % 32 + 0.5 AS x, cell // 32 + 0.5 AS y FROM det) SELECT seq, frame, id FROM p WHERE (((4 > y) <> (4 > y)) AND false) <> ((4 > y) <> (28 > y) AND x < (16 - 28) * (y - 4) / 24 + 28) AND NOT ((28 > y) <> (4 > y) AND x < (4 - 16) * (y - 28) / (4 - 28) + 16)")
 def in_triangle(spark, sf_dir):
     """Cell centres inside the triangle (4, 4), (28, 4), (16, 28)."""
     p = (F.col("cell") % 32 + 0.5, F.floor(F.col("cell") / 32) + 0.5)

@@ -61,7 +61,7 @@ def track_lines(spark, sf_dir):
     return M.format_tracks(V.tracks(spark, sf_dir).withColumn("score", F.lit(0.5)))
 
 
-@query("SNK7 SNK9", "SELECT user_id % 8 AS camera, count(*) AS n, min(event_id) AS first FROM events GROUP BY ALL")
+@query("SNK9", "SELECT user_id % 8 AS camera, count(*) AS n, min(event_id) AS first FROM events GROUP BY ALL")
 def metadata_assembly(spark, sf_dir):
     """A nested record per camera, assembled, written as JSON text, and read back."""
     e = V.table(spark, sf_dir, "events").groupBy((F.col("user_id") % 8).alias("camera")).agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"))

@@ -35,7 +35,7 @@ def _register(name: str, covers: str) -> None:
 
 
 for _name, _covers in {
-    "sort": "TRK13 RET20", "bytetrack": "TRK1 TRK2", "bytetrack_plus": "TRK5", "ocsort": "TRK8 JN12", "hybridsort": "TRK9 JN13", "botsort": "TRK10",
+    "sort": "RET20", "bytetrack": "TRK1 TRK2", "bytetrack_plus": "TRK5", "ocsort": "TRK8 JN12", "hybridsort": "TRK9 JN13", "botsort": "TRK10",
     "fasttracker": "TRK12 RET19", "class_aware": "TRK7 RET26", "deepsort_motion": "RET21 RET22", "bytetrack_guarded": "TRK4",
     "ocsort_by_class": "RET25", "hybridsort_by_class": "RET25",
 }.items():

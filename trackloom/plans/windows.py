@@ -176,7 +176,7 @@ def latest_events(spark, sf_dir):
     return V.table(spark, sf_dir, "events").orderBy(F.desc("ts"), "event_id").limit(20).select("event_id", "value")
 
 
-@query("STR18 STR19 STR1", f"""WITH {V.EV}, g AS (SELECT user_id, ms, value, CASE WHEN ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms) <= 21600000 THEN 0 ELSE 1 END AS new FROM ev),
+@query("STR18", f"""WITH {V.EV}, g AS (SELECT user_id, ms, value, CASE WHEN ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms) <= 21600000 THEN 0 ELSE 1 END AS new FROM ev),
 i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ms ROWS UNBOUNDED PRECEDING) AS island FROM g) SELECT user_id, island::BIGINT AS island, min(ms) AS start, max(ms) AS "end", count(*) AS n FROM i GROUP BY ALL HAVING max(ms) - min(ms) > 14400000""")
 def loitering(spark, sf_dir):
     """Presence without a gap of more than six hours, for more than four."""

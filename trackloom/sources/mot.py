@@ -183,11 +183,11 @@ def read_frame_tables(spark: SparkSession, path: str) -> DataFrame:
     return rank_frames(raw.select("native", *[F.col(c).try_cast("double").alias(c) for c in ("classID", "trackID", "x", "y", "w", "h")]))
 
 
-def rank_frames(rows: DataFrame) -> DataFrame:
-    """Rows of per-frame tables with their native frame number: incomplete rows go, native numbers become dense ranks."""
+def rank_frames(rows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of per-frame tables with their native frame number: incomplete rows go, native numbers become dense ranks (within ``keys``)."""
     typed = rows.dropna()
-    order = typed.select("native").distinct().withColumn("frame", F.row_number().over(Window.orderBy("native")))  # a row per file
-    return typed.join(F.broadcast(order), "native").select("frame", F.col("trackID").cast("int").alias("id"), "x", "y", "w", "h", F.lit(1.0).alias("conf"), F.col("classID").cast("int").alias("cls"))
+    order = typed.select(*keys, "native").distinct().withColumn("frame", F.row_number().over(Window.partitionBy(*keys).orderBy("native")))  # a row per file
+    return typed.join(order, [*keys, "native"]).select(*keys, "frame", F.col("trackID").cast("int").alias("id"), "x", "y", "w", "h", F.lit(1.0).alias("conf"), F.col("classID").cast("int").alias("cls"))
 
 
 def prefer(candidates: DataFrame, order: list[str]) -> DataFrame:

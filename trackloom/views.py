@@ -44,6 +44,12 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
                     ((F.col("id") * 7 + F.col("frame") * 13 + F.col("n")) % 1024).alias("cell"), "x", "y", "w", "h")
 
 
+def every_frame(boxes: DataFrame) -> DataFrame:
+    """seq, frame: for each sequence the frames from 1 to the last one of the table."""
+    last = boxes.agg(F.max("frame")).scalar()
+    return boxes.select("seq").distinct().withColumn("last", last).select("seq", F.explode(F.sequence(F.lit(1).cast("long"), F.col("last"))).alias("frame"))
+
+
 #: The same views for the oracles.
 EV = "ev AS (SELECT *, epoch_us(ts) // 1000 AS ms, CAST(floor(epoch(ts) / 3600) AS BIGINT) - 473351 AS frame FROM events)"
 GT = EV + """,
