@@ -6,6 +6,8 @@ residual). A query's scan sums table entries; a row is reranked in double precis
 ``|query| * |residual|``, which its true score can't exceed, stays below the k-th lower bound. So the answer is exact.
 Queries and candidates meet in cells of bounded size.
 
+Vectors and queries are first brought near norm one by powers of two, so that no size of their components spoils the tables.
+
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, as query or candidate;
 neither do rows without an id, nor those whose length differs from the most common one; a query's own row is no neighbour
 of it, but another row of its id is; equal rows among the queries are one query with one answer, rows that share an id but
@@ -72,6 +74,14 @@ def pack(codes: np.ndarray) -> np.ndarray:
     return (codes[:, ::2] | codes[:, 1::2] << 4).astype(np.uint8)
 
 
+def scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows divided by the power of two that brings their norms near one, and its exponents: no square over- or underflows."""
+    first = np.frexp(np.abs(x).max(axis=1))[1]
+    y = np.ldexp(x, -first[:, None])
+    second = np.round(np.log2(np.sqrt((y * y).sum(axis=1)))).astype(first.dtype)
+    return np.ldexp(y, -second[:, None]), first + second
+
+
 def tables(query: np.ndarray, books: np.ndarray) -> np.ndarray:
     """(bytes, 256) sums of table entries for each pair of four-bit codes."""
     one = query[:, None] * books
@@ -80,27 +90,33 @@ def tables(query: np.ndarray, books: np.ndarray) -> np.ndarray:
     return (one[1::2, :, None] + one[::2, None, :]).reshape(-1, 256).astype(np.float32)
 
 
-def search(qid: np.ndarray, number: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, packed: np.ndarray, residual: np.ndarray, books: np.ndarray, k: int):
+def search(qid: np.ndarray, number: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, packed: np.ndarray, residual: np.ndarray, scale: np.ndarray, books: np.ndarray, k: int):
     """Exact top k of the candidates for each query: (query, its number, id, score) arrays. All rows of an id are among the candidates, or none."""
     order = np.argsort(ids, kind="stable")
-    ids, x, packed, residual = ids[order], x[order], packed[order], residual[order]
+    ids, x, packed, residual, scale = ids[order], x[order], packed[order], residual[order], scale[order]
+    near_one, q_scale = scaled(q) if len(q) else (q, np.zeros(0, int))
+    tiny = 4 * x.shape[1] * 5e-324  # what sums of products lose below the least normal number
     columns = np.ascontiguousarray(packed.T)
     out = []
     for i, own in enumerate(qid):
-        table = tables(q[i], books)
+        table = tables(near_one[i], books)
         scanned = np.zeros(len(ids), np.float32)
         for m, codes in enumerate(columns):
             scanned += table[m][codes]
-        slack = residual * np.linalg.norm(q[i]) + 1e-5 * (1 + np.abs(scanned))
+        # Codes miss the residual; sums of table entries, in single precision, a millionth of the norms' product for each entry or so.
+        slack = np.linalg.norm(near_one[i]) * (residual + 1e-5 * (2 + residual))
+        scanned, slack = np.ldexp(scanned.astype(float), scale + q_scale[i]), np.ldexp(slack, scale + q_scale[i]) + tiny
         others = np.ones(len(ids), bool)
         same = np.flatnonzero(ids == own)
         others[same[(x[same] == q[i]).all(1)][:1]] = False  # the query's own row
         if not others.any():
             continue
-        lower = np.where(others, scanned - slack, -np.inf)
-        bound = np.partition(lower, -k)[-k] if len(lower) > k else -np.inf
-        take = np.flatnonzero(others & (scanned + slack >= bound))
-        score = np.cumsum(x[take] * q[i], axis=1)[:, -1]  # summed in order, so alike on every machine
+        with np.errstate(over="ignore", invalid="ignore"):
+            lower, upper = scanned - slack, scanned + slack
+            lower[~others | np.isnan(lower)], upper[np.isnan(upper)] = -np.inf, np.inf  # beyond a double: reranked
+            bound = np.partition(lower, -k)[-k] if len(lower) > k else -np.inf
+            take = np.flatnonzero(others & (upper >= bound))
+            score = np.cumsum(x[take] * q[i], axis=1)[:, -1]  # summed in order, so alike on every machine
         best = np.lexsort((ids[take], -score))[:k]
         out.append((np.full(len(best), own), np.full(len(best), number[i]), ids[take][best], score[best]))
     return [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]
@@ -125,16 +141,17 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", e
     n = dims["count"]
     share = min(1.0, SAMPLE / n)
     sample = clean.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < math.ceil(share * (1 << 20))).orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
-    books = fit(np.array([r["v"] for r in sample.select("v").collect()] or [clean.first()["v"]]))
+    books = fit(scaled(np.array([r["v"] for r in sample.select("v").collect()] or [clean.first()["v"]]))[0])
 
     def code(batches):
         for b in batches:
             x = _matrix(b.column("v"))
             if len(x):
-                codes, residual = assign(x, books)
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array([r.tobytes() for r in pack(codes)], pa.binary()), pa.array(residual)], names=["id", "v", "codes", "residual"])
+                y, scale = scaled(x)
+                codes, residual = assign(y, books)
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array([r.tobytes() for r in pack(codes)], pa.binary()), pa.array(residual), pa.array(scale, pa.int32())], names=["id", "v", "codes", "residual", "scale"])
 
-    coded = Scratch(spark, "ann").write(clean.mapInArrow(code, "id long, v array<double>, codes binary, residual double"))
+    coded = Scratch(spark, "ann").write(clean.mapInArrow(code, "id long, v array<double>, codes binary, residual double, scale int"))
     asked = coded.filter(is_query(F.col("id"))).select("id", "v").distinct()
     asked = asked.withColumn("number", F.row_number().over(Window.partitionBy("id").orderBy("v")).cast("long"))
     blocks, parts = max(1, math.ceil(n / BLOCK)), max(1, math.ceil(asked.count() / QUERIES))
@@ -147,7 +164,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", e
         if not a.num_rows or not b.num_rows:
             return pa.Table.from_arrays([pa.array([], pa.int64())] * 3 + [pa.array([], pa.float64())], names=names)
         packed = np.frombuffer(b"".join(a.column("codes").to_pylist()), np.uint8).reshape(a.num_rows, -1)
-        found = search(np.asarray(b.column("id")), np.asarray(b.column("number")), _matrix(b.column("v")), np.asarray(a.column("id")), _matrix(a.column("v")), packed, np.asarray(a.column("residual")), books, k)
+        found = search(np.asarray(b.column("id")), np.asarray(b.column("number")), _matrix(b.column("v")), np.asarray(a.column("id")), _matrix(a.column("v")), packed, np.asarray(a.column("residual")), np.asarray(a.column("scale")), books, k)
         return pa.Table.from_arrays([pa.array(c) for c in found], names=names)
 
     found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(cell, "query_id long, number long, vec_id long, score double")

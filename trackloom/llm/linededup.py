@@ -13,8 +13,8 @@ number. So each line is first compared with the earliest line of each of its pre
 this leaves unmatched are then joined with all others. No partner is dropped, and a line that has a match needs no other.
 
 Edge cases: lines without words stay, as do null texts (no lines) and empty ones; up to three words, only equal sets are
-similar; a null id sorts last; rows that share an id are read as one document (a line number that stays in one stays in
-all); an empty table gives an empty result; other columns are carried along untouched.
+similar; a null id sorts last; rows that share an id, or have none, go by their text's hash; rows of equal id and text are
+one document; an empty table gives an empty result; other columns are carried along untouched.
 """
 
 from __future__ import annotations
@@ -22,18 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, single_ids
 
 #: Hashed words are counted in so many classes.
 CLASSES = 1 << 16
 
 #: A word of a class that counts more is frequent: its lines are dealt to PIECES pieces where each is compared with a leader.
 PIECE, PIECES = 1 << 18, 64
-_LAST = (1 << 63) - 1
-
-
-def _id(name: str) -> Column:
-    return F.coalesce(F.col(name).cast("long"), F.lit(_LAST))
 
 
 def _split(text: Column) -> Column:
@@ -180,7 +175,8 @@ def kept_lines(base: DataFrame, scratch: Scratch) -> DataFrame:
 def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_lines, n_removed, removed_lines (their numbers from 0, comma-separated) for every row."""
     scratch = Scratch(docs.sparkSession, "lines")
-    base = scratch.bucketed(docs.select(F.col(doc_id).alias("doc_id"), _id(doc_id).alias("d"), F.col(text).alias("text")), "d")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    base = scratch.bucketed(single_ids(rows, "d", "doc_id", "text", scratch), "d")
     kept = kept_lines(base.select("d", "text"), scratch).groupBy("d").agg(F.collect_list("l").alias("kept"))
     lines, none = _split(F.col("text")), F.array().cast("array<int>")
     worded = F.array_compact(F.transform(lines, lambda line, i: F.when(_worded(line), i)))
@@ -193,8 +189,9 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     """``docs`` with the removed lines cut out of ``text``."""
     scratch = Scratch(docs.sparkSession, "lines")
     names = [f"c{i}" for i in range(len(docs.columns))]
-    base = scratch.bucketed(docs.select(_id(doc_id).alias("d"), *[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)]), "d")
     own = names[docs.columns.index(text)]
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)])
+    base = scratch.bucketed(single_ids(rows, "d", names[docs.columns.index(doc_id)], own, scratch), "d")
     kept = kept_lines(base.select("d", F.col(own).alias("text")), scratch).groupBy("d").agg(F.collect_list("l").alias("kept"))
     stays = lambda line, i: ~_worded(line) | F.coalesce(F.array_contains("kept", i), F.lit(False))
     out = base.join(kept, "d", "left").withColumn(own, F.array_join(F.filter(_split(F.col(own)), stays), "\n"))

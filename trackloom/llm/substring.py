@@ -13,8 +13,8 @@ A phrase is a window of ``WINDOW`` consecutive words. Each word is removed that
    every occurrence, and the covered words are cut.
 
 Edge cases: words are split at ASCII white space and left unchanged; a null or empty text has no words; texts of fewer than
-``WINDOW`` words stay whole; a null id sorts last; rows that share an id count as neither earlier than the other;
-an empty table gives an empty result.
+``WINDOW`` words stay whole; a null id sorts last; rows that share an id, or have none, go by their text's hash; rows of equal
+id and text are one document, neither earlier than the other; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,12 +28,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_slices, utf8
+from .common import Scratch, map_slices, single_ids, utf8
 
 WINDOW, GRAM = 20, 6
 #: Phrases per automaton.
 SHARD = 10_000
-_LAST = (1 << 63) - 1
 _BASES = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], np.uint64)
 _KNOWN = 150_000
 
@@ -246,8 +245,7 @@ def _located(texts: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every row of ``docs``."""
     scratch = Scratch(docs.sparkSession, "substring")
-    raw = utf8(text)
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("d"), raw.alias("text"))
+    source = single_ids(docs.select(F.col(doc_id).alias("doc_id"), utf8(text).alias("text")), "d", "doc_id", "text", scratch)
     hashed = source.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64("text", F.lit(1))}).withColumn("t", F.col("h2").bitwiseAND(F.lit(-2)))
     # One shuffle serves count and join. A gram has one row a document (two if it repeats it): at most as many as there are
     # documents, which a window streams and spills.
