@@ -161,7 +161,7 @@ def registry(sightings: DataFrame, camera: str, options: Options) -> DataFrame:
     return fold_sorted(rows, [camera], SIGHTING, lambda: Registry(options), RESULT)
 
 
-_STATE = "first bigint, last bigint, active boolean, listed boolean, cls bigint, n bigint, total double, best double, left double, right double, top double, bottom double, box array<double>, kinds array<bigint>, counts array<bigint>"
+_STATE = "first bigint, last bigint, active boolean, listed boolean, kind bigint, n bigint, total double, best double, left double, right double, top double, bottom double, box array<double>, kinds array<bigint>, counts array<bigint>"
 _PLAIN = [f.name for f in fields(Entity)][:12]
 
 
@@ -182,8 +182,8 @@ class Processor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.entities = handle.getMapState("entities", "id bigint", _STATE)
-        self.places = handle.getMapState("places", "id bigint", "cls bigint, last bigint, box array<double>")
-        self.waiting = handle.getListState("waiting", "ms bigint, id bigint, cls bigint, conf double, x double, y double, w double, h double")
+        self.places = handle.getMapState("places", "id bigint", "kind bigint, last bigint, box array<double>")
+        self.waiting = handle.getListState("waiting", "ms bigint, id bigint, kind bigint, conf double, x double, y double, w double, h double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first = None
@@ -241,7 +241,7 @@ class Processor(StatefulProcessor):
         names = [c.strip().split()[0] for c in RESULT.split(",")]
         pdf = pd.DataFrame(out, columns=names).astype({"ms": "int64", "id": "int64", "cls": "int64", "listed": "bool"})
         pdf.insert(0, self.kind, [key[0]] * len(pdf))
-        return pdf
+        return pdf.astype({self.kind: object, "event": object})
 
     def close(self) -> None:
         pass
