@@ -2,12 +2,15 @@
 
 Markup is stripped into lines, one a block element, in page order; what can't be text (scripts, styles, controls) makes no
 lines. Menus, headers, footers, sidebars, notices, adverts, forms and reader comments go as far as elements or words of
-their class, id or role say so, but such a word is evidence only: an element that holds the page's article, or more text
-than all that would be left, stays (one called comments or nav goes as long as there is an article beside it).
+their class, id or role say so, but such a word is evidence only: an element that holds the page's article stays, and so does
+one with more text than all that would be left, unless text surges there too (one called comments or nav goes as long as
+there is an article beside it).
 
-Over the lines that are left slides a window of ``WINDOW`` lines whose characters outside of links are summed. Text starts
-where the sum surges above a threshold measured on the page, ends where it dives below, and all between is kept, short lines
-and links too. If the page marks its article, lines outside count nothing and each one inside is enough for a surge.
+Over the lines that are left slides a window of ``WINDOW`` lines whose scores are summed. Text starts where the sum surges
+above a threshold measured on the page, ends where it dives below, and all between is kept, short lines and links too. A
+line's score is its number of characters outside of links. If the page marks an article, that is evidence in the scores:
+lines inside get ``ENOUGH`` more, and those outside none. But first the windows decide whether to believe it: if one surge of
+unmarked text beside the articles is more than twice as long as they are, they are teasers, and the evidence is turned round.
 
 Edge cases: null and empty pages give an empty text; pages cut off in a tag, a reference or an open element are read as
 far as they go; references are decoded once, after the markup is gone; a page of links only has no text, unless an article
@@ -19,6 +22,7 @@ from __future__ import annotations
 import html as references
 import re
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +33,10 @@ from .common import map_slices
 WINDOW = 3
 #: Text has surged where a window holds this share of the characters of the page's largest window, or that many.
 SURGE, ENOUGH = 0.05, 80
+#: Marked articles are teasers if one surge of unmarked text beside them has more than so many times their text.
+TEASER = 2
+#: A marked element with so many times the text beside it is no furniture, even if that surges.
+WRAPPED = 4
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=/?[a-zA-Z])[^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -168,17 +176,39 @@ def unmarked(got: list[Line], marks: list[list]) -> list[Line]:
     for x in got:
         if x.mark >= 0:
             size[x.mark] += len(x.text)
+    begin, end = [len(got)] * len(marks), [0] * len(marks)  # a mark's lines follow one another
+    for i, x in enumerate(got):
+        if x.mark >= 0:
+            begin[x.mark], end[x.mark] = min(begin[x.mark], i), i + 1
     for k in range(len(marks) - 1, -1, -1):  # a mark comes after the one around it
-        if marks[k][1] >= 0:
-            size[marks[k][1]] += size[k]
+        around = marks[k][1]
+        if around >= 0:
+            size[around] += size[k]
+            begin[around], end[around] = min(begin[around], begin[k]), max(end[around], end[k])
+    # Text beside a large mark, that is in no other mark or only in larger ones: its best windows and totals, before and after each line.
+    clear = [max(0, len(x.text) - x.linked) if x.mark < 0 or 2 * size[x.mark] > total else 0 for x in got]
+    before, after = _best_windows(clear), _best_windows(clear[::-1])
+    so_far = [0, *accumulate(clear)]
     gone: list[bool] = []
     for k, (word, around, holds) in enumerate(marks):
         rest = total - size[k]
         wrapper = holds or (rest == 0 if word in CERTAIN else size[k] > rest)
+        if wrapper and not holds and word not in CERTAIN:
+            beside = so_far[begin[k]] + so_far[-1] - so_far[end[k]]
+            wrapper = max(before[begin[k]], after[len(got) - end[k]]) < ENOUGH or WRAPPED * beside < size[k]
         gone.append(around >= 0 and gone[around] or not wrapper)
     return [x for x in got if x.mark < 0 or not gone[x.mark]]
 
 
+def _best_windows(lengths: list[int]) -> list[int]:
+    """The largest window sum among the first n lines, for n from 0."""
+    best, now = [0], 0
+    for i, x in enumerate(lengths):
+        now += x - (lengths[i - WINDOW] if i >= WINDOW else 0)
+        best.append(max(best[-1], now))
+    return best
+
+
 def spans(lengths: list[int], threshold: float) -> list[tuple[int, int]]:
     """[surge, dive) line ranges: runs of lines that windows above the threshold cover, from their first to their last line that counts."""
     n = len(lengths)
@@ -204,17 +234,22 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     got, marks = lines(page)
-    stated = any(x.article for x in got)
-    if stated:
-        got = [x for x in got if x.article]
-    got = unmarked(got, marks)
-    if stated:
-        lengths, threshold = [len(x.text) for x in got], 1.0
-    else:
-        lengths = [max(0, len(x.text) - x.linked) for x in got]
-        largest = max([sum(lengths[i : i + WINDOW]) for i in range(len(lengths))], default=0)
-        threshold = max(1.0, min(SURGE * largest, ENOUGH))
-    return "\n".join(got[k].text for i, j in spans(lengths, threshold) for k in range(i, j))
+    inside = unmarked([x for x in got if x.article], marks)
+    outside = unmarked([x for x in got if not x.article], [[word, around, False] for word, around, _ in marks])
+    believed = bool(inside)
+    if inside:
+        plain = [max(0, len(x.text) - x.linked) if x.mark < 0 else 0 for x in got if not x.article]
+        surge = max((sum(plain[i:j]) for i, j in spans(plain, threshold_of(plain))), default=0)
+        believed = surge <= max(ENOUGH, TEASER * sum(len(x.text) for x in inside))
+    got = inside if believed else outside
+    lengths = [max(0, len(x.text) - x.linked) + (ENOUGH if believed else 0) for x in got]
+    return "\n".join(got[k].text for i, j in spans(lengths, threshold_of(lengths)) for k in range(i, j))
+
+
+def threshold_of(lengths: list[int]) -> float:
+    """Window sum from which text has surged, measured on the page."""
+    largest = max([sum(lengths[i : i + WINDOW]) for i in range(len(lengths))], default=0)
+    return max(1.0, min(SURGE * largest, ENOUGH))
 
 
 def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
