@@ -36,13 +36,36 @@ def _register(name: str, covers: str) -> None:
 
 for _name, _covers in {
     "sort": "RET20", "bytetrack": "TRK1 TRK2", "bytetrack_plus": "TRK5", "ocsort": "TRK8 JN12", "hybridsort": "TRK9 JN13", "botsort": "TRK10",
-    "fasttracker": "TRK12 RET19", "class_aware": "TRK7 RET26", "deepsort_motion": "RET21 RET22", "bytetrack_guarded": "TRK4",
+    "fasttracker": "TRK12 RET19", "class_aware": "TRK7", "deepsort_motion": "RET22", "bytetrack_guarded": "TRK4",
     "ocsort_by_class": "RET25", "hybridsort_by_class": "RET25",
 }.items():
     assert _name in TRACKERS
     _register(_name, _covers)
 
 
+def looking(spark, sf_dir):
+    """The synthetic detections with a vector of looks: the one of the user's row in ``embeddings``, a little turned from frame to frame."""
+    d = V.tracks(spark, sf_dir)
+    user = F.col("id") % 1000 % 100000
+    e = V.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("who"), F.col("embedding").cast("array<double>").alias("e"))
+    d = d.select("seq", "frame", "x", "y", "w", "h", ((F.col("id") * 3 + F.col("frame")) % 7 / 10 + 0.3).alias("score"), (F.col("id") % 2).alias("cls"), (user % 50).alias("who"))
+    return d.join(e, "who").withColumn("looks", F.transform(F.slice("e", 1, 16), lambda v, i: v + 0.02 * ((F.col("frame") + i) % 5))).drop("who", "e")
+
+
+def _with_looks(name: str, covers: str) -> None:
+    def run(spark, sf_dir):
+        return shown(track(looking(spark, sf_dir), name))
+
+    run.__name__ = f"track_{name}"
+    run.__doc__ = f"Tracks of the {name} parameters over boxes with looks."
+    query(covers)(run)
+
+
+for _name, _covers in {"deepsort": "RET21", "hybridsort_reid": "RET26", "botsort_reid": "TRK10 RET26", "motdt": "RET23", "bytetrack_reid": "TRK3"}.items():
+    assert _name in TRACKERS
+    _with_looks(_name, _covers)
+
+
 @query("RET24")
 def track_bytetrack_public(spark, sf_dir):
     """Tracks that start only where a public detection (here the ground truth of every other user) stands for them."""

@@ -14,7 +14,7 @@ SCHEMA = "seq long, frame long, id long, x double, y double, w double, h double,
 def track(detections: DataFrame, tracker: str | Options, public: DataFrame | None = None) -> DataFrame:
     """Tracks of detections (seq, frame, x, y, w, h, score, cls). A sequence is one unit: each frame depends on those before.
 
-    ``public`` (seq, frame, x, y, w, h) says where a tracker with such a gate may start tracks. Order of rows and partitions
+    Trackers with a gallery also need ``looks``, an array of numbers for each box, all of one length. ``public`` (seq, frame, x, y, w, h) says where a tracker with such a gate may start tracks. Order of rows and partitions
     doesn't matter, but for public ones of a frame, which are taken by x, then y; sequences without detections give nothing.
     An unknown name fails here.
     """
@@ -24,6 +24,8 @@ def track(detections: DataFrame, tracker: str | Options, public: DataFrame | Non
 
     def by_frame(pdf: pd.DataFrame, columns: list[str]) -> dict[int, np.ndarray]:
         values = pdf[columns].to_numpy(float)
+        if "looks" in pdf:
+            values = np.column_stack([values, np.stack(pdf["looks"].to_numpy())])
         return {int(f): values[i] for f, i in pdf.groupby("frame").indices.items()}
 
     def one(pdf: pd.DataFrame, also: pd.DataFrame | None = None) -> pd.DataFrame:
@@ -34,7 +36,8 @@ def track(detections: DataFrame, tracker: str | Options, public: DataFrame | Non
         out.insert(0, "seq", pdf["seq"].iloc[0])
         return out.astype({"frame": "int64", "id": "int64", "cls": "int64"})
 
-    by_seq = detections.select("seq", "frame", "x", "y", "w", "h", "score", "cls").groupBy("seq")
+    more = ["looks"] if options.gallery else []
+    by_seq = detections.select("seq", "frame", "x", "y", "w", "h", "score", "cls", *more).groupBy("seq")
     if public is None:
         return by_seq.applyInPandas(lambda pdf: one(pdf), SCHEMA)
     return by_seq.cogroup(public.select("seq", "frame", "x", "y", "w", "h").groupBy("seq")).applyInPandas(lambda pdf, also: one(pdf, also), SCHEMA)

@@ -2,8 +2,8 @@
 
 All share one loop: predict, associate in stages, update, start and end tracks. A tracker is a set of parameters of that
 loop; see ``TRACKERS``. All live tracks are one set of arrays, and every step takes all of them at once; only options that
-look at places (``places``) go through tracks one by one. Camera motion and appearance models are out of scope: there are no
-pixels here.
+look at places (``places``) or looks (``looks``) go through tracks one by one. There are no pixels here: what a box looks like
+is a vector that comes with it, and camera motion is out of scope.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from dataclasses import dataclass, replace
 import numpy as np
 
 from ..metrics.assignment import assign_within
-from . import places
+from . import looks, places
 from .kalman import BoxFilter
 
 
@@ -47,6 +47,12 @@ class Options:
     public: float = 0.0  # a start needs a public detection that it overlaps more than this; 0: it needs none
     regions: tuple = ()  # polygons that tracks keep to; four corners (two of the entry, two of the exit) give a direction, too
     picture: tuple[float, float] | None = None  # width and height: lost tracks that leave it match no more
+    gallery: int = 0  # vectors of looks that a track keeps; 0: looks are not used
+    alike: float = 0.2  # largest distance of looks at which the cascade matches
+    looks: float = 0.0  # weight of the distance to a track's smoothed looks
+    nearest: tuple[float, float] | None = None  # largest distances of looks (halved) and of overlap at which looks may lower the cost
+    proposals: bool = False  # tracks propose where they are, scored by how reliably they were seen, against detections
+    reunite: float = 0.0  # least gain in looks for which tracks that parted after crossing swap their ids; 0: they never do
     parked: tuple[float, ...] = ()  # classes whose standing tracks are held longer and guarded against passing ones
 
 
@@ -62,6 +68,11 @@ TRACKERS: dict[str, Options] = {
     "deepsort_motion": Options(two_stage=False, fuse_score=False, first=0.7, min_hits=3, high=0.3, start=0.3, cascade=9.4877),
 }
 TRACKERS |= {
+    "deepsort": replace(TRACKERS["deepsort_motion"], gallery=100),
+    "hybridsort_reid": replace(TRACKERS["hybridsort"], gallery=1, looks=0.5),
+    "botsort_reid": replace(TRACKERS["botsort"], gallery=1, nearest=(0.25, 0.5)),
+    "motdt": Options(two_stage=False, fuse_score=False, high=0.4, start=0.6, min_hits=1, cascade=9.4877, gallery=30, alike=0.8, first=0.5, proposals=True),
+    "bytetrack_reid": replace(TRACKERS["bytetrack"], gallery=30, reunite=0.1),
     "bytetrack_guarded": replace(TRACKERS["bytetrack_plus"], parked=(0.0, 1.0), picture=(1920.0, 1080.0)),
     "ocsort_by_class": replace(TRACKERS["ocsort"], by_class=True, flat=True),
     "hybridsort_by_class": replace(TRACKERS["hybridsort"], by_class=True, flat=True),
@@ -83,6 +94,7 @@ class Tracks:
         self.votes: list[dict] = []
         self.path: list[deque] = []  # (x, y, diagonal) of the latest observations
         self.way: list[deque] = []  # the latest centres, for regions
+        self.seen_as: list[looks.Gallery] = []
         self.saved: list[tuple | None] = []  # frame, mean, covariance and path before an update that looks stolen
 
     def __len__(self) -> int:
@@ -102,6 +114,7 @@ class Tracks:
         self.votes += [{r[5]: r[4]} for r in rows]
         self.path += [deque([p], places.STEPS) for p in _spots(rows)]
         self.way += [deque(maxlen=places.WAY) for _ in rows]
+        self.seen_as += [looks.Gallery(self.options.gallery, r[6:]) for r in rows]
         self.saved += [None] * k
         self.next += k
 
@@ -109,7 +122,7 @@ class Tracks:
         if not stays.all():
             for name in self._ARRAYS:
                 setattr(self, name, getattr(self, name)[stays])
-            for name in ("votes", "path", "way", "saved"):
+            for name in ("votes", "path", "way", "saved", "seen_as"):
                 setattr(self, name, [v for v, s in zip(getattr(self, name), stays, strict=True) if s])
 
     def boxes(self, k=slice(None)) -> np.ndarray:
@@ -136,6 +149,10 @@ class Tracks:
         self.hits[k] += 1
         self.score[k], self.last[k] = rows[:, 4], rows[:, :4]
         self.ring[k, frame % self.depth], self.ring_at[k, frame % self.depth] = rows[:, :4], frame
+        if self.options.gallery:
+            for i, r in zip(k.tolist(), rows, strict=True):
+                if not np.isnan(r[6:]).any():  # a proposal has no looks
+                    self.seen_as[i].add(r[6:])
         for i, r in zip(k.tolist(), rows, strict=True):
             votes = self.votes[i]
             votes[r[5]] = votes.get(r[5], 0.0) + r[4]
@@ -208,6 +225,11 @@ def _cost(t: Tracks, k: np.ndarray, rows: np.ndarray, o: Options, first: bool) -
     cost = 1 - (sim * rows[:, 4] if first and o.fuse_score else sim)
     if first and o.direction:
         cost = cost - o.direction * _direction_bonus(t, k, rows, o)
+    if first and o.looks:
+        cost = cost + o.looks * looks.smoothed([t.seen_as[i] for i in k.tolist()], rows[:, 6:])
+    if first and o.nearest:
+        far = looks.smoothed([t.seen_as[i] for i in k.tolist()], rows[:, 6:]) / 2
+        cost = np.minimum(cost, np.where((far > o.nearest[0]) | (1 - sim > o.nearest[1]), 1.0, far))
     if o.confidence:
         cost = cost + o.confidence * np.abs(t.score[k][:, None] - rows[None, :, 4])
     cost = np.where(sim <= 0, 1e3, cost)
@@ -237,8 +259,10 @@ def _cascade(t: Tracks, k: np.ndarray, rows: np.ndarray, frame: int, o: Options)
     for age in np.unique(frame - t.seen[k]):
         own = k[frame - t.seen[k] == age]
         if len(rows):
-            far = t.filter.gating(t.mean[own], t.cov[own], t.filter.measure(rows[:, :4]))
-            own, rows = _match(t, own, rows, frame, far, o.cascade)
+            far, limit = t.filter.gating(t.mean[own], t.cov[own], t.filter.measure(rows[:, :4])), o.cascade
+            if o.gallery:  # motion says who may match, looks who does
+                far, limit = np.where(far > o.cascade, 1e3, looks.nearest([t.seen_as[i] for i in own.tolist()], rows[:, 6:])), o.alike
+            own, rows = _match(t, own, rows, frame, far, limit)
         left.append(own)
     return np.sort(np.concatenate(left)) if left else k, rows
 
@@ -295,17 +319,18 @@ def _revert(t: Tracks, frame: int, rows: np.ndarray) -> None:
 
 
 def run(frames: dict[int, np.ndarray], options: Options, public: dict[int, np.ndarray] | None = None) -> list[tuple]:
-    """frames: frame to (n, 6) rows of x, y, w, h, score, class. Gives (frame, id, x, y, w, h, score, class), ids from 1.
+    """frames: frame to (n, 6 + m) rows of x, y, w, h, score, class and, if the options use them, m numbers of looks. Gives (frame, id, x, y, w, h, score, class), ids from 1.
 
     public: frame to (n, 4) boxes, for trackers that start tracks only there.
     """
     o, t, out = options, Tracks(options), []
+    crossings = looks.Crossings(o.reunite)
     regions = [np.asarray(r, float) for r in o.regions]
     if not frames:
         return out
-    begin = min(frames)
+    begin, none = min(frames), next(iter(frames.values()))[:0]
     for frame in range(begin, max(frames) + 1):
-        rows = frames.get(frame, np.zeros((0, 6)))
+        rows = frames.get(frame, none)
         rows = rows[np.lexsort(tuple(rows.T[::-1]))] if len(rows) else rows  # order of input doesn't matter
         if len(t):
             t.predict(frame)
@@ -317,7 +342,10 @@ def run(frames: dict[int, np.ndarray], options: Options, public: dict[int, np.nd
         high = rows[rows[:, 4] >= o.high]
         low = rows[(rows[:, 4] >= o.low) & (rows[:, 4] < o.high)]
         if o.flat:
-            high, low = (np.column_stack([r[:, :4], np.ones(len(r)), r[:, 5]]) for r in (high, low))
+            high, low = (np.column_stack([r[:, :4], np.ones(len(r)), r[:, 5:]]) for r in (high, low))
+        proposed = rows[:0]
+        if o.proposals:
+            high, proposed = looks.proposals(t, high, frame, o.high)
         known = (t.hits > 1) | (t.born == begin)
         left, unsure = np.flatnonzero(known), np.flatnonzero(~known)
         if o.picture and len(left):
@@ -338,6 +366,9 @@ def run(frames: dict[int, np.ndarray], options: Options, public: dict[int, np.nd
             if o.by_class:
                 far = np.where(t.cls[left][:, None] != high[None, :, 5], 1e3, far)
             left, high = _match(t, left, high, frame, far, 0.7)
+        if len(proposed):  # what no detection stands for: tracks go on by their own proposals
+            own = left[(t.seen[left] >= frame - 2) & (t.seen[left] != frame)]
+            _stage(t, own, proposed, frame, o, o.second, False)
         dead, high = _stage(t, unsure, high, frame, o, o.unconfirmed, True)
         stays = frame - t.seen <= o.buffer
         if o.parked:
@@ -356,6 +387,8 @@ def run(frames: dict[int, np.ndarray], options: Options, public: dict[int, np.nd
             t.start(frame, high[calm])
             stays = np.concatenate([stays, np.ones(int(calm.sum()), bool)])
         t.keep(stays)
+        if o.reunite:
+            crossings.solve(t, frame)
         _without_twins(t, o.duplicate)
         shown = t.seen == frame
         if regions:
