@@ -32,7 +32,7 @@ def entity_sessions(spark, sf_dir):
     return i.select("user_id", F.col("island").cast("long").alias("session"), "start", F.col("end").alias("last"), (F.col("end") + 21600000).alias("expires"), (F.col("end") + 216000001).alias("purged"), "n")
 
 
-@query("STR3 JN29", f"{D}, a AS (SELECT seq, id, count(DISTINCT cell // 32) AS rows, avg(score) AS s FROM det GROUP BY ALL) SELECT seq, id, CASE WHEN rows < 24 AND s < 0.45 THEN 'listed' WHEN rows >= 24 THEN 'moving' ELSE 'open' END AS state FROM a")
+@query("STR3", f"{D}, a AS (SELECT seq, id, count(DISTINCT cell // 32) AS rows, avg(score) AS s FROM det GROUP BY ALL) SELECT seq, id, CASE WHEN rows < 24 AND s < 0.45 THEN 'listed' WHEN rows >= 24 THEN 'moving' ELSE 'open' END AS state FROM a")
 def blacklist_state(spark, sf_dir):
     a = _d(spark, sf_dir).groupBy("seq", "id").agg(F.countDistinct(F.floor(F.col("cell") / 32)).alias("rows"), F.avg("score").alias("s"))
     return a.select("seq", "id", F.when((F.col("rows") < 24) & (F.col("s") < 0.45), "listed").when(F.col("rows") >= 24, "moving").otherwise("open").alias("state"))
@@ -137,14 +137,14 @@ def state_runs(spark, sf_dir):
     return runs.groupBy("user_id", "run", F.col("event_type").alias("state")).agg(F.min("ms").alias("start"), F.max("ms").alias("end"), one().alias("n")).filter("n >= 3").drop("run")
 
 
-@query("STR31 STR34 STR48 STR50", f"WITH {V.EV}, b AS (SELECT user_id, ms // 21600000 AS period, min(ms * 100000 + event_id) AS m FROM ev GROUP BY ALL) SELECT user_id, period * 21600000 AS period, m % 100000 AS event_id FROM b")
+@query("STR48 STR50", f"WITH {V.EV}, b AS (SELECT user_id, ms // 21600000 AS period, min(ms * 100000 + event_id) AS m FROM ev GROUP BY ALL) SELECT user_id, period * 21600000 AS period, m % 100000 AS event_id FROM b")
 def period_samples(spark, sf_dir):
     """First sample of each period."""
     e = V.events(spark, sf_dir)
     return e.groupBy("user_id", (F.floor(F.col("ms") / 21600000) * 21600000).alias("period")).agg(F.min_by("event_id", F.struct("ms", "event_id")).alias("event_id"))
 
 
-@query("STR35 STR36", f"""{D}, v AS (SELECT seq, id, frame, count(*) OVER w AS n, count(*) FILTER (score >= 0.5) OVER w AS yes FROM det WINDOW w AS (PARTITION BY seq, id ORDER BY frame RANGE BETWEEN 24 PRECEDING AND CURRENT ROW))
+@query("STR35", f"""{D}, v AS (SELECT seq, id, frame, count(*) OVER w AS n, count(*) FILTER (score >= 0.5) OVER w AS yes FROM det WINDOW w AS (PARTITION BY seq, id ORDER BY frame RANGE BETWEEN 24 PRECEDING AND CURRENT ROW))
 SELECT seq, id, min(frame) AS frame FROM v WHERE n >= 4 AND yes / n >= 0.7 GROUP BY ALL""")
 def vote_ratio(spark, sf_dir):
     """First time that enough samples of the last 24 frames agree."""
@@ -177,7 +177,7 @@ def missing_object(spark, sf_dir):
     return gone.select("seq", "id", (F.col("frame") + 36).alias("frame"), F.col("nxt").isNotNull().alias("returned"))
 
 
-@query("STR42 STR43 STR8", f"WITH {V.EV}, s AS (SELECT user_id, event_type, min(ms) AS first, max(ms) AS last, count(*) AS n FROM ev WHERE value >= 50 GROUP BY ALL), l AS (SELECT DISTINCT user_id FROM ev WHERE event_type = 'purchase' AND value > 90) SELECT s.user_id, event_type, first, first + 10000 AS decided, l.user_id IS NOT NULL AS known, n FROM s LEFT JOIN l USING (user_id)")
+@query("STR42 STR8", f"WITH {V.EV}, s AS (SELECT user_id, event_type, min(ms) AS first, max(ms) AS last, count(*) AS n FROM ev WHERE value >= 50 GROUP BY ALL), l AS (SELECT DISTINCT user_id FROM ev WHERE event_type = 'purchase' AND value > 90) SELECT s.user_id, event_type, first, first + 10000 AS decided, l.user_id IS NOT NULL AS known, n FROM s LEFT JOIN l USING (user_id)")
 def recognition(spark, sf_dir):
     """Each entity and kind once, decided ten seconds after it was first seen, known if it is on the list."""
     e = V.events(spark, sf_dir)
