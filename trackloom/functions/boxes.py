@@ -107,3 +107,21 @@ def cell(b: Box, width: float, height: float, grid: int = 32, from_centre: bool
     row = F.floor(((b[1] + b[3]) / 2 if from_centre else b[3]) / height * grid)
     inside = lambda v: F.greatest(F.lit(0), F.least(F.lit(grid - 1), v))
     return (inside(row) * grid + inside(column)).cast("long")
+
+
+def clipped(b: Box, width: Column, height: Column) -> Box:
+    """Corners kept inside a picture."""
+    kept = lambda v, top: F.greatest(F.lit(0.0), F.least(v.cast("double"), top.cast("double")))
+    return kept(b[0], width), kept(b[1], height), kept(b[2], width), kept(b[3], height)
+
+
+def normalised(b: Box, width: Column, height: Column) -> list[Column]:
+    """Centre and size as shares of a picture."""
+    return [(b[0] + b[2]) / 2 / width, (b[1] + b[3]) / 2 / height, (b[2] - b[0]) / width, (b[3] - b[1]) / height]
+
+
+def rescaled(b: Box, inner: tuple[Column, Column], outer: tuple[Column, Column]) -> Box:
+    """Corners in a picture (width, height) that was fitted, with equal borders, into ``inner``, back in ``outer``, and clipped to it."""
+    gain = F.least(inner[0] / outer[0], inner[1] / outer[1])
+    px, py = (inner[0] - outer[0] * gain) / 2, (inner[1] - outer[1] * gain) / 2
+    return clipped(((b[0] - px) / gain, (b[1] - py) / gain, (b[2] - px) / gain, (b[3] - py) / gain), *outer)

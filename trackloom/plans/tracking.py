@@ -35,8 +35,8 @@ def _register(name: str, covers: str) -> None:
 
 
 for _name, _covers in {
-    "sort": "RET20", "bytetrack": "TRK1 TRK2", "bytetrack_plus": "TRK5", "ocsort": "TRK8 JN12", "hybridsort": "TRK9 JN13", "botsort": "TRK10",
-    "fasttracker": "TRK12 RET19", "class_aware": "TRK7", "deepsort_motion": "RET22", "bytetrack_guarded": "TRK4",
+    "sort": "RET20", "bytetrack": "TRK1 TRK2", "bytetrack_plus": "TRK4", "ocsort": "TRK8 TRK12 JN12", "hybridsort": "TRK9 JN13", "botsort": "TRK10",
+    "fasttracker": "RET19", "class_aware": "TRK7", "deepsort_motion": "RET22", "bytetrack_guarded": "TRK4", "bytetrack_ciou": "TRK5",
     "ocsort_by_class": "RET25", "hybridsort_by_class": "RET25",
 }.items():
     assert _name in TRACKERS

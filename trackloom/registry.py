@@ -13,7 +13,7 @@ ORACLE_SQL: dict[str, str] = {}
 COVERS: dict[str, str] = {}
 
 
-MODULES = ["accuracy", "filters", "joins", "aggregates", "windows", "scalars", "events", "retrieval", "tracking", "sources", "formats", "places", "lifecycles", "masks", "cases"]
+MODULES = ["accuracy", "filters", "joins", "aggregates", "windows", "scalars", "events", "retrieval", "tracking", "sources", "formats", "places", "lifecycles", "masks", "cases", "exchange"]
 
 
 def query(covers: str, sql: str | None = None):

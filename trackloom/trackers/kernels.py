@@ -31,7 +31,7 @@ class Options:
     two_stage: bool = True
     fuse_score: bool = True
     form: str = "xyah"
-    similarity: str = "iou"  # iou, hmiou or giou
+    similarity: str = "iou"  # iou, hmiou, ciou or giou
     direction: float = 0.0  # weight of velocity-direction consistency
     delta: int = 3  # frames back for that direction
     corners: bool = False  # direction of the four corners instead of the centre
@@ -73,6 +73,7 @@ TRACKERS |= {
     "botsort_reid": replace(TRACKERS["botsort"], gallery=1, nearest=(0.25, 0.5)),
     "motdt": Options(two_stage=False, fuse_score=False, high=0.4, start=0.6, min_hits=1, cascade=9.4877, gallery=30, alike=0.8, first=0.5, proposals=True),
     "bytetrack_reid": replace(TRACKERS["bytetrack"], gallery=30, reunite=0.1),
+    "bytetrack_ciou": replace(TRACKERS["bytetrack_plus"], parked=(0.0, 1.0), similarity="ciou", first=0.9, fuse_score=False),
     "bytetrack_guarded": replace(TRACKERS["bytetrack_plus"], parked=(0.0, 1.0), picture=(1920.0, 1080.0)),
     "ocsort_by_class": replace(TRACKERS["ocsort"], by_class=True, flat=True),
     "hybridsort_by_class": replace(TRACKERS["hybridsort"], by_class=True, flat=True),
@@ -199,6 +200,11 @@ def overlap(a: np.ndarray, b: np.ndarray, kind: str = "iou") -> np.ndarray:
     span = np.maximum(a[..., :2] + a[..., 2:], b[..., :2] + b[..., 2:]) - np.minimum(a[..., :2], b[..., :2])
     if kind == "hmiou":
         return out * cut[..., 1] / np.maximum(span[..., 1], 1e-9)
+    if kind == "ciou":
+        gap = ((a[..., :2] + a[..., 2:] / 2 - b[..., :2] - b[..., 2:] / 2) ** 2).sum(-1)
+        turn = lambda x: np.arctan(x[..., 2] / np.maximum(x[..., 3], 1e-9))
+        v = 4 / np.pi**2 * (turn(a) - turn(b)) ** 2
+        return np.clip(out - gap / np.maximum((span**2).sum(-1), 1e-9) - v * v / np.maximum(1 - out + v, 1e-9), 0, 1)
     hull = span[..., 0] * span[..., 1]
     return (out - (hull - union) / np.maximum(hull, 1e-9) + 1) / 2
 
