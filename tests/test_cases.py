@@ -101,3 +101,39 @@ def test_box_precision_equals_plain_loops(spark):
     got = {(r.cls, r.area, r.threshold): (r.ap, r.recall) for r in boxap.box_precision(g, d).collect()}
     want = plain_precision(gt, det)
     assert set(got) == set(want) and all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_painted_masks_keep_the_first_pixels():
+    from trackloom.operators.painting import overlap_of, painted
+
+    rng = np.random.default_rng(2)
+    for _ in range(40):
+        masks = [sorted((10 * k + int(rng.integers(0, 5)), int(rng.integers(1, 6))) for k in rng.choice(8, int(rng.integers(0, 5)), replace=False).tolist()) for _ in range(4)]
+        sets = [{p for s, n in m for p in range(s, s + n)} for m in masks]
+        got = [{p for s, n in m for p in range(s, s + n)} for m in painted(masks)]
+        assert got == [s - set().union(*sets[:k]) for k, s in enumerate(sets)]
+        for a, b, x, y in ((masks[0], masks[1], sets[0], sets[1]), (masks[2], masks[3], sets[2], sets[3])):
+            assert overlap_of(a, b) == (len(x & y) / len(x | y) if x | y else 0.0)
+    assert painted([[], []]) == [[], []]
+
+
+def test_masks_are_followed(spark):
+    from trackloom.operators.painting import followed
+
+    m = lambda s: [(s, 10)]
+    rows = [(1, f, i, m(s)) for f, i, s in ((1, 1, 0), (1, 2, 100), (2, 7, 101), (2, 8, 1), (3, 1, 200), (4, 1, 2), (4, 2, 202), (9, 1, 2))]
+    got = {(r.frame, r.id): r.track for r in followed(table(spark, rows, "seq int, frame int, id int, mask array<struct<start:bigint,length:bigint>>"), 0.5, 2).collect()}
+    assert got == {(1, 1): 1, (1, 2): 2, (2, 7): 2, (2, 8): 1, (3, 1): 3, (4, 1): 1, (4, 2): 3, (9, 1): 4}
+
+
+def test_labels_are_suppressed_across_classes(spark):
+    from trackloom.trackers.frames import labelled, nms
+
+    rows = [(1, 1, 1, 0.0, [0.9, 0.8, 0.1]), (1, 1, 2, 1.0, [0.2, 0.95, 0.0]), (1, 1, 3, 50.0, [0.5, 0.5, 0.3]), (1, 1, 4, 90.0, [0.1, 0.2, 0.0]), (1, 2, 5, 0.0, [0.0, 0.0, 0.6])]
+    d = table(spark, rows, "seq long, frame long, id long, x double, scores array<double>").withColumns({"y": F.lit(0.0), "w": F.lit(10.0), "h": F.lit(10.0)})
+    pick = lambda df: sorted((r.frame, r.id, r.cls, r.score) for r in df.collect())
+    every, best = labelled(d, "scores", 0.25, True), labelled(d, "scores", 0.25, False)
+    assert pick(best) == [(1, 1, 0, 0.9), (1, 2, 1, 0.95), (1, 3, 0, 0.5), (2, 5, 2, 0.6)]
+    assert pick(every) == [(1, 1, 0, 0.9), (1, 1, 1, 0.8), (1, 2, 1, 0.95), (1, 3, 0, 0.5), (1, 3, 1, 0.5), (1, 3, 2, 0.3), (2, 5, 2, 0.6)]
+    assert pick(nms(every, 0.3)) == [(1, 1, 0, 0.9), (1, 2, 1, 0.95), (1, 3, 0, 0.5), (1, 3, 1, 0.5), (1, 3, 2, 0.3), (2, 5, 2, 0.6)]
+    assert [(f, i) for f, i, *_ in pick(nms(every, 0.3, agnostic=True, most=2))] == [(1, 2), (1, 3), (2, 5)]

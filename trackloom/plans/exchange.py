@@ -10,6 +10,7 @@ from ..functions import boxes as B
 from ..operators.pairs import frame_pairs
 from ..registry import query
 from ..sources import federated as S
+from ..sources import mot as M
 
 
 def one():
@@ -130,3 +131,17 @@ def armed_at(spark, sf_dir):
     s = e.withColumn("c", F.last(change, ignorenulls=True).over(by)).filter("event_type = 'view'")
     over = (F.col("c.mode") == "paused") & (F.col("ms") >= F.col("c.at") + 7_200_000)
     return s.select(F.col("event_id").alias("id"), F.coalesce(F.when(over, "armed").otherwise(F.col("c.mode")), F.lit("armed")).alias("mode"), over.alias("rearmed"))
+
+
+@query("RET16", f"""WITH {V.DET}, l AS (SELECT seq, frame, id, x, y, w, h, id % 7 AS mark, id % 13 AS label, (cell % 10 - 1) / 10 AS vis FROM det WHERE id % 17 <> 0)
+SELECT seq, 'truth' AS kind, frame, id, x, 1.0::DOUBLE AS score FROM l WHERE mark <> 0 AND label = 1 UNION ALL SELECT seq, 'ignore', frame, id, x, 1.0 FROM l WHERE label IN (2, 7, 8, 12) OR vis < 0 UNION ALL SELECT seq, 'result', frame, id, x, mark FROM l""")
+def legacy_rows(spark, sf_dir):
+    """Old-style lines, read as ground truth, as regions to ignore, and as results; short lines go."""
+    d = V.detections(spark, sf_dir)
+    line = F.concat_ws(",", "frame", "id", *[F.col(c).cast("string") for c in "xywh"], F.col("id") % 7, F.col("id") % 13, (F.col("cell") % 10 - 1) / 10)
+    lines = d.select("seq", F.when(F.col("id") % 17 == 0, F.lit("1,2,3")).otherwise(line).alias("value"))
+    out = None
+    for kind in ("truth", "ignore", "result"):
+        one_ = M.legacy_rows(lines, kind).select("seq", F.lit(kind).alias("kind"), "frame", "id", "x", "score")
+        out = one_ if out is None else out.unionByName(one_)
+    return out

@@ -50,7 +50,7 @@ def stem_numbers(spark, sf_dir):
     return V.table(spark, sf_dir, "pages").select("page_id", M.frame_number(F.col("url")).alias("number"))
 
 
-@query("SRC13 SRC19", "WITH c AS (SELECT user_id AS seq, event_type AS kind FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY list_position(['signup', 'purchase', 'view'], kind)) AS r FROM c WHERE kind IN ('signup', 'purchase', 'view')) SELECT seq, kind FROM r WHERE r = 1")
+@query("SRC13", "WITH c AS (SELECT user_id AS seq, event_type AS kind FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY list_position(['signup', 'purchase', 'view'], kind)) AS r FROM c WHERE kind IN ('signup', 'purchase', 'view')) SELECT seq, kind FROM r WHERE r = 1")
 def preferred_source(spark, sf_dir):
     c = V.table(spark, sf_dir, "events").select(F.col("user_id").alias("seq"), F.col("event_type").alias("kind")).distinct()
     return M.prefer(c, ["signup", "purchase", "view"])

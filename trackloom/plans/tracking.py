@@ -10,7 +10,7 @@ from .. import views as V
 from ..metrics import kernels as K
 from ..metrics.frames import clear_scores, per_sequence, sides
 from ..registry import query
-from ..trackers.frames import merge_untracked, nms, track
+from ..trackers.frames import labelled, merge_untracked, nms, track
 from ..trackers.kernels import PUBLIC, TRACKERS
 from .accuracy import CLEAR
 
@@ -104,3 +104,12 @@ def tracker_accuracy(spark, sf_dir):
 def non_maximum_suppression(spark, sf_dir):
     d = V.detections(spark, sf_dir).withColumns({"x": (F.col("id") % 7) * 15.0, "y": (F.col("id") % 3) * 10.0})
     return nms(d.select("seq", "frame", "cls", "id", "score", "x", "y", "w", "h"), 0.3).select("seq", "frame", "cls", "id", "score")
+
+
+@query("RET11")
+def suppression_of_labels(spark, sf_dir):
+    """Boxes with a score for each of three classes: all labels that score enough, suppressed across classes, the best five of a frame."""
+    d = V.detections(spark, sf_dir).withColumns({"x": (F.col("id") % 7) * 15.0, "y": (F.col("id") % 3) * 10.0})
+    scores = F.array(*[((F.col("cell") * (k + 3) + F.col("id")) % 10) / 10 for k in range(3)])
+    boxes = d.select("seq", "frame", "id", "x", "y", "w", "h", scores.alias("scores"))
+    return nms(labelled(boxes, "scores", 0.35, True), 0.3, agnostic=True, most=5).select("seq", "frame", "id", "cls", "score")

@@ -207,6 +207,27 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     return a.join(images, "image_id").select("seq", "frame", F.col("track_id").alias("id"), *box, F.lit(1.0).alias("conf"), F.col("category_id").alias("cls"))
 
 
+#: Labels of older benchmark files: pedestrians, and what is neither right nor wrong. Fixed values.
+PEDESTRIAN, IGNORED_LABELS = 1, (2, 7, 8, 12)
+
+
+def legacy_rows(lines: DataFrame, kind: str) -> DataFrame:
+    """frame, id, x, y, w, h, score of old-style lines (value; comma-separated frame, id, box, mark, label, visibility).
+
+    ``kind`` "truth": pedestrians that are marked, with score 1; "ignore": what is labelled neither right nor wrong, or has a
+    negative visibility, with score 1; "result": all rows, with the seventh field as their score. Frames below 1 and lines of
+    fewer fields go.
+    """
+    part = F.split("value", ",")
+    number = lambda k: F.get(part, F.lit(k)).try_cast("double")
+    mark, label, visible = number(6), number(7), number(8)
+    keep = {"truth": (mark != 0) & (label == PEDESTRIAN), "ignore": label.isin(*IGNORED_LABELS) | (visible < 0), "result": F.lit(True)}[kind]
+    rows = lines.filter((F.size(part) >= 7) & (number(0) >= 1)).filter(keep)
+    score = mark if kind == "result" else F.lit(1.0)
+    kept = [c for c in lines.columns if c != "value"]
+    return rows.select(*kept, number(0).cast("long").alias("frame"), number(1).cast("long").alias("id"), *[number(k).alias(c) for k, c in enumerate("xywh", 2)], score.alias("score"))
+
+
 def check_frames(boxes: DataFrame, meta: DataFrame, length: str = "seq_length") -> DataFrame:
     """``boxes``, failing at run time on frames outside 1..length of their sequence."""
     both = boxes.join(meta.select("seq", F.col(length).alias("__n")), "seq", "left")

@@ -58,18 +58,37 @@ def merge_untracked(tracks: DataFrame, detections: DataFrame, least: float) -> D
 SPAN = 256
 
 
-def nms(detections: DataFrame, limit: float = 0.5) -> DataFrame:
-    """Greedy non-maximum suppression per (seq, frame, cls): best score first, ties by x then y. A group is ``SPAN`` frames, not one."""
+def labelled(detections: DataFrame, scores: str, least: float, several: bool) -> DataFrame:
+    """``detections`` with cls and score instead of an array of scores: of each box the best class, or ``several``, that score more than ``least`` (ties: the lower class)."""
     from pyspark.sql import functions as F
 
+    each = F.transform(scores, lambda s, k: F.struct(s.alias("score"), (-k).alias("k")))
+    good = F.filter(each, lambda r: r["score"] > least)
+    chosen = good if several else F.when(F.size(good) > 0, F.array(F.array_max(good))).otherwise(good)
+    keep = [c for c in detections.columns if c not in (scores, "cls", "score")]
+    return detections.select(*keep, F.explode(chosen).alias("__r")).select(*keep, (-F.col("__r.k")).cast("long").alias("cls"), F.col("__r.score").alias("score"))
+
+
+def nms(detections: DataFrame, limit: float = 0.5, agnostic: bool = False, most: int | None = None) -> DataFrame:
+    """Greedy non-maximum suppression per (seq, frame, cls): best score first, ties by x then y. A group is ``SPAN`` frames, not one.
+
+    ``agnostic``: boxes of all classes suppress one another. ``most``: so many boxes of a frame stay, the best scored ones.
+    """
+    from pyspark.sql import functions as F
+
+    by = ["frame"] if agnostic else ["frame", "cls"]
+
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frame", "cls", "score", "x", "y"], ascending=[True, True, False, True, True])
-        boxes, alike = pdf[["x", "y", "w", "h"]].to_numpy(float), pdf[["frame", "cls"]].to_numpy()
+        pdf = pdf.sort_values([*by, "score", "x", "y"], ascending=[*[True for _ in by], False, True, True])
+        boxes, alike = pdf[["x", "y", "w", "h"]].to_numpy(float), pdf[by].to_numpy()
         new = np.ones(len(pdf), bool)
         new[1:] = (alike[1:] != alike[:-1]).any(1)
         begin = np.flatnonzero(new)
         keep = [at + i for at, end in zip(begin, [*begin[1:], len(pdf)], strict=True) for i in _kept(boxes[at:end], limit)]
-        return pdf.iloc[keep]
+        pdf = pdf.iloc[keep]
+        if most is None:
+            return pdf
+        return pdf.sort_values(["frame", "score", "x", "y", "cls"], ascending=[True, False, True, True, True]).groupby("frame", sort=False).head(most)
 
     return detections.groupBy("seq", F.floor(F.col("frame") / SPAN)).applyInPandas(one, detections.schema)
 
