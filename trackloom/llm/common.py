@@ -147,7 +147,7 @@ LAST = (1 << 63) - 1
 def single_ids(docs: DataFrame, name: str, doc_id: str, text: str, scratch: Scratch) -> DataFrame:
     """``docs`` with a long ``name`` in the order of their ids (null last) that only rows of equal id and equal text (null as empty) share.
 
-    That is the id itself where no two rows have the same. Otherwise rows of one id go by their text's hash: the distinct
+    That is the id itself where no two texts have the same. Otherwise rows of one id go by their text's hash: the distinct
     (id, hash) are sorted and numbered once, as a written table that the rows are joined to.
     """
     (own, h1, h2) = fresh(docs, "id", "h1", "h2")
@@ -157,6 +157,8 @@ def single_ids(docs: DataFrame, name: str, doc_id: str, text: str, scratch: Scra
     raw = utf8(f"`{text}`")
     keyed = docs.withColumns({own: d, h1: F.xxhash64(raw), h2: F.xxhash64(raw, F.lit(1))})
     keys = keyed.select(own, h1, h2).distinct()
+    if keys.groupBy(own).count().filter("count > 1").isEmpty():  # repeated rows only
+        return docs.withColumn(name, d)
     # Partitions follow one another in the order of ids, and so do the numbers of their rows.
     ranks = scratch.write(keys.repartitionByRange(own, h1, h2).sortWithinPartitions(own, h1, h2).withColumn(name, F.monotonically_increasing_id()))
     return keyed.join(ranks, [own, h1, h2]).drop(own, h1, h2)
