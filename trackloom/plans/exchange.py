@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import views as V
 from ..functions import boxes as B
+from ..functions.rounding import rounded
 from ..operators.pairs import frame_pairs
 from ..registry import query
 from ..sources import federated as S
@@ -49,7 +50,7 @@ def box_transforms(spark, sf_dir):
     d = V.detections(spark, sf_dir).withColumns({"x": F.col("x") - 5 + F.col("cell") % 9, "y": F.col("y") + F.floor(F.col("cell") / 32) * 15})
     size = lambda w, h: (F.lit(float(w)), F.lit(float(h)))
     share, back = B.normalised(B.box(), *size(640, 640)), B.rescaled(B.box(), size(640, 640), size(1280, 720))
-    return d.select("seq", "frame", "id", *[F.round(c, 6).alias(n) for c, n in zip([*share[:3], *back], ["cx", "cy", "nw", "sl", "st", "sr", "su"], strict=True)])
+    return d.select("seq", "frame", "id", *[rounded(c, 6).alias(n) for c, n in zip([*share[:3], *back], ["cx", "cy", "nw", "sl", "st", "sr", "su"], strict=True)])
 
 
 @query("RET18", f"""WITH {V.GT} SELECT seq, frame, id, concat_ws(' ', frame - 1, id, CASE id % 3 WHEN 0 THEN 'Car' WHEN 1 THEN 'Pedestrian' ELSE 'Cyclist' END, 0, 0, -10, printf('%.1f', x), printf('%.1f', y), printf('%.1f', x + w), printf('%.1f', y + h)) AS line FROM gt""")
