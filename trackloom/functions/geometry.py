@@ -47,5 +47,6 @@ def reference_point(x: Column, y: Column, w: Column, h: Column, side: Column) ->
 def principal_axis(x: Column, y: Column) -> tuple[Column, Column]:
     """Aggregates: angle in degrees of the main axis of points, and the share of variance along it."""
     sx, sy, c = F.var_samp(x), F.var_samp(y), F.covar_samp(x, y)
+    c = F.when(c * c > 1e-24 * sx * sy, c).otherwise(c * 0 + 0.0)  # rounding noise has a sign, which would turn an upright axis around
     root = F.sqrt((sx - sy) * (sx - sy) + 4 * c * c)
     return F.degrees(F.atan2(2 * c, sx - sy)) / 2, F.try_divide((sx + sy + root) / 2, sx + sy)

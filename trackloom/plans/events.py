@@ -34,7 +34,7 @@ def entity_sessions(spark, sf_dir):
 
 @query("STR3", f"{D}, a AS (SELECT seq, id, count(DISTINCT cell // 32) AS rows, avg(score) AS s FROM det GROUP BY ALL) SELECT seq, id, CASE WHEN rows < 24 AND s < 0.45 THEN 'listed' WHEN rows >= 24 THEN 'moving' ELSE 'open' END AS state FROM a")
 def blacklist_state(spark, sf_dir):
-    a = _d(spark, sf_dir).groupBy("seq", "id").agg(F.countDistinct(F.floor(F.col("cell") / 32)).alias("rows"), F.avg("score").alias("s"))
+    a = _d(spark, sf_dir).groupBy("seq", "id").agg(F.countDistinct(F.floor(F.col("cell") / 32)).alias("rows"), F.round(F.avg("score"), 9).alias("s"))  # rounded: the order of a sum must not decide a tie
     return a.select("seq", "id", F.when((F.col("rows") < 24) & (F.col("s") < 0.45), "listed").when(F.col("rows") >= 24, "moving").otherwise("open").alias("state"))
 
 
