@@ -29,7 +29,7 @@ def common_area(vertices: Column, left: Column, top: Column, right: Column, bott
 
     def edge(a: Column, b: Column) -> Column:
         xa, xb = kept(a["x"], left, right), kept(b["x"], left, right)
-        at = lambda x: a["y"] + (x - a["x"]) * (b["y"] - a["y"]) / (b["x"] - a["x"])  # noqa: E731 (multiplied first: exact for whole numbers that divide)
+        at = lambda x: a["y"] + (x - a["x"]) * (b["y"] - a["y"]) / (b["x"] - a["x"])
         ends = F.struct(at(xa).alias("p"), at(xb).alias("q"), (xb - xa).alias("dx"))
         mean = lambda e: F.when(F.abs(e["q"] - e["p"]) > 1e-9, (risen(e["q"]) - risen(e["p"])) / (e["q"] - e["p"])).otherwise(kept(e["p"], top, bottom) - top)
         return F.when(xa == xb, 0.0).otherwise(let(ends, lambda e: e["dx"] * mean(e)))

@@ -39,7 +39,7 @@ def polygons_on_boxes(spark, sf_dir):
     """Boxes of which a polygon of their sequence covers more than a tenth, with the exact common area."""
     boxes = V.tracks(spark, sf_dir).withColumn("y", F.col("y") + F.col("id") * 17 % 500)
     found = P.polygons_on_boxes(outlines(spark, sf_dir), boxes, ["seq"], 64.0, 0.1)
-    return found.select("seq", "frame", "id", "polygon", rounded(F.col("common"), 4).alias("common"), rounded(F.col("share"), 6).alias("share"))
+    return found.select("seq", "frame", "id", "polygon", rounded(F.col("common"), 4).alias("common"), rounded(F.round("share", 12), 6).alias("share"))
 
 
 #: Small enough for the smallest tables.
