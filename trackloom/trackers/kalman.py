@@ -57,6 +57,14 @@ class BoxFilter:
         gained = np.stack([place * place * s, place * speed * s, speed * speed * s], 1)
         return mean + np.concatenate([place * off, speed * off], 1), cov - gained
 
+    def gated(self, mean: np.ndarray, cov: np.ndarray, z: np.ndarray, limit: float, meeting) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tracks, measurements and squared Mahalanobis distances of the pairs within ``limit``; only measurements whose centre is within reach are compared."""
+        seen, s = self.project(mean, cov)
+        reach = np.sqrt(limit * s[:, :2]) * (1 + 1e-9) + 1e-9
+        i, j = meeting(seen[:, :2] - reach, seen[:, :2] + reach, z[:, :2], z[:, :2])
+        far = ((z[j] - seen[i]) ** 2 / s[i]).sum(-1)
+        return i[far <= limit], j[far <= limit], far[far <= limit]
+
     def gating(self, mean: np.ndarray, cov: np.ndarray, z: np.ndarray) -> np.ndarray:
         """Squared Mahalanobis distances (tracks, measurements)."""
         seen, s = self.project(mean, cov)

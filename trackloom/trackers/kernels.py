@@ -9,11 +9,12 @@ is a vector that comes with it, and camera motion is out of scope.
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 
-from ..metrics.assignment import assign_within
+from ..metrics.assignment import assign_pairs
 from . import looks, places
 from .kalman import BoxFilter
 
@@ -189,7 +190,42 @@ def overlap(a: np.ndarray, b: np.ndarray, kind: str = "iou") -> np.ndarray:
     """Similarity matrix of tlwh boxes."""
     if not len(a) or not len(b):
         return np.zeros((len(a), len(b)))
-    a, b = np.asarray(a, float)[:, None], np.asarray(b, float)[None]
+    return _similar(np.asarray(a, float)[:, None], np.asarray(b, float)[None], kind)
+
+
+def meeting(low: np.ndarray, high: np.ndarray, others_low: np.ndarray, others_high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j), in their order, of areas (rows of two coordinates) that share a point: a sweep along the axis on which fewer meet."""
+    if not len(low) or not len(others_low):
+        return np.zeros(0, int), np.zeros(0, int)
+    best = None
+    for d in (0, 1):
+        order = np.argsort(others_low[:, d], kind="stable")
+        begin = np.searchsorted(np.maximum.accumulate(others_high[order, d]), low[:, d], "left")
+        n = np.maximum(np.searchsorted(others_low[order, d], high[:, d], "right") - begin, 0)
+        if best is None or n.sum() < best[2].sum():
+            best = order, begin, n
+    order, begin, n = best
+    i = np.repeat(np.arange(len(low)), n)
+    j = order[np.arange(len(i)) + np.repeat(begin - np.cumsum(n) + n, n)]
+    meets = ((low[i] <= others_high[j]) & (others_low[j] <= high[i])).all(1)
+    i, j = i[meets], j[meets]
+    order = np.lexsort((j, i))
+    return i[order], j[order]
+
+
+def overlapping(a: np.ndarray, b: np.ndarray, kind: str = "iou") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """i, j, similarity of the pairs of tlwh boxes whose similarity is above zero; only boxes that meet are compared, but for giou."""
+    a, b = np.asarray(a, float).reshape(-1, 4), np.asarray(b, float).reshape(-1, 4)
+    if kind == "giou":
+        i, j = (x.ravel() for x in np.indices((len(a), len(b))))
+    else:
+        i, j = meeting(a[:, :2], a[:, :2] + a[:, 2:], b[:, :2], b[:, :2] + b[:, 2:])
+    sim = _similar(a[i], b[j], kind)
+    good = sim > 0
+    return i[good], j[good], sim[good]
+
+
+def _similar(a: np.ndarray, b: np.ndarray, kind: str) -> np.ndarray:
     low, high = np.maximum(a[..., :2], b[..., :2]), np.minimum(a[..., :2] + a[..., 2:], b[..., :2] + b[..., 2:])
     cut = np.clip(high - low, 0, None)
     inter = cut[..., 0] * cut[..., 1]
@@ -215,38 +251,42 @@ def _points(boxes: np.ndarray, corners: bool) -> np.ndarray:
     return np.stack([np.stack(p, -1) for p in at], 1)
 
 
-def _direction_bonus(t: Tracks, k: np.ndarray, rows: np.ndarray, o: Options) -> np.ndarray:
-    """How well the way from the last observation to a detection agrees with the way so far, from -0.5 to 0.5."""
+def _direction_bonus(t: Tracks, k: np.ndarray, rows: np.ndarray, i: np.ndarray, j: np.ndarray, o: Options) -> np.ndarray:
+    """How well, for pairs (i, j), the way from the last observation to a detection agrees with the way so far, from -0.5 to 0.5."""
     last = _points(t.last[k], o.corners)
     own = last - _points(t.earlier(k), o.corners)
-    step = _points(rows[:, :4], o.corners)[None] - last[:, None]
+    step = _points(rows[:, :4], o.corners)[j] - last[i]
     norm = np.linalg.norm(own, axis=-1)
-    cos = (own[:, None] * step).sum(-1) / np.maximum(norm[:, None] * np.linalg.norm(step, axis=-1), 1e-9)
-    bonus = (0.5 - np.arccos(np.clip(cos, -1, 1)) / np.pi).mean(-1) * rows[:, 4]
-    return np.where(norm.any(1)[:, None], bonus, 0.0)
+    cos = (own[i] * step).sum(-1) / np.maximum(norm[i] * np.linalg.norm(step, axis=-1), 1e-9)
+    bonus = (0.5 - np.arccos(np.clip(cos, -1, 1)) / np.pi).mean(-1) * rows[j, 4]
+    return np.where(norm.any(1)[i], bonus, 0.0)
 
 
-def _cost(t: Tracks, k: np.ndarray, rows: np.ndarray, o: Options, first: bool) -> np.ndarray:
-    sim = overlap(t.boxes(k), rows[:, :4], o.similarity)
-    cost = 1 - (sim * rows[:, 4] if first and o.fuse_score else sim)
+Pairs = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _cost(t: Tracks, k: np.ndarray, rows: np.ndarray, o: Options, first: bool) -> Pairs:
+    """Tracks, detections and costs of the pairs that may match: those that overlap and, if classes count, are of one."""
+    i, j, sim = overlapping(t.boxes(k), rows[:, :4], o.similarity)
+    if o.by_class:
+        alike = t.cls[k[i]] == rows[j, 5]
+        i, j, sim = i[alike], j[alike], sim[alike]
+    cost = 1 - (sim * rows[j, 4] if first and o.fuse_score else sim)
     if first and o.direction:
-        cost = cost - o.direction * _direction_bonus(t, k, rows, o)
+        cost = cost - o.direction * _direction_bonus(t, k, rows, i, j, o)
     if first and o.looks:
-        cost = cost + o.looks * looks.smoothed([t.seen_as[i] for i in k.tolist()], rows[:, 6:])
+        cost = cost + o.looks * looks.smoothed_of([t.seen_as[n] for n in k.tolist()], rows[:, 6:], i, j)
     if first and o.nearest:
-        far = looks.smoothed([t.seen_as[i] for i in k.tolist()], rows[:, 6:]) / 2
+        far = looks.smoothed_of([t.seen_as[n] for n in k.tolist()], rows[:, 6:], i, j) / 2
         cost = np.minimum(cost, np.where((far > o.nearest[0]) | (1 - sim > o.nearest[1]), 1.0, far))
     if o.confidence:
-        cost = cost + o.confidence * np.abs(t.score[k][:, None] - rows[None, :, 4])
-    cost = np.where(sim <= 0, 1e3, cost)
-    if o.by_class:
-        cost = np.where(t.cls[k][:, None] != rows[None, :, 5], 1e3, cost)
-    return cost
+        cost = cost + o.confidence * np.abs(t.score[k[i]] - rows[j, 4])
+    return i, j, cost
 
 
-def _match(t: Tracks, k: np.ndarray, rows: np.ndarray, frame: int, cost: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+def _match(t: Tracks, k: np.ndarray, rows: np.ndarray, frame: int, pairs: Pairs, limit: float) -> tuple[np.ndarray, np.ndarray]:
     """Updates the tracks ``k`` that get a detection; the others, and the detections left."""
-    found, left, free = assign_within(cost, limit)
+    found, left, free = assign_pairs(len(k), len(rows), *pairs, limit)
     if found:
         i, j = np.array(found).T
         if t.options.parked:
@@ -265,10 +305,11 @@ def _cascade(t: Tracks, k: np.ndarray, rows: np.ndarray, frame: int, o: Options)
     for age in np.unique(frame - t.seen[k]):
         own = k[frame - t.seen[k] == age]
         if len(rows):
-            far, limit = t.filter.gating(t.mean[own], t.cov[own], t.filter.measure(rows[:, :4])), o.cascade
+            i, j, far = t.filter.gated(t.mean[own], t.cov[own], t.filter.measure(rows[:, :4]), o.cascade, meeting)
+            limit = o.cascade
             if o.gallery:  # motion says who may match, looks who does
-                far, limit = np.where(far > o.cascade, 1e3, looks.nearest([t.seen_as[i] for i in own.tolist()], rows[:, 6:])), o.alike
-            own, rows = _match(t, own, rows, frame, far, limit)
+                far, limit = looks.nearest_of([t.seen_as[n] for n in own.tolist()], rows[:, 6:], i, j), o.alike
+            own, rows = _match(t, own, rows, frame, (i, j, far), limit)
         left.append(own)
     return np.sort(np.concatenate(left)) if left else k, rows
 
@@ -291,13 +332,17 @@ def _at_rest(t: Tracks, i: int) -> bool:
 def _waits(t: Tracks, frame: int) -> np.ndarray:
     """Lost tracks of guarded classes that stood when they were last seen."""
     out = np.zeros(len(t), bool)
-    for i in np.flatnonzero((t.seen < frame) & np.isin(t.cls, t.options.parked)).tolist():
-        out[i] = _at_rest(t, i) and places.stood(t.path[i], 2) is not False
+    if len(t):
+        size = t.boxes()[:, 2:]
+        rest = (t.mean[:, 4:6] ** 2).sum(1) / np.maximum((size**2).sum(1), 1.0) < places.STANDING
+        for i in np.flatnonzero(rest & (t.seen < frame) & np.isin(t.cls, t.options.parked)).tolist():
+            out[i] = places.stood(t.path[i], 2) is not False
     return out
 
 
 def _revert(t: Tracks, frame: int, rows: np.ndarray) -> None:
     """After the grace, or once lost: a saved track that left its expected place goes back to where it stood, or to a free detection there, and is lost."""
+    spots = np.array(_spots(rows)).reshape(-1, 3)
     for i in [i for i, saved in enumerate(t.saved) if saved is not None]:
         since, mean, cov, path = t.saved[i]
         n, lost = frame - since, t.seen[i] < frame
@@ -314,10 +359,10 @@ def _revert(t: Tracks, frame: int, rows: np.ndarray) -> None:
         t.mean[i], t.cov[i], t.path[i] = mean, cov, path
         t.mean[i, :2], t.mean[i, 4:6] = np.median(np.array(path)[:, :2], axis=0), 0.0
         box = t.boxes([i])[0]
-        spots, near, best = np.array(_spots(rows)).reshape(-1, 3), 0.5 * np.hypot(*box[2:]), None
-        live = t.mean[t.seen == frame, :2]
-        for j, (x, y, diagonal) in enumerate(spots.tolist()):
-            off = np.hypot(x - t.mean[i, 0], y - t.mean[i, 1])
+        near, best = 0.5 * np.hypot(*box[2:]), None
+        live, away = t.mean[t.seen == frame, :2], np.hypot(spots[:, 0] - t.mean[i, 0], spots[:, 1] - t.mean[i, 1])
+        for j in np.flatnonzero(away < near).tolist():
+            (x, y, diagonal), off = spots[j], away[j]
             if off < near and not (np.hypot(live[:, 0] - x, live[:, 1] - y) < 0.5 * diagonal).any():
                 near, best = off, j
         if best is not None:
@@ -325,26 +370,39 @@ def _revert(t: Tracks, frame: int, rows: np.ndarray) -> None:
 
 
 def run(frames: dict[int, np.ndarray], options: Options, public: dict[int, np.ndarray] | None = None) -> list[tuple]:
-    """frames: frame to (n, 6 + m) rows of x, y, w, h, score, class and, if the options use them, m numbers of looks. Gives (frame, id, x, y, w, h, score, class), ids from 1.
+    """``stream`` over frames that are given as a table: frame to rows."""
+    return [row for shown in stream(sorted(frames.items(), key=lambda f: f[0]), options, public) for row in shown]
+
 
-    public: frame to (n, 4) boxes, for trackers that start tracks only there.
+def _every_frame(frames: Iterable[tuple[int, np.ndarray]]) -> Iterator[tuple[int, np.ndarray]]:
+    """``frames`` with those between them, without rows."""
+    last = None
+    for frame, rows in frames:
+        for between in range(frame if last is None else last + 1, frame):
+            yield between, rows[:0]
+        yield frame, rows
+        last = frame
+
+
+def stream(frames: Iterable[tuple[int, np.ndarray]], options: Options, public: dict[int, np.ndarray] | None = None) -> Iterator[list[tuple]]:
+    """frames, in order: frame and (n, 6 + m) rows of x, y, w, h, score, class and, if the options use them, m numbers of looks. Gives for each frame (frame, id, x, y, w, h, score, class), ids from 1.
+
+    public: frame to (n, 4) boxes, for trackers that start tracks only there. Only the live tracks and a frame are held.
     """
-    o, t, out = options, Tracks(options), []
+    o, t, begin = options, Tracks(options), None
     crossings = looks.Crossings(o.reunite)
     regions = [np.asarray(r, float) for r in o.regions]
-    if not frames:
-        return out
-    begin, none = min(frames), next(iter(frames.values()))[:0]
-    for frame in range(begin, max(frames) + 1):
-        rows = frames.get(frame, none)
+    for frame, rows in _every_frame(frames):
+        begin = frame if begin is None else begin
         rows = rows[np.lexsort(tuple(rows.T[::-1]))] if len(rows) else rows  # order of input doesn't matter
         if len(t):
             t.predict(frame)
         if o.freeze and len(t) > 1:
             boxes = t.boxes()
-            cover = overlap(boxes, boxes)
-            np.fill_diagonal(cover, 0)
-            t.frozen = (cover.max(1) > 0.7) & (t.seen < frame - 1)
+            i, j, cover = overlapping(boxes, boxes)
+            covered = np.zeros(len(t), bool)
+            covered[i[(cover > 0.7) & (i != j)]] = True
+            t.frozen = covered & (t.seen < frame - 1)
         high = rows[rows[:, 4] >= o.high]
         low = rows[(rows[:, 4] >= o.low) & (rows[:, 4] < o.high)]
         if o.flat:
@@ -368,10 +426,9 @@ def run(frames: dict[int, np.ndarray], options: Options, public: dict[int, np.nd
             _stage(t, left[t.seen[left] >= frame - 1], low, frame, o, o.second, False)
             left = left[t.seen[left] != frame]
         if o.rematch and len(left) and len(high):
-            far = 1 - overlap(t.last[left], high[:, :4])
-            if o.by_class:
-                far = np.where(t.cls[left][:, None] != high[None, :, 5], 1e3, far)
-            left, high = _match(t, left, high, frame, far, 0.7)
+            i, j, sim = overlapping(t.last[left], high[:, :4])
+            alike = t.cls[left[i]] == high[j, 5] if o.by_class else np.ones(len(i), bool)
+            left, high = _match(t, left, high, frame, (i[alike], j[alike], 1 - sim[alike]), 0.7)
         if len(proposed):  # what no detection stands for: tracks go on by their own proposals
             own = left[(t.seen[left] >= frame - 2) & (t.seen[left] != frame)]
             _stage(t, own, proposed, frame, o, o.second, False)
@@ -383,7 +440,10 @@ def run(frames: dict[int, np.ndarray], options: Options, public: dict[int, np.nd
             stays |= waits & (frame - t.seen <= places.HOLD * o.buffer)
             if waits.any() and len(high):
                 spots, at = np.array(_spots(high)), t.mean[waits, :2]
-                high = high[~(np.hypot(spots[:, None, 0] - at[None, :, 0], spots[:, None, 1] - at[None, :, 1]) < 0.5 * spots[:, None, 2]).any(1)]
+                reach = 0.5 * spots[:, 2:]
+                i, j = meeting(spots[:, :2] - reach, spots[:, :2] + reach, at, at)
+                near = np.hypot(spots[i, 0] - at[j, 0], spots[i, 1] - at[j, 1]) < 0.5 * spots[i, 2]
+                high = np.delete(high, np.unique(i[near]), axis=0)
         stays[dead] = False
         if o.public:
             high = places.announced(high, (public or {}).get(frame, np.zeros((0, 4))), o.public)
@@ -406,17 +466,18 @@ def run(frames: dict[int, np.ndarray], options: Options, public: dict[int, np.nd
         if o.min_hits > 1:
             shown &= (t.hits > 1) | (t.born == begin)
         k = np.flatnonzero(shown)
-        out += [(frame, i, *b, s, c) for i, b, s, c in zip(t.id[k].tolist(), t.boxes(k).tolist(), t.score[k].tolist(), t.cls[k].tolist(), strict=True)]
-    return out
+        yield [(frame, i, *b, s, c) for i, b, s, c in zip(t.id[k].tolist(), t.boxes(k).tolist(), t.score[k].tolist(), t.cls[k].tolist(), strict=True)]
 
 
 def _calm(live: np.ndarray, rows: np.ndarray, o: Options) -> np.ndarray:
     """Which detections may start a track: those that no live track, an earlier one of these included, overlaps much."""
-    busy = (overlap(live, rows[:, :4]) > o.calm_start).any(0) if len(live) else np.zeros(len(rows), bool)
-    among = overlap(rows[:, :4], rows[:, :4]) > o.calm_start
-    calm = np.zeros(len(rows), bool)
-    for j in range(len(rows)):
-        calm[j] = not busy[j] and not (among[:j, j] & calm[:j]).any()
+    _, j, sim = overlapping(live, rows[:, :4])
+    calm = np.ones(len(rows), bool)
+    calm[j[sim > o.calm_start]] = False
+    i, j, sim = overlapping(rows[:, :4], rows[:, :4])
+    for a, b in zip(*(x[(sim > o.calm_start) & (i < j)].tolist() for x in (i, j)), strict=True):  # by the earlier, whose turn has come
+        if calm[a]:
+            calm[b] = False
     return calm
 
 
@@ -425,7 +486,8 @@ def _without_twins(t: Tracks, near: float) -> None:
     if len(t) < 2 or (t.seen == t.seen[0]).all():
         return
     boxes, gone = t.boxes(), set()
-    for i, j in np.argwhere(np.triu(1 - overlap(boxes, boxes) < near, 1)).tolist():
+    i, j, sim = overlapping(boxes, boxes)
+    for i, j in zip(*(x[(1 - sim < near) & (i < j)].tolist() for x in (i, j)), strict=True):
         if t.seen[i] != t.seen[j] and i not in gone and j not in gone:
             gone.add(j if t.seen[i] - t.born[i] >= t.seen[j] - t.born[j] else i)
     if gone:

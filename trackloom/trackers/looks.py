@@ -42,13 +42,28 @@ class Gallery:
 
 def nearest(galleries: list[Gallery], vectors: np.ndarray) -> np.ndarray:
     """Cosine distance of each vector to the nearest one of each gallery."""
-    v = unit(vectors)
-    return np.stack([1 - (np.stack(g.kept) @ v.T).max(axis=0) for g in galleries]) if galleries else np.zeros((0, len(v)))
+    i, j = (x.ravel() for x in np.indices((len(galleries), len(vectors))))
+    return nearest_of(galleries, vectors, i, j).reshape(len(galleries), len(vectors))
+
+
+def nearest_of(galleries: list[Gallery], vectors: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Cosine distance of vector j to the nearest one of gallery i, for pairs in the order of i."""
+    v, out = unit(vectors), np.zeros(len(i))
+    own, begin = np.unique(i, return_index=True)
+    for g, a, b in zip(own.tolist(), begin.tolist(), np.append(begin, len(i))[1:].tolist(), strict=True):
+        out[a:b] = 1 - (np.stack(galleries[g].kept) @ v[j[a:b]].T).max(axis=0)
+    return out
 
 
 def smoothed(galleries: list[Gallery], vectors: np.ndarray) -> np.ndarray:
     """Cosine distance of each vector to each smoothed one."""
-    return 1 - np.stack([g.smooth for g in galleries]) @ unit(vectors).T if galleries else np.zeros((0, len(vectors)))
+    i, j = (x.ravel() for x in np.indices((len(galleries), len(vectors))))
+    return smoothed_of(galleries, vectors, i, j).reshape(len(galleries), len(vectors))
+
+
+def smoothed_of(galleries: list[Gallery], vectors: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Cosine distance of vector j to the smoothed one of gallery i."""
+    return 1 - (np.stack([g.smooth for g in galleries])[i] * unit(vectors)[j]).sum(-1) if len(i) else np.zeros(0)
 
 
 def reliability(hits: int, alone: int) -> float:
@@ -61,16 +76,19 @@ def proposals(t, rows: np.ndarray, frame: int, least: float) -> tuple[np.ndarray
 
     Proposals have no looks (not a number), and are of their track's class.
     """
-    from .kernels import overlap
+    from .kernels import overlapping
 
     k = np.flatnonzero(t.seen >= frame - 2)
     score = PROPOSAL * np.array([reliability(int(t.hits[i]), t.seen_as[i].alone) for i in k.tolist()])
     own = np.column_stack([t.boxes(k), score, t.cls[k], np.full((len(k), rows.shape[1] - 6), np.nan)]) if len(k) else rows[:0]
     both, detected = np.concatenate([rows, own]), np.arange(len(rows) + len(own)) < len(rows)
     order, stays = np.lexsort((~detected, -both[:, 4])), np.zeros(len(both), bool)
-    cover = overlap(both[:, :4], both[:, :4]) > SUPPRESS
+    a, b, sim = overlapping(both[:, :4], both[:, :4])
+    covers: dict[int, list[int]] = {}
+    for i, j in zip(a[sim > SUPPRESS].tolist(), b[sim > SUPPRESS].tolist(), strict=True):
+        covers.setdefault(i, []).append(j)
     for i in order.tolist():
-        stays[i] = not (cover[i] & stays).any()
+        stays[i] = not any(stays[j] for j in covers.get(i, ()))
     stays &= both[:, 4] >= least
     for i in k.tolist():
         t.seen_as[i].alone += 1  # until a detection says otherwise
@@ -85,15 +103,17 @@ class Crossings:
         self.groups: list[dict] = []  # members: id to looks before; apart: frames since they last touched
 
     def solve(self, t, frame: int) -> None:
-        from .kernels import overlap
+        from .kernels import overlapping
 
         live = np.flatnonzero(t.seen == frame)
         boxes, ids = t.boxes(live), t.id[live].tolist()
-        touching = overlap(boxes, boxes) > TOUCH
-        for i, j in np.argwhere(np.triu(touching, 1)).tolist():
+        i, j, sim = overlapping(boxes, boxes)
+        pairs = [x[(sim > TOUCH) & (i < j)].tolist() for x in (i, j)]
+        touched: dict[int, set[int]] = {}
+        for i, j in zip(*pairs, strict=True):
+            touched.setdefault(ids[i], set()).add(ids[j])
             self._join(ids[i], ids[j], {ids[n]: t.seen_as[live[n]].smooth.copy() for n in (i, j)})
         at, alive = {int(i): int(n) for i, n in zip(ids, live.tolist(), strict=True)}, set(t.id.tolist())
-        place = {i: n for n, i in enumerate(ids)}
         for g in list(self.groups):
             for gone in [i for i in g["members"] if i not in alive]:
                 del g["members"][gone]
@@ -102,7 +122,7 @@ class Crossings:
                 self.groups.remove(g)
                 continue
             here = [i for i in members if i in at]
-            if len(here) < len(members) or touching[np.ix_([place[i] for i in here], [place[i] for i in here])].sum() > len(here):
+            if len(here) < len(members) or any(not touched.get(i, set()).isdisjoint(here) for i in here):
                 g["apart"] = 0
                 g["since"] = {}
                 continue
