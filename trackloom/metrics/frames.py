@@ -14,22 +14,25 @@ from .kernels import Sequence
 
 def sides(gt: DataFrame, trk: DataFrame) -> DataFrame:
     """seq, frame, gid, tid, sim: overlapping pairs, and every box once by itself, so that frames of one side count."""
-    pairs = frame_pairs(gt, trk).filter("sim > 0")
+    pairs = frame_pairs(gt, trk, touching=True)
     own = gt.select("seq", "frame", F.col("id").alias("gid"), F.lit(None).cast("long").alias("tid"), F.lit(None).cast("double").alias("sim"))
     other = trk.select("seq", "frame", F.lit(None).cast("long").alias("gid"), F.col("id").alias("tid"), F.lit(None).cast("double").alias("sim"))
     return pairs.unionByName(own).unionByName(other)
 
 
-def per_sequence(rows: DataFrame, kernel: Callable[[Sequence], dict | list[dict]], schema: str) -> DataFrame:
+def per_sequence(rows: DataFrame, kernel: Callable[[Sequence], dict | list[dict] | list[tuple]], schema: str) -> DataFrame:
     """``kernel`` applied to each sequence; a sequence is one unit because matching depends on the frame before."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         found = kernel(Sequence(pdf))
         found = found if isinstance(found, list) else [found]
-        return pd.DataFrame([{"seq": pdf["seq"].iloc[0]} | x for x in found], columns=names)
+        out = pd.DataFrame(found, columns=names[1:])
+        out.insert(0, "seq", pdf["seq"].iloc[0])
+        return out
 
     names = [x.strip().split()[0] for x in f"seq long, {schema}".split(",")]
-    return rows.groupBy("seq").applyInPandas(run, f"seq long, {schema}")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given a number, small sequences aren't put into one task
+    return rows.repartition(tasks, "seq").groupBy("seq").applyInPandas(run, f"seq long, {schema}")
 
 
 def with_total(df: DataFrame, counts: list[str]) -> DataFrame:

@@ -21,7 +21,7 @@ def _sides(spark, sf_dir) -> DataFrame:
 
 @query("JN1 JN18 RET10", f"WITH {V.PAIRS} SELECT seq, frame, gid, tid, round(iou, 6) AS sim FROM iou WHERE iou > 0")
 def iou_pairs(spark, sf_dir):
-    out = frame_pairs(V.ground_truth(spark, sf_dir), V.tracks(spark, sf_dir)).filter("sim > 0")
+    out = frame_pairs(V.ground_truth(spark, sf_dir), V.tracks(spark, sf_dir), touching=True)
     return out.withColumn("sim", F.round("sim", 6))
 
 
@@ -122,8 +122,8 @@ def matched_path_share(spark, sf_dir):
         import pandas as pd
 
         own = pdf.dropna(subset=["gid"])
-        centres = {(f, g): (x, y) for f, g, x, y in zip(own["frame"], own["gid"].astype("int64"), own["cx"], own["cy"], strict=True)}
-        return pd.DataFrame({"seq": [pdf["seq"].iloc[0]], "ideucl": [round(K.mean_path_share(K.Sequence(pdf), centres), 6)]})
+        at = [own[c].to_numpy(kind) for c, kind in (("frame", "int64"), ("gid", "int64"), ("cx", float), ("cy", float))]
+        return pd.DataFrame({"seq": [pdf["seq"].iloc[0]], "ideucl": [round(K.mean_path_share(K.Sequence(pdf), *at), 6)]})
 
     return rows.groupBy("seq").applyInPandas(run, "seq long, ideucl double")
 
@@ -140,7 +140,7 @@ EVENT_LOG = "frame long, type string, oid long, hid long, d double"
 
 
 def event_log(spark, sf_dir) -> DataFrame:
-    return per_sequence(_sides(spark, sf_dir), K.accumulate, EVENT_LOG)
+    return per_sequence(_sides(spark, sf_dir), lambda seq: list(K.events(seq)), EVENT_LOG)
 
 
 _EVENTS = f"""WITH {V.PAIRS},
