@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.boxes import box, iou
+from ..operators.durable import saved
+from ..operators.pairs import frame_pairs
 
 SCHEMA = (
     "videos ARRAY<STRUCT<id: BIGINT, name: STRING, neg_category_ids: ARRAY<BIGINT>, not_exhaustive_category_ids: ARRAY<BIGINT>>>, images ARRAY<STRUCT<id: BIGINT, video_id: BIGINT, frame_index: BIGINT>>, "
@@ -23,14 +24,17 @@ def parse_federated(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     Ids of images and tracks hold within a document. A track gives its annotations their class; annotations without a track or
     an image in their document are dropped, as are those whose box has not four numbers.
     """
-    doc = documents.select(F.monotonically_increasing_id().alias("doc"), F.from_json("value", SCHEMA).alias("d"))
+    # Written once: the numbers that tell documents apart must be the same wherever they are read.
+    doc = saved(documents.select(F.monotonically_increasing_id().alias("doc"), F.from_json("value", SCHEMA).alias("d")))
     none = F.array().cast("array<bigint>")
     videos = doc.select(F.explode("d.videos").alias("v")).select(F.col("v.id").alias("seq"), "v.name", F.coalesce("v.neg_category_ids", none).alias("negative"), F.coalesce("v.not_exhaustive_category_ids", none).alias("partial"))
-    # Inside a document, images and tracks are looked up by maps: a row is a document's annotation, and nothing is joined.
-    by_id = lambda name: F.map_from_entries(F.transform(F.array_distinct(F.col(f"d.{name}")), lambda r: F.struct(r["id"], r)))
-    rows = doc.select(by_id("images").alias("images"), by_id("tracks").alias("tracks"), F.explode("d.annotations").alias("a"))
-    found = rows.select(F.try_element_at("images", F.col("a.image_id")).alias("i"), F.try_element_at("tracks", F.col("a.track_id")).alias("t"), "a").filter("i is not null and t is not null and size(a.bbox) = 4")
-    boxes = found.select(F.col("i.video_id").alias("seq"), F.col("i.frame_index").alias("frame"), F.col("t.id").alias("id"), F.col("t.category_id").alias("cls"), *[F.get("a.bbox", F.lit(k)).alias(c) for k, c in enumerate("xywh")])
+    # Images, tracks and annotations are rows that meet by document and id: none of them carries its document along.
+    part = lambda name: doc.select("doc", F.explode(F.array_distinct(f"d.{name}")).alias("r"))
+    images = part("images").select("doc", F.col("r.id").alias("image_id"), F.col("r.video_id").alias("seq"), F.col("r.frame_index").alias("frame"))
+    tracks = part("tracks").select("doc", F.col("r.id").alias("track_id"), F.col("r.category_id").alias("cls"))
+    notes = doc.select("doc", F.explode("d.annotations").alias("a")).select("doc", "a.image_id", "a.track_id", "a.bbox").filter("size(bbox) = 4")
+    found = notes.join(images, ["doc", "image_id"]).join(tracks, ["doc", "track_id"])
+    boxes = found.select("seq", "frame", F.col("track_id").alias("id"), "cls", *[F.get("bbox", F.lit(k)).alias(c) for k, c in enumerate("xywh")])
     return boxes, videos
 
 
@@ -40,8 +44,7 @@ def judged(gt: DataFrame, det: DataFrame, videos: DataFrame, least: float = 0.5)
     A detection on a ground truth of its class is right. Any other is wrong only where the video says so: its class is annotated
     there or listed as absent, and not listed as annotated in part; else nobody knows, and it is ignored.
     """
-    on = [F.col(f"d.{k}") == F.col(f"g.{k}") for k in ("seq", "frame", "cls")]
-    hit = det.alias("d").join(gt.alias("g"), [*on, iou(box(alias="d"), box(alias="g")) >= least], "left_semi").withColumn("right", F.lit(True))
+    hit = frame_pairs(gt, det, ("seq", "frame", "cls"), least=least).withColumnRenamed("tid", "id").withColumn("right", F.lit(True))
     keys = ["seq", "frame", "id", "cls"]
     present = gt.groupBy("seq").agg(F.collect_set("cls").alias("present"))  # the classes of a video
     both = det.join(hit.select(*keys, "right").distinct(), keys, "left").join(videos.select("seq", "negative", "partial"), "seq", "left").join(present, "seq", "left")
