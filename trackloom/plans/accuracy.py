@@ -190,7 +190,8 @@ def region_similarity(spark, sf_dir):
     """Region score of masks: each ground truth's mean IoU, over its frames, with the track that is assigned to it.
 
     Sums per pair of ids are plain aggregates; what goes to the one-to-one assignment of a sequence is a row for each pair
-    that ever overlaps. Here no track overlaps two ground truths, so the SQL needs no assignment.
+    that ever overlaps. The SQL takes the best track of each ground truth, which is the same while no track overlaps two; from a
+    thousand users on, tracks of two users share an id, and one of the two goes to the one-to-one assignment's next best.
     """
     mask = lambda b: b.withColumn("mask", F.array(F.struct((F.col("y") * 10000 + F.col("x")).cast("long").alias("start"), F.col("w").cast("long").alias("length"))))
     gt = V.ground_truth(spark, sf_dir)
