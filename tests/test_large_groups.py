@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackloom import registry
+from trackloom import views as V
 from trackloom.operators import painting
-from trackloom.plans import exchange
+from trackloom.plans import exchange, masks
 from trackloom.sources import federated as S
 
 registry.load()
@@ -46,7 +47,19 @@ def test_overlaps_of_masks_are_those_of_their_pixels():
 
 def test_a_frame_of_many_masks_takes_seconds():
     """1,500 masks of forty runs before and after: run by run, minutes."""
-    masks = [[{"start": 600 * (15 * (i % 100) + c) + 40 * (i // 100) + c % 5, "length": 30 - c % 7} for c in range(40)] for i in range(1500)]
+    many = [[{"start": 600 * (15 * (i % 100) + c) + 40 * (i // 100) + c % 5, "length": 30 - c % 7} for c in range(40)] for i in range(1500)]
     state, began = painting._Followed(0.5, 6), time.perf_counter()
-    out = [r for f in (1, 2) for i, m in enumerate(masks) for r in state.step(f, i, m)] + state.end()
+    out = [r for f in (1, 2) for i, m in enumerate(many) for r in state.step(f, i, m)] + state.end()
     assert len(out) == 3000 and {t for f, i, t in out if f == 1} == {t for f, i, t in out if f == 2} and time.perf_counter() - began < 30
+
+
+def test_masks_are_compared_once_however_often_they_meet(spark):
+    """Two masks in thirty frames are one comparison; masks that only share columns have no pair."""
+    column = lambda x, y: [(x * 100 + y, 20), ((x + 70) * 100 + y, 20)]
+    frames = [(0, f, i, column(x, y)) for f in range(30) for i, x, y in ((1, 10, 0), (2, 10, 70))]
+    schema = "seq long, frame long, id long, mask array<struct<start:bigint,length:bigint>>"
+    left, right = spark.createDataFrame(frames, schema), spark.createDataFrame([(s, f, i + 10, [(a + 5, n) for a, n in m]) for s, f, i, m in frames], schema)
+    met = painting.Meetings(left, right, 100)
+    rows = sorted((r.frame, r.gid, r.tid, round(r.j, 6)) for r in met.pairs.collect())
+    assert rows == sorted((f, i, i + 10, 0.6) for f in range(30) for i in (1, 2))
+    assert met.measured(met.pairs, lambda p: p.select("a", "b")).count() == 2
