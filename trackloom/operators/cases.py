@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from .folds import fold_sorted
+from .near import Near
 
 
 def iou(a: tuple, b: tuple) -> float:
@@ -201,16 +202,27 @@ class _Plates(_Rule):
     overlap: float
     parked: int
     told: set = field(default_factory=set)
-    still: list = field(default_factory=list)
+    still: dict = field(default_factory=dict)  # last sighting of each plate that stays, in the order in which they came
+    near: Near = field(default_factory=Near)
+    due: deque = field(default_factory=deque)
+    came: int = 0
 
     def step(self, ms: int, vehicle: int, plate: str, x: float, y: float, w: float, h: float) -> list[tuple]:
         box = (x, y, w, h)
-        self.still = [s for s in self.still if ms - s[1] <= self.parked]
-        for s in self.still:
-            if iou(s[0], box) > self.overlap:
-                s[0], s[1] = box, ms
-                return []
-        self.still.append([box, ms])
+        while self.due and ms - self.due[0][0] > self.parked:
+            at, k = self.due.popleft()
+            if self.still.get(k) == at:  # not sighted since
+                del self.still[k]
+                self.near.drop(k)
+        around = self.near.around(box) if self.overlap >= 0 else self.still
+        there = min((k for k in around if iou(self.near.boxes[k], box) > self.overlap), default=None)
+        k = self.came if there is None else there
+        self.still[k] = ms
+        self.near.put(k, box)
+        self.due.append((ms, k))
+        if there is not None:
+            return []
+        self.came += 1
         if vehicle in self.told:
             return []
         self.told.add(vehicle)

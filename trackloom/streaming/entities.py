@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.folds import fold_sorted
+from ..operators.near import Near
 
 
 @dataclass(frozen=True)
@@ -80,6 +81,8 @@ class Registry:
         self.options = options
         self.entities: dict[int, Entity] = {}
         self.places: dict[int, tuple[int, int, tuple]] = {}  # of an entity: class, last sighting, box
+        self.near: dict[int, Near] = {}  # of a class: its places
+        self.old: list[tuple[int, int]] = []  # (last sighting, id) of places
         self.due: list[tuple[int, int]] = []  # (time, id) at which an entity may have to change
         self.touched: set[int] = set()
         self.moved_places: set[int] = set()
@@ -109,17 +112,34 @@ class Registry:
                 out.append((at, id_, "purged", e.cls, e.listed))
         return out
 
+    def place(self, id_: int, cls: int, last: int, box: tuple) -> None:
+        """Lists a place."""
+        self._unplace(id_)
+        self.places[id_] = (cls, last, box)
+        self.near.setdefault(cls, Near()).put(id_, box)
+        heapq.heappush(self.old, (last, id_))
+
+    def _unplace(self, id_: int) -> None:
+        if id_ in self.places:
+            self.near[self.places.pop(id_)[0]].drop(id_)
+
+    def _placed(self, cls: int, box: tuple, over: float) -> bool:
+        """Whether a listed place of the class overlaps the box by more than ``over``."""
+        near = self.near.get(cls)
+        return near is not None and any(iou(near.boxes[k], box) > over for k in (near.around(box) if over >= 0 else near.boxes))
+
     def _list(self, id_: int, e: Entity, at: int) -> None:
         self._forget(at)
-        if not any(cls == e.cls and iou(box, e.box) > self.options.same for cls, _, box in self.places.values()):
-            self.places[id_] = (e.cls, e.last, e.box)
+        if not self._placed(e.cls, e.box, self.options.same):
+            self.place(id_, e.cls, e.last, e.box)
             self.moved_places.add(id_)
 
     def _forget(self, at: int) -> None:
-        old = [k for k, (_, last, _) in self.places.items() if last + self.options.listed_for < at]
-        for k in old:
-            del self.places[k]
-        self.moved_places.update(old)
+        while self.old and self.old[0][0] + self.options.listed_for < at:
+            last, id_ = heapq.heappop(self.old)
+            if id_ in self.places and self.places[id_][1] == last:
+                self._unplace(id_)
+                self.moved_places.add(id_)
 
     def step(self, ms: int, id_: int, cls: int, conf: float, x: float, y: float, w: float, h: float) -> list[tuple]:
         out, o, box = self.expire(ms), self.options, (x, y, w, h)
@@ -128,7 +148,7 @@ class Registry:
         self.touched.add(id_)
         if e is None:
             self._forget(ms)
-            listed = conf < o.confidence or any(c == cls and iou(b, box) > o.place for c, _, b in self.places.values())
+            listed = conf < o.confidence or self._placed(cls, box, o.place)
             self.entities[id_] = Entity(ms, ms, True, listed, cls, 1, conf, conf, cx, cx, cy, cy, box, {cls: 1})
             out.append((ms, id_, "created", cls, listed))
             self._plan(id_)
@@ -203,7 +223,7 @@ class Processor(StatefulProcessor):
             fold.entities[k[0]] = _unpacked(v)
             fold._plan(k[0])
         for k, v in self.places.iterator():
-            fold.places[k[0]] = (v[0], v[1], tuple(v[2]))
+            fold.place(k[0], v[0], v[1], tuple(v[2]))
         rows = sorted(tuple(r) for r in self.waiting.get())
         now = [r for r in rows if r[0] <= until]
         out = [x for r in now for x in fold.step(*r)] + fold.expire(until)
