@@ -152,10 +152,18 @@ def formats(spark, sf_dir):
 SELECT a.seq, a.id AS a, b.id AS b, round(len(list_intersect(a.cells, b.cells)) / len(list_distinct(list_concat(a.cells, b.cells))), 6) AS sim FROM r a JOIN r b ON a.seq = b.seq AND a.id < b.id""")
 def route_similarity(spark, sf_dir):
     """Share of cells that two routes of a sequence have in common."""
-    r = V.detections(spark, sf_dir).groupBy("seq", "id").agg(F.collect_set(F.floor(F.col("cell") / 16)).alias("cells"))
-    both = r.alias("a").join(r.alias("b"), (F.col("a.seq") == F.col("b.seq")) & (F.col("a.id") < F.col("b.id")))
-    sim = F.size(F.array_intersect("a.cells", "b.cells")) / F.size(F.array_union("a.cells", "b.cells"))
-    return both.select("a.seq", F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.round(sim, 6).alias("sim"))
+    cell = F.floor(F.col("cell") / 16)  # from -63 to 63, so a route is the bits of two words
+    word = lambda inside: F.coalesce(F.bit_or(F.when(inside, F.call_function("shiftleft", F.lit(1).cast("long"), (cell % 64 + 64).cast("int") % 64))), F.lit(0).cast("long"))
+    r = V.detections(spark, sf_dir).groupBy("seq", "id").agg(word(cell >= 0).alias("u"), word(cell < 0).alias("v"))
+    # Sequences are few: each is dealt to as many tasks as there are partitions.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own = r.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(tasks)).cast("int")).repartition(tasks, "seq", "part")
+    all_ = r.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))).repartition(tasks, "seq", "part")
+    both = own.alias("a").join(all_.hint("merge").alias("b"), (F.col("a.seq") == F.col("b.seq")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.id") < F.col("b.id")))
+    bits = lambda with_: F.bit_count(with_("u")) + F.bit_count(with_("v"))
+    sim = bits(lambda w: F.col(f"a.{w}").bitwiseAND(F.col(f"b.{w}"))) / bits(lambda w: F.col(f"a.{w}").bitwiseOR(F.col(f"b.{w}")))
+    # Half up, as F.round does, but without a decimal for each pair: both numbers are below 128, so no product is off by enough to matter.
+    return both.select("a.seq", F.col("a.id").alias("a"), F.col("b.id").alias("b"), (F.floor(sim * 1e6 + 0.5) / 1e6).alias("sim"))
 
 
 @query("SCL21 SNK10 SNK11", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, 'type=' || event_type || CASE WHEN value >= 80 THEN ';level=HIGH' ELSE '' END AS attrs FROM events")
