@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.boxes import area, box, intersection
+from ..operators.pairs import frame_pairs
 
 #: Overlap thresholds in hundredths, and ranges of mean box area and of length in frames.
 THRESHOLDS = [50, 55, 60, 65, 70, 75, 80, 85, 90, 95]
@@ -22,9 +23,8 @@ def whole_tracks(boxes: DataFrame, *more) -> DataFrame:
 
 def overlaps(gt: DataFrame, trk: DataFrame, least: float) -> DataFrame:
     """seq, cls, gid, tid, sim: shared area over joint area, each summed over all frames of either track."""
-    keys = ["seq", "cls", "frame"]
-    both = gt.alias("a").join(trk.alias("b"), [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys])
-    shared = both.groupBy("a.seq", "a.cls", F.col("a.id").alias("gid"), F.col("b.id").alias("tid")).agg(F.sum(intersection(box(alias="a"), box(alias="b"))).alias("shared")).filter("shared > 0")
+    both = frame_pairs(gt, trk, ("seq", "cls", "frame"), intersection, touching=True)
+    shared = both.groupBy("seq", "cls", "gid", "tid").agg(F.sum("sim").alias("shared"))
     side = lambda boxes, name: whole_tracks(boxes).select("seq", "cls", F.col("id").alias(f"{name}id"), F.col("total").alias(f"{name}total"))
     sim = F.col("shared") / (F.col("gtotal") + F.col("ttotal") - F.col("shared"))
     out = shared.join(side(gt, "g"), ["seq", "cls", "gid"]).join(side(trk, "t"), ["seq", "cls", "tid"])
