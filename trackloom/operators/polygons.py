@@ -60,7 +60,8 @@ def polygons_on_boxes(polygons: DataFrame, boxes: DataFrame, keys: list[str], ce
     x, y, w, h = (F.col(f"b.{c}").cast("double") for c in ("x", "y", "w", "h"))
     meets = (F.col("p.__l") < x + w) & (x < F.col("p.__r")) & (F.col("p.__t") < y + h) & (y < F.col("p.__b"))
     once = starts("__cx", "p.__l", "b.x") & starts("__cy", "p.__t", "b.y")
-    pairs = dealt.join(shape, [*on, meets, once])
+    # The planner takes polygons dealt to cells for as small as their table, and would broadcast them through the driver.
+    pairs = dealt.join(shape.hint("merge"), [*on, meets, once])
     whole = {"box": w * h, "polygon": F.col("p.__area")}[of]
     out = pairs.select(*[F.col(f"b.{c}").alias(c) for c in boxes.columns], F.col("p.polygon").alias("polygon"), common_area(F.col("p.__v"), x, y, x + w, y + h).alias("common"), whole.alias("__whole"))
     return out.withColumn("share", F.col("common") / F.col("__whole")).filter(F.col("share") > least).drop("__whole")
