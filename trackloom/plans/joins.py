@@ -51,13 +51,18 @@ def iou_family(spark, sf_dir):
 
 @query("JN7 JN8 JN9", f"""WITH {_NB} SELECT seq, frame, gid, tid, round(CASE WHEN ac <> bc THEN 1 ELSE 1 - iou END, 6) AS gated, round(1 - iou * bs, 6) AS fused, round(1 - bs * (1 + iou) / 2, 6) AS blended FROM q WHERE gid < tid AND i > 0""")
 def association_costs(spark, sf_dir):
-    """Class-gated, score-fused and appearance-blended costs of a pair."""
+    """Class-gated, score-fused and appearance-blended costs of a pair. Equal boxes of a frame are compared once, their ids paired after that."""
     n = _neighbours(spark, sf_dir)
-    sim = B.iou(box(alias="a"), box(alias="b"))
-    both = n.alias("a").join(n.alias("b"), [F.col("a.seq") == F.col("b.seq"), F.col("a.frame") == F.col("b.frame"), F.col("a.id") < F.col("b.id")]).withColumn("sim", sim).filter("sim > 0")
-    score = F.col("b.score")
-    return both.select("a.seq", "a.frame", F.col("a.id").alias("gid"), F.col("b.id").alias("tid"), F.round(F.when(F.col("a.cls") != F.col("b.cls"), 1.0).otherwise(1 - F.col("sim")), 6).alias("gated"),
-                       F.round(1 - F.col("sim") * score, 6).alias("fused"), F.round(1 - score * (1 + F.col("sim")) / 2, 6).alias("blended"))
+    at = ["seq", "frame", "x", "y", "w", "h"]
+    held = lambda *more: n.groupBy(*at, *more).agg(F.collect_list(F.struct("id", "cls")).alias("ids"))
+    a, b = held().alias("a"), held("score").alias("b")
+    sim, score = B.iou(box(alias="a"), box(alias="b")), F.col("b.score")
+    met = a.join(b, [F.col("a.seq") == F.col("b.seq"), F.col("a.frame") == F.col("b.frame")]).withColumn("sim", sim).filter("sim > 0")
+    met = met.select("a.seq", "a.frame", F.col("a.ids").alias("p"), F.col("b.ids").alias("q"), F.round(1 - F.col("sim"), 6).alias("apart"),
+                     F.round(1 - F.col("sim") * score, 6).alias("fused"), F.round(1 - score * (1 + F.col("sim")) / 2, 6).alias("blended"))
+    costs = ["apart", "fused", "blended"]
+    each = met.select("seq", "frame", "q", *costs, F.explode("p").alias("p")).select("seq", "frame", "p", *costs, F.explode("q").alias("q")).filter("p.id < q.id")
+    return each.select("seq", "frame", F.col("p.id").alias("gid"), F.col("q.id").alias("tid"), F.when(F.col("p.cls") != F.col("q.cls"), 1.0).otherwise(F.col("apart")).alias("gated"), "fused", "blended")
 
 
 @query("JN14 RET6", """WITH q AS (SELECT * FROM embeddings WHERE vec_id % 50 = 0)
