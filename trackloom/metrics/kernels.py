@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -26,13 +27,23 @@ class Sequence:
     """Frames of a sequence: ids of both sides and the similarities of those that overlap, as columns; a frame is put together when its turn comes, and never as a matrix of all its ids."""
 
     def __init__(self, pdf: pd.DataFrame):
-        frame, sim = pdf["frame"].to_numpy(np.int64), pdf["sim"]
         has = [pdf[c].notna().to_numpy() for c in ("gid", "tid")]
         ids = [pdf[c].to_numpy()[h].astype(np.int64) for c, h in zip(("gid", "tid"), has, strict=True)]
+        self._fill(pdf["frame"].to_numpy(np.int64), has, ids, pdf["sim"].to_numpy(float))
+
+    @classmethod
+    def of(cls, pieces: list[tuple]) -> Sequence:
+        """From pieces of columns: frame, gid known, tid known, gid and tid where they are, sim."""
+        self = cls.__new__(cls)
+        frame, has_g, has_t, g, t, sim = (np.concatenate(c) for c in zip(*pieces, strict=True))
+        self._fill(frame, [has_g, has_t], [g, t], sim)
+        return self
+
+    def _fill(self, frame: np.ndarray, has: list[np.ndarray], ids: list[np.ndarray], sim: np.ndarray) -> None:
         self.own = [_distinct(frame[h], i) for h, i in zip(has, ids, strict=True)]
         self.gt, self.tr = (dict(zip(*(x.tolist() for x in np.unique(i, return_counts=True)), strict=True)) for _, i in self.own)
         both = has[0] & has[1]
-        f, g, t, s = frame[both], ids[0][both[has[0]]], ids[1][both[has[1]]], sim[both].to_numpy(float)
+        f, g, t, s = frame[both], ids[0][both[has[0]]], ids[1][both[has[1]]], sim[both]
         order = np.lexsort((t, g, f))
         f, g, t, s = (x[order] for x in (f, g, t, s))
         last = np.ones(len(f), bool)
@@ -49,7 +60,21 @@ class Sequence:
             yield f, self.own[0][1][a:b].tolist(), self.own[1][1][c:d].tolist(), dict(zip(zip(self.g[i:j].tolist(), self.t[i:j].tolist(), strict=True), value[i:j].tolist(), strict=True))
 
 
-def _kept(seq: Sequence, least: float):
+class Passing:
+    """A sequence of which one frame is held at a time, for kernels that take its frames once and in their order; ``gt`` and ``at`` hold what has passed."""
+
+    def __init__(self, frames: Iterable[list[tuple]]):
+        self.left, self.gt, self.at = frames, Counter(), []
+
+    def frames(self):
+        for pieces in self.left:
+            one = Sequence.of(pieces)
+            self.gt.update(one.gt)
+            self.at += one.at.tolist()
+            yield from one.frames()
+
+
+def _kept(seq: Sequence | Passing, least: float):
     """Ids of both sides of each frame, and the partners, with the sum of their similarity, that partners of the last frame with both sides go before; None if a side is empty."""
     now: dict[int, int] = {}
     for _, g, t, near in seq.frames():
@@ -73,7 +98,7 @@ def _kept(seq: Sequence, least: float):
         yield g, t, match, total
 
 
-def clear(seq: Sequence, least: float = 0.5) -> dict:
+def clear(seq: Sequence | Passing, least: float = 0.5) -> dict:
     """TP, FN, FP, identity switches, fragments, MT/PT/ML and the summed similarity of matches."""
     out = Counter()
     held: dict[int, int] = {}  # last partner of a ground truth id
@@ -212,7 +237,7 @@ def vace(seq: Sequence, least: float = 0.5) -> dict:
     return {"stda": stda, "ata": stda / (0.5 * (len(seq.gt) + len(seq.tr))) if seq.gt or seq.tr else float("nan"), "fda": fda, "frames": used}
 
 
-def id_consistency(seq: Sequence, least: float = 0.5) -> dict:
+def id_consistency(seq: Sequence | Passing, least: float = 0.5) -> dict:
     """Mean over matched ground truth ids of the share of matches that their most frequent partner has."""
     held = defaultdict(Counter)
     for _, _, match, _ in _kept(seq, least):
@@ -231,7 +256,7 @@ def accumulate(seq: Sequence, least: float = 0.5) -> list[dict]:
     return [dict(zip(("frame", "type", "oid", "hid", "d"), e, strict=True)) for e in events(seq, least)]
 
 
-def events(seq: Sequence, least: float = 0.5):
+def events(seq: Sequence | Passing, least: float = 0.5):
     """Event log (frame, type, oid, hid, d): correspondences are kept from frame to frame while they stay within the limit; the rest is assigned at least distance."""
     held: dict[int, int] = {}
     owner: dict[int, int] = {}
@@ -267,6 +292,10 @@ def events(seq: Sequence, least: float = 0.5):
         yield from ((f, FP, None, b, None) for b in sorted(free_t))
 
 
+#: Kernels that take the frames of a sequence once, and hold what they need of those before.
+BY_FRAME = (clear, id_consistency, events)
+
+
 def mean_path_share(seq: Sequence, frame: np.ndarray, gid: np.ndarray, x: np.ndarray, y: np.ndarray, least: float = 0.5) -> float:
     """Matched share of the ground truth's path length (IDEucl). x, y: where ``gid`` is in ``frame``; repeats are alike."""
     # Of equally good partners those win that come first in the order of appearance.

@@ -13,6 +13,7 @@ from ..operators.pairs import frame_pairs
 from ..registry import query
 
 CLEAR = "tp long, fn long, fp long, idsw long, frag long, mt long, pt long, ml long, sim_sum double, frames long"
+HOTA = "alpha double, tp long, fn long, fp long, ass_sum double, re_sum double, pr_sum double, loc_sum double"
 
 
 def _sides(spark, sf_dir) -> DataFrame:
@@ -69,7 +70,7 @@ def identity_f1(spark, sf_dir):
 @query("AGG34 AGG35")
 def hota_by_sequence(spark, sf_dir):
     """HOTA per sequence and combined: DetA and AssA geometric mean per alpha, then the mean over alphas."""
-    per = per_sequence(_sides(spark, sf_dir), K.hota, "alpha double, tp long, fn long, fp long, ass_sum double, re_sum double, pr_sum double, loc_sum double")
+    per = per_sequence(_sides(spark, sf_dir), K.hota, HOTA)
     sums = ["tp", "fn", "fp", "ass_sum", "re_sum", "pr_sum", "loc_sum"]
     total = per.groupBy("alpha").agg(*[F.sum(c).alias(c) for c in sums]).withColumn("seq", F.lit(-1).cast("long"))
     both = per.unionByName(total)
@@ -86,7 +87,7 @@ m AS (SELECT seq, pct, count(*) AS tp FROM iou, a WHERE iou >= pct / 100 - 1e-12
 SELECT seq, pct::BIGINT AS pct, coalesce(tp, 0)::BIGINT AS tp, round(coalesce(tp, 0) / (g.n + t.n - coalesce(tp, 0)), 6) AS deta FROM g JOIN t USING (seq) CROSS JOIN a LEFT JOIN m USING (seq, pct)""")
 def detection_accuracy_by_alpha(spark, sf_dir):
     """DetA of each alpha (given in hundredths), by explode instead of a loop."""
-    per = per_sequence(_sides(spark, sf_dir), K.hota, "alpha double, tp long, fn long, fp long, ass_sum double, re_sum double, pr_sum double, loc_sum double")
+    per = per_sequence(_sides(spark, sf_dir), K.hota, HOTA)
     return per.select("seq", F.round(F.col("alpha") * 100).cast("long").alias("pct"), "tp", F.round(F.col("tp") / (F.col("tp") + F.col("fn") + F.col("fp")), 6).alias("deta"))
 
 
@@ -140,7 +141,7 @@ EVENT_LOG = "frame long, type string, oid long, hid long, d double"
 
 
 def event_log(spark, sf_dir) -> DataFrame:
-    return per_sequence(_sides(spark, sf_dir), lambda seq: list(K.events(seq)), EVENT_LOG)
+    return per_sequence(_sides(spark, sf_dir), K.events, EVENT_LOG)
 
 
 _EVENTS = f"""WITH {V.PAIRS},
