@@ -44,12 +44,17 @@ for _name, _covers in {
 
 
 def looking(spark, sf_dir):
-    """The synthetic detections with a vector of looks: the one of the user's row in ``embeddings``, a little turned from frame to frame."""
+    """The synthetic detections with a vector of looks: the whole one of the user's own row in ``embeddings``, a little turned from frame to frame.
+
+    With fewer rows than users, users take them by turns; a box whose user has no row stays, with looks of zeros.
+    """
     d = V.tracks(spark, sf_dir)
-    user = F.col("id") % 1000 % 100000
     e = V.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("who"), F.col("embedding").cast("array<double>").alias("e"))
-    d = d.select("seq", "frame", "x", "y", "w", "h", ((F.col("id") * 3 + F.col("frame")) % 7 / 10 + 0.3).alias("score"), (F.col("id") % 2).alias("cls"), (user % 50).alias("who"))
-    return d.join(e, "who").withColumn("looks", F.transform(F.slice("e", 1, 16), lambda v, i: v + 0.02 * ((F.col("frame") + i) % 5))).drop("who", "e")
+    of = e.agg(F.max("who"), F.max(F.size("e"))).first()
+    user = (F.floor(F.col("x") / 50) * 8 + F.col("seq")).cast("long")  # ids of tracks don't tell users from a thousand on, their places do
+    d = d.select("seq", "frame", "x", "y", "w", "h", ((F.col("id") * 3 + F.col("frame")) % 7 / 10 + 0.3).alias("score"), (F.col("id") % 2).alias("cls"), F.pmod(user, F.lit((of[0] or 0) + 1)).alias("who"))
+    looks = F.coalesce("e", F.array_repeat(F.lit(0.0), of[1] or 1))
+    return d.join(e, "who", "left").withColumn("looks", F.transform(looks, lambda v, i: v + 0.02 * ((F.col("frame") + i) % 5))).drop("who", "e")
 
 
 def _with_looks(name: str, covers: str) -> None:
